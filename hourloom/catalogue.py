@@ -32,8 +32,8 @@ CAL_TODAY = dt.date(2024, 1, 15)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _wl(build: Callable[[Tables], DataFrame]) -> Query:
-    return lambda spark, sf_dir: build(views.long_log(spark, sf_dir))
+def _wl(build: Callable[[Tables], DataFrame], dated: bool = False) -> Query:
+    return lambda spark, sf_dir: build(views.long_log(spark, sf_dir, dated))
 
 
 def _cal(build: Callable[[Tables], DataFrame], folded: bool = False) -> Query:
@@ -111,10 +111,8 @@ def _mixed(spark: SparkSession, sf_dir: str, folded: bool = False) -> edits.Outc
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed edits as a stream over the events file, until it is used up."""
-    schema = views.table(spark, sf_dir, "events").schema
-    source = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
+    reader = spark.readStream.schema(views.SOURCE_SCHEMAS["events"])
+    source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     base = fresh_dir(spark, "edit-stream")
     edit_stream.run_available(views.calendar_edits(source), f"{base}/out", f"{base}/checkpoint")
     return _named(edit_stream.current_entries(spark, f"{base}/out"))
@@ -229,7 +227,7 @@ def _m04_cascade(t: Tables) -> DataFrame:
 
 def _m04_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All projects with their six deadlines after the accepted ones came in."""
-    t = views.long_log(spark, sf_dir)
+    t = views.long_log(spark, sf_dir, dated=True)
     checked = maintenance.check_new_projects(t, _new_projects(spark, sf_dir))
     after = maintenance.insert_projects(t, maintenance.accepted(checked), TODAY)
     dates = after.deadline.withColumnRenamed("projectId", "id")
@@ -355,8 +353,8 @@ def queries() -> dict[str, Query]:
         "r13_matrix_long": _wl(lambda t: matrix.stage_matrix(t, YEAR)),
         "r13_matrix_month": _wl(lambda t: matrix.stage_matrix(t, YEAR, MONTH)),
         "r14_user_projects": _wl(lambda t: matrix.user_project_hours(t, YEAR)),
-        "r15_gantt": _wl(lambda t: gantt.gantt_spans(t, YEAR)),
-        "r15_gantt_current": _wl(lambda t: gantt.gantt_spans(t, YEAR, relevant=1)),
+        "r15_gantt": _wl(lambda t: gantt.gantt_spans(t, YEAR), dated=True),
+        "r15_gantt_current": _wl(lambda t: gantt.gantt_spans(t, YEAR, relevant=1), dated=True),
         "r16_detail": _cal(calendar.calendar_detail),
         "r16_detail_stage": _cal(lambda t: calendar.calendar_detail(t, 2024, 1, stage=STAGE_NAMES[2])),
         "r17_legend": _cal(calendar.calendar_legend),
@@ -368,7 +366,7 @@ def queries() -> dict[str, Query]:
         "r21_deadlines": _wl(directory.stage_deadlines),
         "r22_latest_project": _cal(directory.latest_project),
         "r23_users": _wl(directory.user_directory),
-        "r24_projects": _wl(directory.project_directory),
+        "r24_projects": _wl(directory.project_directory, dated=True),
         "r25_lookup": _wl(_lookups),
         "r26_first_names": _wl(directory.first_name_colours),
         "r27_user_colours": _wl(lambda t: directory.user_series_colours(t, YEAR)),
@@ -385,7 +383,7 @@ def queries() -> dict[str, Query]:
         "m03_update": _wl(_m03_update),
         "m04_cascade": _wl(_m04_cascade),
         "m04_insert": _m04_insert,
-        "m05_patch": _wl(_m05_patch),
+        "m05_patch": _wl(_m05_patch, dated=True),
         "m06_rejects": _m06_rejects,
         "d01_audit": _wl(audit.integrity_audit),
         "d01_audit_calendar": _cal(audit.integrity_audit),

@@ -44,6 +44,22 @@ def _orphans(table: DataFrame, finding: str, key: str, parent: DataFrame) -> Dat
     )
 
 
+def _slot_findings(fact: DataFrame) -> DataFrame:
+    """Doubled entries and over-full slots from one grouping, per person and then per slot."""
+    per_person = fact.groupBy(*SLOT, "userId").agg(F.count(F.lit(1)).alias("_rows"))
+    per_slot = per_person.groupBy(*SLOT).agg(
+        F.count_if(F.col("_rows") > 1).alias("_doubled"), F.count(F.lit(1)).alias("_people")
+    )
+    counts = per_slot.agg(
+        F.coalesce(F.sum("_doubled"), F.lit(0)).alias("doubled"),
+        F.count_if(F.col("_people") > SEATS).alias("full"),
+    )
+    rows = [("main: entry doubled", "doubled"), ("main: slot over-full", "full")]
+    return counts.select(
+        F.inline(F.array(*[F.struct(F.lit(f).alias("finding"), F.col(c).alias("n")) for f, c in rows]))
+    )
+
+
 def _nulls(name: str, table: DataFrame) -> dict[str, Column]:
     required = [f.name for f in SCHEMAS[name] if not f.nullable and f.name in table.columns]
     return {f"{name}: {c} missing": F.col(c).isNull() for c in required}
@@ -66,7 +82,6 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
     entry_key = list(key or t.tie_keys)
     if key is None and entry_key != ["id"]:
         entry_key = ["dateStamp", *entry_key]
-    per_person = t.fact.groupBy(*SLOT, "userId").agg(F.count(F.lit(1)).alias("_rows"))
     findings = [
         _groups_where(t.fact, "main: key repeated", entry_key, more, count),
         _groups_where(t.project, "project: id repeated", ["id"], more, count),
@@ -108,10 +123,7 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
         _orphans(t.fact, "main: stage unknown", "stageId", t.stage),
         _orphans(t.deadline, "projectstage: project unknown", "projectId", t.project),
         _orphans(t.deadline, "projectstage: stage unknown", "stageId", t.stage),
-        per_person.agg(F.count_if(F.col("_rows") > 1).alias("n")).select(
-            F.lit("main: entry doubled").alias("finding"), "n"
-        ),
-        _groups_where(per_person, "main: slot over-full", SLOT, F.col("_n") > SEATS, count),
+        _slot_findings(t.fact),
         _groups_where(
             t.fact, "main: day too long", ["userId", "dateStamp"], F.col("_n") > GRID_HOURS, hours
         ),

@@ -6,17 +6,19 @@ An edit is (ts, seq, op, userId, projectId, stageId, dateStamp, hour); `seq` is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from hourloom.operators.slot_rules import DAY_FULL, DELETED, NOTHING, SAVED, SEATS, Slot
 from hourloom.plans.ids import arrival_ids, lowest, next_id
 from hourloom.schema import FACT, SLOT
+from hourloom.session import fresh_dir
 
 ENTRY = [*SLOT, "userId"]
 _FACT_COLUMNS = FACT.fieldNames()
@@ -287,6 +289,18 @@ def _contested(steps: DataFrame) -> DataFrame:
     )
 
 
+def _by_kind(steps: DataFrame) -> Callable[[str], DataFrame]:
+    """Sort the steps out by kind of slot. The result is written once, split by kind, and
+    each kind reads back its own part; it holds the batch and the entries it touches."""
+    spark = steps.sparkSession
+    path = fresh_dir(spark, "edit-steps")
+    marked = steps.join(_slot_kinds(steps), SLOT)
+    marked.write.partitionBy("kind").parquet(path)
+    schema = StructType([*(marked.schema[c] for c in _STEP), marked.schema["kind"]])
+    stored = spark.read.schema(schema).parquet(path)
+    return lambda kind: stored.filter(F.col("kind") == kind).select(*_STEP)
+
+
 def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None = None) -> Outcome:
     """Apply sets and deletes in order of arrival.
 
@@ -297,13 +311,7 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
     first_id = next_id(snapshot) if first_id is None else first_id
     days = _edited_days(edits)
     held = _touched_entries(snapshot, edits, days)
-    steps = _steps(held, edits)
-    kinds = _slot_kinds(steps)
-    sorted_out = steps.join(kinds, SLOT)
-
-    def of_kind(kind: str) -> DataFrame:
-        return sorted_out.filter(F.col("kind") == kind).select(*_STEP)
-
+    of_kind = _by_kind(_steps(held, edits))
     done = _free(of_kind("free")).unionByName(_contested(of_kind("contested")))
     results = done.filter(F.col("status").isNull()).select(
         F.coalesce("id", arrival_ids(first_id, F.col("born"), lowest(edits))).alias("id"),

@@ -99,18 +99,15 @@ def _relevant_projects(t: Tables, relevant: bool | int) -> DataFrame:
 def _described(t: Tables, rows: DataFrame, ties: tuple[str, ...]) -> DataFrame:
     """Names for the rows of one page. The page is bounded by its size, so it is the side
     that is broadcast, whatever the size of the dimensions."""
-    page = F.broadcast(rows)
     extra = [c for c in ties if c != "hours"]
-    u, p, s = t.user.alias("u"), t.project.alias("p"), t.stage.alias("s")
-    named = u.join(page, F.col("u.id") == F.col("userId")).select(
-        *rows.columns, F.col("u.name").alias("user")
-    )
-    named = p.join(F.broadcast(named), F.col("p.id") == F.col("projectId")).select(
-        *named.columns, F.col("p.name").alias("project"), F.col("p.square").alias("square")
-    )
-    named = s.join(F.broadcast(named), F.col("s.id") == F.col("stageId")).select(
-        *named.columns, F.col("s.name").alias("stage")
-    )
+    named = rows
+    for dim, key, columns in (
+        (t.user, "userId", [F.col("name").alias("user")]),
+        (t.project, "projectId", [F.col("name").alias("project"), F.col("square")]),
+        (t.stage, "stageId", [F.col("name").alias("stage")]),
+    ):
+        side = dim.select(F.col("id").alias("_key"), *columns)
+        named = side.join(F.broadcast(named), F.col("_key") == F.col(key)).drop("_key")
     return named.orderBy(*newest_first("dateStamp", ties)).select(
         F.year("dateStamp").alias("year"),
         F.month("dateStamp").alias("month"),
