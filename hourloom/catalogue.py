@@ -112,7 +112,8 @@ def _mixed(spark: SparkSession, sf_dir: str, folded: bool = False) -> edits.Outc
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed edits as a stream over the events file, until it is used up."""
     reader = spark.readStream.schema(views.SOURCE_SCHEMAS["events"])
-    source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = reader.option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "256m")
+    source = reader.parquet(sf_dir)
     base = fresh_dir(spark, "edit-stream")
     edit_stream.run_available(views.calendar_edits(source), f"{base}/out", f"{base}/checkpoint")
     return _named(edit_stream.current_entries(spark, f"{base}/out"))

@@ -48,7 +48,3 @@ def date_of(year: Column, month: Column, day: Column) -> Column:
     """Date from its parts; NULL when there is no such day."""
     text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), two_digits(month), two_digits(day))
     return F.try_to_date(text, "yyyy-MM-dd")
-
-
-def neighbour_day(day: Column, step: int) -> Column:
-    return F.date_add(day, step)

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
+from hourloom.functions.dates import date_of
 from hourloom.operators.slot_rules import DAY_FULL, DELETED, NOTHING, SAVED, SEATS, Slot
 from hourloom.plans.ids import arrival_ids, lowest, next_id
-from hourloom.schema import FACT, SLOT
+from hourloom.schema import EDIT, FACT, GRID_HOURS, SLOT
 from hourloom.session import fresh_dir
 
 ENTRY = [*SLOT, "userId"]
@@ -111,6 +112,23 @@ def _set_statuses(edits: DataFrame, saved: DataFrame) -> DataFrame:
     )
 
 
+def read_commands(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clicks given by year, month and day as (edits, rejected): a rejected click has no such
+    day, an unknown op, or an hour that is not on the grid."""
+    dated = raw.withColumn("dateStamp", date_of(F.col("year"), F.col("month"), F.col("day")))
+    reason = F.concat_ws(
+        ", ",
+        F.when(F.col("dateStamp").isNull(), F.lit("no such day")),
+        F.when(~F.coalesce(F.col("op").isin("set", "delete"), F.lit(False)), F.lit("unknown op")),
+        F.when(
+            ~F.coalesce(F.col("hour").between(1, GRID_HOURS), F.lit(False)), F.lit("bad hour")
+        ),
+    )
+    checked = dated.withColumn("reason", reason)
+    edits = checked.filter(F.col("reason") == "").select(*EDIT.fieldNames())
+    return edits, checked.filter(F.col("reason") != "").drop("dateStamp")
+
+
 # ---------------------------------------------------------------- upserts only
 
 

@@ -96,11 +96,13 @@ def run_available(edits: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def read_edits(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Edit stream from a folder of parquet files."""
-    reader = spark.readStream.schema(EDIT)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+def read_edits(spark: SparkSession, path: str, bytes_per_batch: str = "256m") -> DataFrame:
+    """Edit stream from a folder of parquet files.
+
+    `bytes_per_batch` bounds a micro-batch, and with it what one slot can bring to a task
+    at once, however many of the edits are for that slot.
+    """
+    reader = spark.readStream.schema(EDIT).option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 

@@ -11,7 +11,14 @@ from hourloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests", **{"spark.driver.memory": "6g"})
+    # Tables here are tiny: compiling plans would take longer than running them.
+    settings = {
+        "spark.driver.memory": "6g",
+        "spark.sql.shuffle.partitions": "3",
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+    }
+    session = local_session(4, "tests", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hourloom.operators.edits import apply_edits, upsert_entries
+from hourloom.operators.edits import apply_edits, read_commands, upsert_entries
 from hourloom.operators.slot_rules import DAY_FULL, DELETED, NOTHING, SAVED
 from small import bag, edits, facts, rows
 
@@ -147,3 +147,17 @@ def test_no_slot_grows_beyond_two_people(spark):
     for p, s, d, u, _ in as_text(state(apply_edits(facts(spark, entries), edits(spark, commands)))):
         after.setdefault((p, s, d), set()).add(u)
     assert all(len(v) <= max(2, len(before.get(k, ()))) for k, v in after.items())
+
+
+def test_clicks_by_date_parts(spark):
+    raw = spark.createDataFrame(
+        [
+            (1, "set", 1, 1, 1, 2024, 2, 29, 4),
+            (2, "set", 1, 1, 1, 2023, 2, 29, 4),
+            (3, "move", 1, 1, 1, 2024, 1, 1, 13),
+        ],
+        "seq long, op string, userId long, projectId long, stageId int, year int, month int, day int, hour int",
+    ).selectExpr("*", "timestamp'2024-01-01' AS ts")
+    good, bad = read_commands(raw)
+    assert [(r[0], str(r[1])) for r in rows(good, "seq", "dateStamp")] == [(1, "2024-02-29")]
+    assert bag(bad, "seq", "reason") == [(2, "no such day"), (3, "unknown op, bad hour")]

@@ -62,7 +62,6 @@ def test_dates(spark):
     assert one(spark, dt.date(2024, 2, 3), dates.days_in_month, "date") == 29
     assert one(spark, dt.date(2024, 2, 3), dates.is_weekend, "date")
     assert not one(spark, dt.date(2024, 2, 2), dates.is_weekend, "date")
-    assert one(spark, dt.date(2024, 2, 29), lambda c: dates.neighbour_day(c, 1), "date") == dt.date(2024, 3, 1)
     assert one(spark, 30, lambda c: dates.date_of(F.lit(2024), F.lit(2), c), "int") is None
     assert one(spark, 5, lambda c: dates.date_of(F.lit(24), F.lit(2), c), "int") == dt.date(24, 2, 5)
     assert one(spark, 7, dates.two_digits, "int") == "07"
