@@ -18,10 +18,14 @@ from pyspark.sql.types import StructType
 from hourloom.functions.dates import date_of
 from hourloom.operators.slot_rules import DAY_FULL, DELETED, NOTHING, SAVED, SEATS, Slot
 from hourloom.plans.ids import arrival_ids, lowest, next_id
+from hourloom.plans.ranking import running_sum
 from hourloom.schema import EDIT, FACT, GRID_HOURS, SLOT
-from hourloom.session import fresh_dir
+from hourloom.session import ensure_checkpoint_dir, fresh_dir
 
 ENTRY = [*SLOT, "userId"]
+
+# A slot with more steps than this is thinned out before its ordered pass.
+CROWD = 100_000
 _FACT_COLUMNS = FACT.fieldNames()
 
 
@@ -178,6 +182,52 @@ def _steps(held: DataFrame, edits: DataFrame) -> DataFrame:
     return seeds.select(*_STEP).unionByName(commands.select(*_STEP))
 
 
+def _thinned(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps that can matter, statuses of the others) for crowded slots.
+
+    A seat opens only when a delete works, so the marked deletes cut a slot's steps into
+    stretches in which seats only fill up, and a newcomer gets one only as one of the first
+    two people who set in a stretch. Everyone else is never seated: their sets find the day
+    full, their deletes find nothing. Leaving them out removes their deletes too, so the
+    stretches grow and the next round finds fewer. Rounds stop when they no longer halve
+    the steps; what is left takes the ordered pass.
+    """
+    doubled = F.sum(1 - F.col("seed")).over(W.partitionBy(*ENTRY)) > 1
+    marked = _own_deletes(steps).withColumn(
+        "_opens", (F.col("op") == "delete") & (F.col("_worked") | doubled)
+    )
+    idle = (F.col("op") == "delete") & ~F.col("_opens")
+    statuses = marked.filter(idle).select("seq", F.lit(NOTHING).alias("status"))
+    left = marked.filter(~idle)
+    order = [F.col("seed"), F.col("ts"), F.col("seq")]
+    ensure_checkpoint_dir(steps.sparkSession)
+    rows = None
+    while True:
+        cut = running_sum(left, F.col("_opens").cast("int"), order, SLOT, "_stretch")
+        arrivals = (
+            cut.filter(F.col("op") == "set")
+            .groupBy(*ENTRY, "_stretch")
+            .agg(F.min(F.struct("seed", "ts", "seq")).alias("_first"))
+        )
+        early = W.partitionBy(*SLOT, "_stretch").orderBy("_first")
+        possible = (
+            arrivals.withColumn("_place", F.row_number().over(early))
+            .filter(F.col("_place") <= SEATS)
+            .select(*ENTRY)
+            .distinct()
+        )
+        cut = cut.drop("_stretch")
+        refused = cut.join(possible, ENTRY, "left_anti").select(
+            "seq",
+            F.when(F.col("op") == "set", F.lit(DAY_FULL)).otherwise(F.lit(NOTHING)).alias("status"),
+        )
+        statuses = statuses.unionByName(refused)
+        left = cut.join(possible, ENTRY, "left_semi").checkpoint()
+        before, rows = rows, left.count()
+        if rows == 0 or (before is not None and rows * 2 > before):
+            return left.select(*_STEP), statuses
+
+
 def _split(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Steps back as snapshot rows and edits."""
     rows = steps.filter(F.col("seed") == 0).withColumnRenamed("hour", "hours")
@@ -186,11 +236,13 @@ def _split(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _slot_kinds(steps: DataFrame) -> DataFrame:
     """(slot, kind): `frozen` over-full at the start, `settled` without deletes, `free` when
-    two people at most ever ask for it, `contested` otherwise. Combined per person first, so
-    a hot slot is one row per person in the second sum."""
+    two people at most ever ask for it, `contested` otherwise, or `crowded` if there are many
+    steps to it. Combined per person first, so a hot slot is one row per person in the
+    second sum."""
     per_person = steps.groupBy(*ENTRY).agg(
         F.sum(1 - F.col("seed")).alias("held"),
         F.sum((F.col("op") == "delete").cast("int")).alias("deletes"),
+        F.count(F.lit(1)).alias("steps"),
     )
     return (
         per_person.groupBy(*SLOT)
@@ -199,13 +251,15 @@ def _slot_kinds(steps: DataFrame) -> DataFrame:
             F.sum((F.col("held") > 0).cast("int")).alias("holders"),
             F.max("held").alias("most"),
             F.sum("deletes").alias("deletes"),
+            F.sum("steps").alias("steps"),
         )
         .select(
             *SLOT,
             F.when(F.col("holders") > SEATS, "frozen")
             .when(F.col("deletes") == 0, "settled")
             .when((F.col("people") <= SEATS) & (F.col("most") <= 1), "free")
-            .otherwise("contested")
+            .when(F.col("steps") <= CROWD, "contested")
+            .otherwise("crowded")
             .alias("kind"),
         )
     )
@@ -220,11 +274,10 @@ _RESULT_COLUMNS = [
 ]
 
 
-def _free(steps: DataFrame) -> DataFrame:
-    """Slots nobody is turned away from: each person's steps stand alone.
-
-    A delete works when the last thing that worked before it was a set of at least its hour.
-    """
+def _own_deletes(steps: DataFrame) -> DataFrame:
+    """Mark the deletes that work if the person holds the slot (`_worked`): the last thing
+    that worked before is a set of at least the delete's hour. Whoever holds a slot has all
+    sets accepted, so a delete that is not marked never works."""
     person = W.partitionBy(*ENTRY).orderBy("seed", "ts", "seq")
     is_set = F.col("op") == "set"
     current = F.last(F.when(is_set, F.col("hour")), ignorenulls=True).over(
@@ -234,9 +287,16 @@ def _free(steps: DataFrame) -> DataFrame:
     before = F.last(
         F.when(is_set, F.lit("set")).when(F.col("_hit"), F.lit("hit")), ignorenulls=True
     ).over(person.rowsBetween(W.unboundedPreceding, -1))
-    worked = marked.withColumn(
+    return marked.withColumn(
         "_worked", F.col("_hit") & (F.coalesce(before, F.lit("none")) == "set")
-    )
+    ).drop("_hit")
+
+
+def _free(steps: DataFrame) -> DataFrame:
+    """Slots nobody is turned away from: each person's steps stand alone."""
+    person = W.partitionBy(*ENTRY).orderBy("seed", "ts", "seq")
+    is_set = F.col("op") == "set"
+    worked = _own_deletes(steps)
     # A life of an entry starts with a set and ends with a delete that worked.
     lives = F.sum(F.col("_worked").cast("int"))
     counted = worked.withColumn(
@@ -330,7 +390,12 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
     days = _edited_days(edits)
     held = _touched_entries(snapshot, edits, days)
     of_kind = _by_kind(_steps(held, edits))
-    done = _free(of_kind("free")).unionByName(_contested(of_kind("contested")))
+    contested, refused = of_kind("contested"), None
+    crowded = of_kind("crowded")
+    if not crowded.isEmpty():
+        rest, refused = _thinned(crowded)
+        contested = contested.unionByName(rest)
+    done = _free(of_kind("free")).unionByName(_contested(contested))
     results = done.filter(F.col("status").isNull()).select(
         F.coalesce("id", arrival_ids(first_id, F.col("born"), lowest(edits))).alias("id"),
         "userId",
@@ -359,4 +424,6 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
         .unionByName(_set_statuses(settled_edits, saved))
         .unionByName(frozen_edits.select("seq", F.lit(DAY_FULL).alias("status")))
     )
+    if refused is not None:
+        statuses = statuses.unionByName(refused)
     return Outcome(entries, statuses)

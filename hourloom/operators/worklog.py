@@ -121,40 +121,61 @@ def _described(t: Tables, rows: DataFrame, ties: tuple[str, ...]) -> DataFrame:
     )
 
 
+def _rows_and_days(
+    t: Tables, rows: DataFrame, relevant: bool | int | None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of relevant projects, and their number per day."""
+    if relevant is None:
+        return rows, rows.groupBy("dateStamp").agg(F.count(F.lit(1)).alias("n"))
+    wanted = _relevant_projects(t, relevant)
+    # Counted per project before the join, so a huge project is one row per day in it.
+    days = (
+        _per_project_day(rows)
+        .join(wanted, "projectId", "left_semi")
+        .groupBy("dateStamp")
+        .agg(F.sum("n").alias("n"))
+    )
+    return rows.join(wanted, "projectId", "left_semi"), days
+
+
+def _known(t: Tables, checked: bool) -> DataFrame:
+    """Entries a page may show. `checked` leaves out those of unknown users and projects."""
+    rows = _with_stage(t)
+    if checked:
+        rows = rows.join(t.user, rows.userId == t.user.id, "left_semi")
+        rows = rows.join(t.project, rows.projectId == t.project.id, "left_semi")
+    return rows
+
+
 def worklog_page(
-    t: Tables, page: int = 0, size: int = PAGE_SIZE, relevant: bool | int | None = None
+    t: Tables,
+    page: int = 0,
+    size: int = PAGE_SIZE,
+    relevant: bool | int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """One page of the work log, newest day first, ties in `t.tie_keys` order.
 
     The page is cut from the fact first and named afterwards: the keys of the log are
-    declared foreign keys, so naming drops no row (`integrity_audit` reports orphans).
+    declared foreign keys, so naming drops no row. Data that `integrity_audit` finds orphans
+    in needs `checked`, which tests the keys of all entries.
     """
-    rows = _with_stage(t)
-    if relevant is None:
-        days = rows.groupBy("dateStamp").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        wanted = _relevant_projects(t, relevant)
-        # Counted per project before the join, so a huge project is one row per day in it.
-        days = (
-            _per_project_day(rows)
-            .join(wanted, "projectId", "left_semi")
-            .groupBy("dateStamp")
-            .agg(F.sum("n").alias("n"))
-        )
-        rows = rows.join(wanted, "projectId", "left_semi")
+    rows, days = _rows_and_days(t, _known(t, checked), relevant)
     cut = slice_rows(rows, days, "dateStamp", t.tie_keys, page * size, size)
     return _described(t, cut, t.tie_keys)
 
 
 def worklog_after(
-    t: Tables, last: dict, size: int = PAGE_SIZE, relevant: bool | int | None = None
+    t: Tables,
+    last: dict,
+    size: int = PAGE_SIZE,
+    relevant: bool | int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """The page that follows the row with the key values `last` (dateStamp and tie keys)."""
-    rows = _with_stage(t).filter(after_key("dateStamp", t.tie_keys, last))
-    if relevant is not None:
-        rows = rows.join(_relevant_projects(t, relevant), "projectId", "left_semi")
-    cut = rows.orderBy(*newest_first("dateStamp", t.tie_keys)).limit(size)
-    return _described(t, cut, t.tie_keys)
+    older = _known(t, checked).filter(after_key("dateStamp", t.tie_keys, last))
+    rows, days = _rows_and_days(t, older, relevant)
+    return _described(t, slice_rows(rows, days, "dateStamp", t.tie_keys, 0, size), t.tie_keys)
 
 
 def worklog_count(t: Tables, relevant: bool | int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact positions in a sort order without one task holding a whole group."""
+"""Exact running sums and positions without one task holding a whole group."""
 
 from __future__ import annotations
 
@@ -9,52 +9,67 @@ from pyspark.sql import Window as W
 from hourloom.session import ensure_checkpoint_dir
 
 
-def ordered_position(
+def running_sum(
     df: DataFrame,
+    value: Column,
     order: list[Column],
     group: list[str] = (),
-    position: str = "position",
-    size: str = "group_size",
+    running: str = "running",
+    total: str | None = None,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group and the group's size.
+    """Add the sum of `value` from the first row of the group up to each row, in `order`
+    (which must leave no ties), and the group's total if `total` names it.
 
     Rows are range-partitioned by group and order, so a huge group spreads over many
     ranges. The range number is stored by a checkpoint (a later run of the range
-    partitioner could pick other bounds), rows are counted per range, and a row's position
-    is the count of the ranges before its own plus its rank inside the range.
+    partitioner could pick other bounds), values are summed per range, and a row's running
+    sum is that of the ranges before its own plus its own range's up to the row.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     group = list(group)
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Columns that only carry the order along, so that it needs no recomputing later.
-    keyed = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     keys = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select("*", value.alias("_v"), *[c.alias(k) for k, c in zip(keys, order)])
     ranged = (
         keyed.repartitionByRange(ranges, *group, *keys)
         .withColumn("_range", F.spark_partition_id())
         .checkpoint()
     )
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*group)
     # At most `ranges` rows per group here.
     offsets = (
         ranged.groupBy(*group, "_range")
-        .agg(F.count(F.lit(1)).alias("_in_range"))
+        .agg(F.sum("_v").alias("_in_range"))
         .withColumn("_before", F.coalesce(F.sum("_in_range").over(before), F.lit(0)))
-        .withColumn(size, F.sum("_in_range").over(whole))
-        .drop("_in_range")
     )
-    rank = F.row_number().over(W.partitionBy("_range", *group).orderBy(*keys))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_in_range").over(W.partitionBy(*group)))
+    inside = (
+        W.partitionBy("_range", *group)
+        .orderBy(*keys)
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
     # NULL group keys are a group of their own.
     match = F.lit(True)
-    right = offsets
+    right = offsets.drop("_in_range")
     for g in ["_range", *group]:
         right = right.withColumnRenamed(g, f"{g}_r")
         match = match & F.col(g).eqNullSafe(F.col(f"{g}_r"))
     return (
-        ranged.withColumn("_rank", rank)
+        ranged.withColumn("_inside", F.sum("_v").over(inside))
         .join(right, match)
-        .withColumn(position, F.col("_before") + F.col("_rank"))
-        .drop("_range", "_rank", "_before", *keys, *[f"{g}_r" for g in ["_range", *group]])
+        .withColumn(running, F.col("_before") + F.col("_inside"))
+        .drop("_v", "_range", "_inside", "_before", *keys, *[f"{g}_r" for g in ["_range", *group]])
     )
+
+
+def ordered_position(
+    df: DataFrame,
+    order: list[Column],
+    group: list[str] = (),
+    position: str = "position",
+    size: str = "group_size",
+) -> DataFrame:
+    """Add the 1-based position of each row in its group and the group's size."""
+    return running_sum(df, F.lit(1), order, group, position, size)

@@ -92,6 +92,18 @@ def test_mixed_edits_equal_one_request_at_a_time(spark, seed, people):
     assert len(ids) == len(set(ids))
 
 
+@pytest.mark.parametrize("seed, people", [(6, 4), (7, 40)])
+def test_crowded_slots_equal_one_request_at_a_time(spark, monkeypatch, seed, people):
+    from hourloom.operators import edits as module
+
+    monkeypatch.setattr(module, "CROWD", 5)
+    entries, commands = scenario(seed, n=400, people=people)
+    expected, statuses = brute(entries, commands)
+    outcome = apply_edits(facts(spark, entries), edits(spark, commands))
+    assert as_text(state(outcome)) == expected
+    assert fate(outcome) == statuses
+
+
 def test_full_slot_refuses_a_third_person(spark):
     commands = [(1, "set", 1, 1, 1, DAY, 4), (2, "set", 2, 1, 1, DAY, 5), (3, "set", 3, 1, 1, DAY, 6), (4, "set", 1, 1, 1, DAY, 7)]
     for apply in (upsert_entries, apply_edits):

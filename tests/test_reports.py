@@ -61,6 +61,12 @@ def test_pages_tile_the_log(spark):
     assert pages[9] == []
 
 
+def test_checked_pages_leave_orphans_out(spark):
+    log = [(1, 1, 1, 1, "2024-01-03", 1), (2, 99, 1, 1, "2024-01-02", 1), (3, 1, 99, 1, "2024-01-02", 1), (4, 1, 1, 2, "2024-01-01", 1)]
+    t = tables(spark, log)
+    assert [r[0] for r in rows(worklog.worklog_page(t, size=2, checked=True), "id")] == [1, 4]
+
+
 def test_deep_page_in_a_crowded_day(spark, monkeypatch):
     from hourloom.plans import paging
 
