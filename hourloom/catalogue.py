@@ -44,7 +44,7 @@ def _cal(build: Callable[[Tables], DataFrame], folded: bool = False) -> Query:
 
 
 def _lookups(t: Tables) -> DataFrame:
-    """All seven lookups, asked for the keys that occur in the log (ids), for every login in
+    """All lookups, asked for the keys that occur in the log (ids), for every login in
     capitals and for every name, in one long result."""
     user_keys = t.fact.select(F.col("userId").alias("id"))
     project_keys = t.fact.select(F.col("projectId").alias("id"))
@@ -64,6 +64,7 @@ def _lookups(t: Tables) -> DataFrame:
         .unionByName(rows("login", directory.logins_by_id(t, user_keys), "id", "login"))
         .unionByName(rows("project", directory.projects_by_id(t, project_keys), "id", "square"))
         .unionByName(rows("project name", directory.project_names_by_id(t, project_keys), "id", "name"))
+        .unionByName(rows("project title", directory.project_titles_by_id(t, project_keys), "id", "title"))
         .unionByName(rows("user of login", directory.users_by_login(t, logins), "login", "id"))
         .unionByName(rows("login of name", directory.logins_by_name(t, names), "asked", "login"))
     )
@@ -112,8 +113,8 @@ def _mixed(spark: SparkSession, sf_dir: str, folded: bool = False) -> edits.Outc
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed edits as a stream over the events file, until it is used up."""
     reader = spark.readStream.schema(views.SOURCE_SCHEMAS["events"])
-    reader = reader.option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "256m")
-    source = reader.parquet(sf_dir)
+    reader = reader.option("maxBytesPerTrigger", edit_stream.BATCH_BYTES)
+    source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     base = fresh_dir(spark, "edit-stream")
     edit_stream.run_available(views.calendar_edits(source), f"{base}/out", f"{base}/checkpoint")
     return _named(edit_stream.current_entries(spark, f"{base}/out"))

@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Colour shown for a user without one, default of a new user,
-# line colour of last resort, series palette.
+# colour of an unknown login, line colour of last resort, series palette.
 NO_COLOUR_CSS = "rgba(47, 47, 47, 1)"
 NEW_USER_COLOUR = "0.5,0.5,0.5,1"
+NO_LOGIN_COLOUR = "rgba(1,1,1,0)"
 FALLBACK_HEX = "#000000"
 PALETTE = [
     "#66C2A5",

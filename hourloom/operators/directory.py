@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.functions.colours import FALLBACK_HEX, PALETTE, to_css, to_hex
+from hourloom.functions.colours import FALLBACK_HEX, NO_LOGIN_COLOUR, PALETTE, to_css, to_hex
 from hourloom.functions.text import first_name, same_login, same_name, status_label, yes_no
 from hourloom.plans.periods import in_period
 from hourloom.plans.predicates import all_of
@@ -83,6 +83,11 @@ def project_names_by_id(t: Tables, keys: DataFrame) -> DataFrame:
     return projects_by_id(t, keys).select("id", "name")
 
 
+def project_titles_by_id(t: Tables, keys: DataFrame) -> DataFrame:
+    """Names in capitals, as the calendar's title shows them."""
+    return projects_by_id(t, keys).select("id", F.upper("name").alias("title"))
+
+
 def users_by_login(t: Tables, keys: DataFrame) -> DataFrame:
     """Active users for the texts in the `login` column of `keys`: (login, id, name, color).
 
@@ -90,8 +95,9 @@ def users_by_login(t: Tables, keys: DataFrame) -> DataFrame:
     """
     wanted = keys.select("login").distinct()
     active = t.user.filter(F.col("relevant") == 1)
+    shown = F.coalesce(to_hex(F.col("color")), F.lit(NO_LOGIN_COLOUR)).alias("color")
     return wanted.join(active, same_login(F.col("login"), F.col("username"))).select(
-        "login", "id", "name", to_hex(F.col("color")).alias("color")
+        "login", "id", "name", shown
     )
 
 

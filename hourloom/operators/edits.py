@@ -24,8 +24,9 @@ from hourloom.session import ensure_checkpoint_dir, fresh_dir
 
 ENTRY = [*SLOT, "userId"]
 
-# A slot with more steps than this is thinned out before its ordered pass.
-CROWD = 100_000
+# A slot with more steps than this is thinned out before its ordered pass, which takes some
+# seconds per million steps; below, the rounds would take longer than the pass.
+CROWD = 5_000_000
 _FACT_COLUMNS = FACT.fieldNames()
 
 

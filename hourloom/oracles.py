@@ -261,6 +261,7 @@ UNION ALL SELECT 'user name', CAST(id AS VARCHAR), name FROM usr WHERE id IN (SE
 UNION ALL SELECT 'login', CAST(id AS VARCHAR), username FROM usr WHERE id IN (SELECT userId FROM fact)
 UNION ALL SELECT 'project', CAST(id AS VARCHAR), CAST(square AS VARCHAR) FROM project WHERE id IN (SELECT projectId FROM fact)
 UNION ALL SELECT 'project name', CAST(id AS VARCHAR), name FROM project WHERE id IN (SELECT projectId FROM fact)
+UNION ALL SELECT 'project title', CAST(id AS VARCHAR), upper(name) FROM project WHERE id IN (SELECT projectId FROM fact)
 UNION ALL SELECT 'user of login', upper(username), CAST(id AS VARCHAR) FROM usr WHERE relevant = 1
 UNION ALL SELECT 'login of name', lower(name), username FROM usr WHERE relevant = 1"""
 

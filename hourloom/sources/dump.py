@@ -70,8 +70,8 @@ def _unquoted(value: Column) -> Column:
 
 
 def dump_table(spark: SparkSession, path: str, name: str, lines: DataFrame | None = None) -> DataFrame:
-    """Rows of one table, typed by its schema; columns outside the schema (such as the login
-    secret) are dropped."""
+    """Rows of one table, typed by its schema. Columns outside the schema (such as the login
+    secret) are dropped; a text that does not fit its type is NULL, for the audit to count."""
     lines = statement_lines(spark, path) if lines is None else lines
     tuples = lines.filter(F.col("table") == name).select(
         "columns", F.explode(F.regexp_extract_all("line", F.lit(_TUPLE), F.lit(1))).alias("tuple")
@@ -81,7 +81,7 @@ def dump_table(spark: SparkSession, path: str, name: str, lines: DataFrame | Non
     )
     return valued.select(
         *[
-            _unquoted(F.try_element_at("v", F.lit(f.name))).cast(f.dataType).alias(f.name)
+            _unquoted(F.try_element_at("v", F.lit(f.name))).try_cast(f.dataType).alias(f.name)
             for f in SCHEMAS[name]
         ]
     )

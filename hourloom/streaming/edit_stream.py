@@ -21,6 +21,8 @@ from hourloom.schema import EDIT, SLOT
 # op of a row that puts an entry of the snapshot into the state; its id is `seq`.
 SEED = "seed"
 
+BATCH_BYTES = 256 * 1024 * 1024
+
 # kind: `entry` for what the slot holds now, `empty` for a slot that holds nothing,
 # `status` for the fate of one edit.
 _OUT = (
@@ -96,7 +98,7 @@ def run_available(edits: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def read_edits(spark: SparkSession, path: str, bytes_per_batch: str = "256m") -> DataFrame:
+def read_edits(spark: SparkSession, path: str, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
     """Edit stream from a folder of parquet files.
 
     `bytes_per_batch` bounds a micro-batch, and with it what one slot can bring to a task

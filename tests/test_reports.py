@@ -238,6 +238,15 @@ def test_lookups_treat_wildcards_as_text(spark):
     assert bag(directory.project_names_by_id(t, ids)) == [(2, "Офис")]
 
 
+def test_shown_headers(spark):
+    from hourloom.functions.labels import LOG_HEADERS, USER_HEADERS, with_headers
+
+    t = tables(spark, LOG)
+    shown = with_headers(worklog.grouped_hours(t, year=ALL, square=ALL), LOG_HEADERS)
+    assert shown.columns == ["ГОД", "м²", "ЧАСЫ"]
+    assert with_headers(directory.user_directory(t), USER_HEADERS).columns[:3] == ["id", "ИМЯ", "ЛОГИН"]
+
+
 def test_positions_are_exact_however_rows_are_spread(spark):
     from pyspark.sql import functions as F
 
