@@ -1 +1,9 @@
 """Work-log analytics as Spark DataFrame plans."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# The few Python functions that run in tasks travel with their jobs, so executors need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
