@@ -146,7 +146,7 @@ def _new_users(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("seq"),
         F.col("c_name").alias("name"),
         F.when(key % 5 != 0, F.lower("c_name")).alias("username"),
-        F.when(key % 7 == 0, F.lit("tab-admin")).alias("admin"),
+        F.when(key % 7 == 0, F.lit("yes")).alias("admin"),
         F.lit(None).cast("string").alias("relevant"),
         F.when(key % 3 == 0, F.concat(F.lit("#ff"), F.lpad(F.col("c_nationkey").cast("string"), 4, "0"))).alias("color"),
     )

@@ -19,7 +19,7 @@ def test_new_users_are_checked_and_completed(spark):
         [
             (10, "Eva", "eva", None, None, "#4080ff"),
             (11, "Max", " ", None, None, None),
-            (12, None, "x", "tab-admin", None, None),
+            (12, None, "x", "yes", None, None),
             (14, "Ida", "ida", "1", "0", None),
             (15, "Bad", "bad", None, "2", "red"),
         ],
