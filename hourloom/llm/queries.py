@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.llm import exact_dedup, line_dedup
+from hourloom.llm import exact_dedup, line_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op8_sharding": sharding.op8_sharding,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_exact_dedup": exact_dedup.OP2_SQL,
+    "op10_mixing": mixing.OP10_SQL,
 }
