@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.llm import exact_dedup, line_dedup, mixing, sharding
+from hourloom.llm import exact_dedup, line_dedup, mixing, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_url_filter": url_filter.op3_url_filter,
     "op8_sharding": sharding.op8_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
