@@ -46,3 +46,11 @@ def worker_cache() -> dict:
     their own globals do not outlive a task."""
     home = sys.modules.setdefault("_hourloom_worker_cache", types.ModuleType("cache"))
     return home.__dict__.setdefault("entries", {})
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on `keys` such that Spark's skew join can split a hot key, also where `right` is an
+    aggregate by the same keys: the hash as one more key makes both sides shuffle anew."""
+    extra = F.xxhash64(*[F.col(k) for k in keys]).alias("_spread")
+    joined = left.select("*", extra).join(right.select("*", extra), [*keys, "_spread"], how)
+    return joined.drop("_spread")
