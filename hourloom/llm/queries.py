@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourloom.llm import embedding_dedup, exact_dedup, line_dedup, mixing, sharding, url_filter
+from hourloom.llm import (
+    bpe,
+    embedding_dedup,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    sharding,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+    "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
     "op10_mixing": mixing.op10_mixing,
 }
