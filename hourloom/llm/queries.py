@@ -14,6 +14,7 @@ from hourloom.llm import (
     line_dedup,
     mixing,
     sharding,
+    toxicity,
     url_filter,
 )
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_bpe": bpe.op7_bpe,
