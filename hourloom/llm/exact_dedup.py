@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import ascii_lower, stored, table, whole
+from hourloom.llm.common import ascii_lower, spread_join, stored, table, whole
 
 BITMAP_BITS = 32_768  # of one bitmap of bitmap_construct_agg
 MAX_FILTER_BITS = 1 << 30  # 128 MB, the bound of what is broadcast
@@ -90,7 +90,7 @@ def exact_groups(
     groups = maybe.groupBy("sha").agg(
         F.max("id").alias("keep_id"), F.count("*").alias("group_size")
     )
-    grouped = maybe.join(groups, "sha").select("id", "keep_id", "group_size", "sha")
+    grouped = spread_join(maybe, groups, ["sha"]).select("id", "keep_id", "group_size", "sha")
     return single.unionByName(grouped).select(
         F.col("id").alias(id_col),
         "keep_id",

@@ -13,6 +13,7 @@ from hourloom.llm import (
     language_id,
     line_dedup,
     mixing,
+    near_dedup,
     sharding,
     toxicity,
     url_filter,
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_bpe": bpe.op7_bpe,
     "op8_sharding": sharding.op8_sharding,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
