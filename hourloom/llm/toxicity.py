@@ -175,8 +175,7 @@ class ToxicModel:
 
     trigrams: list[int]
     features: dict[str, float]
-    intercept: float = -2.0
-    slope: float = 0.5
+    knots: tuple[list[float], list[float]] = ((0.0,), (0.1,))
 
 
 class Scorer:
@@ -378,21 +377,26 @@ def evidence_column(spark: SparkSession, model: ToxicModel):
     return F.arrow_udf(weigh, "double")
 
 
-def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Intercept and slope of the label given the evidence, from (evidence, label, rows), by
-    Newton's method with a weak prior."""
-    x, y, n = (np.array(c, float) for c in zip(*bins))
-    beta = np.array([-1.0, 0.5])
-    design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (n * (y - p)) - 0.01 * beta
-        hess = (design * (n * p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0]), float(beta[1])
+def calibration(bins: list[tuple[float, int, int]]) -> tuple[list[float], list[float]]:
+    """Knots of a rising curve from evidence to the share of label 1, from (evidence, label,
+    rows): neighbours that do not rise are pooled, and a curve runs through the pools."""
+    share: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for x, label, n in bins:
+        share[x][0] += n
+        share[x][1] += n * label
+    pools: list[list[float]] = []  # rows, ones, least and most evidence
+    for x in sorted(share):
+        pools.append([*share[x], x, x])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            n, ones, _, most = pools.pop()
+            pools[-1] = [pools[-1][0] + n, pools[-1][1] + ones, pools[-1][2], most]
+    xs, ps = [], []
+    for n, ones, least, most in pools:
+        p = (ones + 0.1) / (n + 0.2)
+        for x in dict.fromkeys((least, most)):
+            xs.append(x)
+            ps.append(p)
+    return xs, np.maximum.accumulate(ps).tolist()
 
 
 def fit(
@@ -404,10 +408,9 @@ def fit(
 ) -> ToxicModel:
     """Learns from `labelled` (text, label 0/1) and from the characters of all of `corpus`.
 
-    The character model counts every text of the corpus. Lexicon and logistic scale are
-    fitted on a sample of about `sample_rows` labelled rows, drawn by a hash of the text.
+    The character model counts every text of the corpus. Lexicon and calibration are fitted on a sample of about `sample_rows` labelled rows, drawn by a hash of the text.
     Rows without a label are left out, null texts are empty. With labels of one kind only,
-    the lexicon is empty and every score is the same, below one half.
+    the lexicon is empty and every score is the same, 0.1.
     """
     rows = labelled.select(
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
@@ -425,15 +428,24 @@ def fit(
         .collect()
     )
     if {r.label for r in bins} == {0, 1} and model.features:
-        model.intercept, model.slope = _logistic([(r.x, r.label, r["count"]) for r in bins])
-        model.slope = max(model.slope, 0.0)
+        model.knots = calibration([(r.x, r.label, r["count"]) for r in bins])
     return model
 
 
 def score_column(spark: SparkSession, model: ToxicModel):
-    """Column function: text to its score from 0 to 1."""
-    weigh = evidence_column(spark, model)
-    return lambda text: 1 / (1 + F.exp(-(F.lit(model.intercept) + model.slope * weigh(text))))
+    """Column function: text to its score from 0 to 1, linear between the knots."""
+    shipped = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _scorer(shipped.value)
+        xs, ps = shipped.value.knots
+        for texts in batches:
+            got = [scorer.evidence(codes, ends) for _, codes, ends in blocks(texts)]
+            x = np.concatenate(got) if got else np.zeros(0)
+            yield pa.array(np.interp(x, xs, ps))
+
+    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score, "double")
 
 
 def toxicity(df: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
