@@ -66,9 +66,10 @@ class Vocabulary:
         added = spec.get("added_tokens", [])
         self.special = {a["content"]: a["id"] for a in added}
         self.alphabet = alphabet
-        self.pieces = regex.compile(_pattern(spec["pre_tokenizer"]))
-        # Beyond Latin the tables of Unicode versions differ, so the library that the file is
-        # for normalises and splits there; the merges are ours everywhere.
+        # Latin text is split by the file's own pattern. Beyond it tables of Unicode versions
+        # differ, so the library that the file is for normalises and splits there, and all
+        # text of files that normalise otherwise; the merges are ours everywhere.
+        self.pieces = _lower_pattern(spec)
         self.library = tokenizers.Tokenizer.from_str(blob.decode())
         self.marks = self.special and regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
@@ -136,11 +137,11 @@ class Vocabulary:
         """The pre-tokens of a text."""
         if not text:
             return []
-        if text.isascii() or not BEYOND.search(text):
+        if self.pieces and (text.isascii() or not BEYOND.search(text)):
             return self.pieces.findall(text.lower())
-        found = self.library.pre_tokenizer.pre_tokenize_str(
-            self.library.normalizer.normalize_str(text)
-        )
+        if self.library.normalizer:
+            text = self.library.normalizer.normalize_str(text)
+        found = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [bytes(map(self.alphabet.__getitem__, w)).decode() for w, _ in found]
 
     def encode(self, text: str) -> bytes:
@@ -150,7 +151,8 @@ class Vocabulary:
             if i % 2:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            for piece in _slices(part):
+            # Where white space separates words, long texts are cut there.
+            for piece in _slices(part) if self.pieces else [part]:
                 known = self.words
                 for w in self.split(piece):
                     if w not in known:
@@ -172,9 +174,15 @@ class Vocabulary:
         return self.bytes[np.arange(length.sum()) + np.repeat(shift, length)][:-1].tobytes()
 
 
-def _pattern(pre_tokenizer: dict) -> str:
-    parts = pre_tokenizer.get("pretokenizers", [pre_tokenizer])
-    return next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")
+def _lower_pattern(spec: dict):
+    """The pattern of a file that lower-cases NFC text and keeps the pattern's matches."""
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = spec["pre_tokenizer"].get("pretokenizers", [])
+    if [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]:
+        for s in splits:
+            if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]:
+                return regex.compile(s["pattern"]["Regex"])
+    return None
 
 
 def _slices(text: str) -> Iterator[str]:

@@ -102,11 +102,17 @@ class Parser:
         tables, self.starts, self.bits, base = [], [], [], 0
         for lang in self.langs:
             moves = suffix_automaton(self.fold(samples[lang]).tolist(), width)
-            states = len(moves)
-            offset = (np.arange(states, dtype=np.int64) * width + base)[:, None]
-            target = np.where(moves >= 0, moves, np.maximum(moves[0], 0)) * np.int64(width) + base
-            entry = target * 2 + (moves < 0)
-            entry[:, self.pad] = offset[:, 0] * 2
+            # One more state follows a symbol the sample does not have: a phrase by itself.
+            alone = len(moves)
+            states = alone + 1
+            moves = np.vstack([moves, np.full(width, -1, np.int32)])
+            again = np.where(moves[0] >= 0, moves[0], alone)
+            offset = np.arange(states, dtype=np.int64) * width + base
+            target = np.where(moves >= 0, moves, again) * np.int64(width) + base
+            fresh = moves < 0
+            fresh[0] = False  # the first phrase has begun
+            entry = target * 2 + fresh
+            entry[:, self.pad] = offset * 2
             tables.append(entry.astype(np.int32).reshape(-1))
             self.starts.append(base)
             self.bits.append(np.log2(max(2, len(samples[lang]))))

@@ -207,9 +207,9 @@ class Scorer:
         self.plain = lower_letters()
         self.known: dict[str, str] = {}
 
-    def spots(self, codes: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-        """Ranges of the block that look disguised: a sign inside a word or before it, a letter
-        three times running, single letters in a row."""
+    def spots(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges that look disguised: a sign inside a word or before it, a letter three times
+        running, single letters in a row. A 0 stands before, between and after texts."""
         n = len(codes)
         if n < 3:
             return []
@@ -217,38 +217,30 @@ class Scorer:
         letter = kind == 1
         blank = codes <= 32
         sign = (kind >= 2) & ~letter
-        odd = np.zeros(n, bool)
         word = letter | sign
+        odd = np.zeros(n, bool)
         odd[1:-1] = sign[1:-1] & word[:-2] & word[2:] & (letter[:-2] | letter[2:])
         odd[1:-1] &= (codes[1:-1] != codes[:-2]) & (codes[1:-1] != codes[2:])
         odd[1:-1] |= (kind[1:-1] == 2) & blank[:-2] & letter[2:]
         odd[2:] |= letter[2:] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])
         single = np.zeros(n, bool)
         single[1:-1] = ~letter[:-2] & word[1:-1] & ~letter[2:] & ~blank[1:-1]
-        single[0] = word[0] and not letter[1]
-        single[-1] = word[-1] and not letter[-2]
+        between = ~word & (codes != 0)
         row = np.zeros(n, bool)
-        row[4:] = single[4:] & single[2:-2] & single[:-4] & ~word[3:-1] & ~word[1:-3]
-        at = np.flatnonzero(odd | row)
-        if not len(at):
-            return []
-        border = np.zeros(n, bool)
-        border[ends[:-1][ends[:-1] < n]] = True
+        row[4:] = single[4:] & single[2:-2] & single[:-4] & between[3:-1] & between[1:-3]
         out: list[tuple[int, int]] = []
-        for i in at.tolist():
+        for i in np.flatnonzero(odd | row).tolist():
             if out and i < out[-1][1]:
                 continue
             if row[i]:
                 begin, end = i - 4, i + 1
-                while end + 1 < n and single[end + 1] and not word[end] and not border[end : end + 2].any():
+                while end + 1 < n and single[end + 1] and between[end]:
                     end += 2
-                if border[begin + 1 : end].any():
-                    continue
             else:
                 begin, end = i, i + 1
-                while begin and not blank[begin - 1] and not border[begin]:
+                while not blank[begin - 1]:
                     begin -= 1
-                while end < n and not blank[end] and not border[end]:
+                while not blank[end]:
                     end += 1
             out.append((begin, end))
         return out
@@ -312,23 +304,19 @@ class Scorer:
         out = np.zeros(len(ends))
         if not len(self.words):
             return out
-        # A blank between texts, so words end with them.
-        plain = np.insert(self.plain[codes], np.concatenate([[0], ends]), ord(" "))
-        place = ends + np.arange(1, len(ends) + 1)
-        whole = plain.tobytes().decode("utf-32-le")
+        codes = np.insert(codes, np.concatenate([[0], ends]), 0)
+        place = ends + np.arange(1, len(ends) + 1)  # of the 0 after each text
+        whole = self.plain[codes].tobytes().decode("utf-32-le")
         _add(self.words, whole, place, out)
-        spots = self.spots(codes, ends)
-        if spots:
-            owner = np.searchsorted(ends, [b for b, _ in spots], side="right")
-            for (begin, end), i in zip(spots, owner.tolist()):
-                spot = codes[begin:end].tobytes().decode("utf-32-le", "surrogatepass")
-                restored = self.decode(spot)
-                if restored:
-                    more, already = np.zeros(1), np.zeros(1)
-                    _add(self.folded, f" {restored} ", np.array([len(restored) + 1]), more)
-                    clear = self.plain[codes[begin:end]].tobytes().decode("utf-32-le")
-                    _add(self.words, f" {clear} ", np.array([len(clear) + 1]), already)
-                    out[i] += max(0.0, more[0] - already[0])
+        spots = self.spots(codes)
+        owner = np.searchsorted(place, [b for b, _ in spots], side="right")
+        for (begin, end), i in zip(spots, owner.tolist()):
+            restored = self.decode(codes[begin:end].tobytes().decode("utf-32-le", "surrogatepass"))
+            if restored:
+                more, already = np.zeros(1), np.zeros(1)
+                _add(self.folded, f" {restored} ", np.array([len(restored) + 1]), more)
+                _add(self.words, f" {whole[begin:end]} ", np.array([end - begin + 1]), already)
+                out[i] += max(0.0, more[0] - already[0])
         return out
 
 
