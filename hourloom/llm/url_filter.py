@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import UPPER, LOWER, keys128, table, whole
+from hourloom.llm.common import LOWER, UPPER, keys128, spread_join, stored, table, whole
 
 #: (action, host and path): fits the host and its subdomains where the path starts so.
 RULES = (
@@ -43,70 +43,60 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def grams(url: Column) -> Column:
-    """The url's character grams: each symbol, and the end, behind its `CONTEXT` symbols.
-
-    Built from an array of symbols, so the cost is linear for a very long url."""
-    folded = F.translate(whole(url), UPPER, LOWER)
+def exploded(urls: DataFrame, *keep: Column) -> DataFrame:
+    """(keep ..., gram): a url's character grams, each symbol and the end behind its `CONTEXT`
+    symbols. They come from an array of symbols that is made once per url, in a step of its
+    own, so the cost is linear for a very long url."""
+    folded = F.translate(whole(F.col("url")), UPPER, LOWER)
     folded = F.regexp_replace(folded, "[0-9]", "0")
     folded = F.regexp_replace(folded, r"(?s)[^a-z0./:?=&#_\-%~+]", "*")
     chars = F.split(F.concat(F.lit(START), folded, F.lit(END)), "")
-    chars = F.filter(chars, lambda c: c != "")
-    at = F.sequence(F.lit(1), F.length(folded) + 1)
-    return F.transform(
-        at, lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(CONTEXT + 1)])
+    made = urls.select(*keep, chars.alias("chars"), (F.length("url") + 1).alias("grams"))
+    names = [c for c in made.columns if c not in ("chars", "grams")]
+    gram = F.transform(
+        F.sequence(F.lit(1), F.col("grams")),
+        lambda i: F.concat(*[F.element_at("chars", i + k) for k in range(CONTEXT + 1)]),
     )
+    return made.select(*names, F.explode(gram).alias("gram"))
+
 
+def gram_counts(urls: DataFrame, sides: dict[str, Column]) -> DataFrame:
+    """(gram, one count per side) of all grams of the urls (url, n rows, ...). There are at
+    most ALPHABET ** (CONTEXT + 1) grams, about 3.4 million, however many urls there are."""
+    each = exploded(urls, *[F.when(c, F.col("n")).alias(s) for s, c in sides.items()])
+    return each.groupBy("gram").agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sides])
 
-def gram_ratios(labelled: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, ratio): log P(symbol | context) under the accepted urls less that under the
-    rejected ones, for each wanted gram.
 
-    `labelled` holds (gram, accepted). Counts of the longest grams come from the urls; those
-    of shorter ones are their sums. Each order is interpolated with the next shorter one by
-    the number of distinct continuations of its context (Witten-Bell); below the empty
-    context lies the uniform distribution.
+def probabilities(counts: DataFrame, sides: list[str]) -> DataFrame:
+    """(gram, p_<side> ...): P(symbol | context) under each side's urls.
+
+    Counts of shorter grams are sums over the longest ones. Each order is interpolated with
+    the next shorter one by the number of distinct continuations of its context
+    (Witten-Bell); below the empty context lies the uniform distribution. Tables of up to
+    `CONTEXT` symbols have at most ALPHABET ** CONTEXT rows, about 80,000, and are broadcast.
     """
-    sides = {"a": F.col("accepted"), "r": ~F.col("accepted")}
-    counts = labelled.groupBy("gram").agg(
-        *[F.count(F.when(c, 1)).alias(f"n_{s}") for s, c in sides.items()]
-    )
-    out = wanted
+    out = counts
     for s in sides:
         out = out.withColumn(f"p_{s}", F.lit(1.0 / ALPHABET))
     for order in range(CONTEXT + 1):
         tail = F.substring("gram", CONTEXT - order + 1, order + 1)
-        level = counts.groupBy(tail.alias("tail")).agg(
-            *[F.sum(f"n_{s}").alias(f"n_{s}") for s in sides]
-        )
-        head = F.substring("tail", 1, order)
-        heads = level.groupBy(head.alias("head")).agg(
+        level = counts.groupBy(tail.alias("tail")).agg(*[F.sum(s).alias(f"n_{s}") for s in sides])
+        heads = level.groupBy(F.substring("tail", 1, order).alias("head")).agg(
             *[F.sum(f"n_{s}").alias(f"all_{s}") for s in sides],
             *[F.count(F.when(F.col(f"n_{s}") > 0, 1)).alias(f"kinds_{s}") for s in sides],
         )
         out = out.withColumn("tail", tail).withColumn("head", F.substring("tail", 1, order))
-        out = out.join(level, "tail", "left").join(heads, "head", "left")
+        if order < CONTEXT:
+            out = out.join(F.broadcast(level), "tail")
+        else:
+            out = out.withColumns({f"n_{s}": F.col(s) for s in sides})
+        out = out.join(F.broadcast(heads), "head")
         for s in sides:
-            n, total, kinds = (
-                F.coalesce(F.col(f"{c}_{s}"), F.lit(0)) for c in ("n", "all", "kinds")
-            )
+            n, total, kinds = F.col(f"n_{s}"), F.col(f"all_{s}"), F.col(f"kinds_{s}")
             mixed = (n + kinds * F.col(f"p_{s}")) / (total + kinds)
             out = out.withColumn(f"p_{s}", F.when(total > 0, mixed).otherwise(F.col(f"p_{s}")))
-        out = out.select("gram", *[f"p_{s}" for s in sides])
-    return out.select("gram", (F.log("p_a") - F.log("p_r")).alias("ratio"))
-
-
-def scores(urls: DataFrame, ratios: DataFrame) -> DataFrame:
-    """(u1, u2, score): mean log ratio per symbol of each distinct url.
-
-    There are at most ALPHABET ** (CONTEXT + 1) grams, about 3.4 million however many urls
-    there are, which bounds what is broadcast."""
-    each = urls.select("u1", "u2", F.explode(grams(F.col("url"))).alias("gram"))
-    return (
-        each.join(F.broadcast(ratios), "gram")
-        .groupBy("u1", "u2")
-        .agg((F.sum("ratio") / F.count("*")).alias("score"))
-    )
+        out = out.select("gram", *sides, *[f"p_{s}" for s in sides])
+    return out.select("gram", *[f"p_{s}" for s in sides])
 
 
 def threshold(scored: DataFrame) -> float:
@@ -153,26 +143,42 @@ def url_filter(df: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     )
     u1, u2 = keys128(whole(F.col("url")))
     keyed = rows.withColumn("u1", u1).withColumn("u2", u2)
-    labelled = keyed.filter("action IS NOT NULL").select(
-        "u1", "u2", "url", (F.col("action") == "allow").alias("accepted")
+    # Each distinct url once, with its rows as a weight.
+    urls = stored(
+        keyed.groupBy("u1", "u2").agg(
+            F.count("*").alias("n"),
+            F.first(whole(F.col("url"))).alias("url"),
+            F.first("action").alias("action"),
+        ),
+        "urls",
     )
+    accepted = F.col("action") == "allow"
     held_out = F.pmod(F.col("u2"), F.lit(5)) == 0
-    grams_of = lambda d: d.select("accepted", F.explode(grams(F.col("url"))).alias("gram"))
-    check = labelled.filter(held_out)
-    checked = scores(
-        check.dropDuplicates(["u1", "u2"]),
-        gram_ratios(
-            grams_of(labelled.filter(~held_out)), grams_of(check).select("gram").distinct()
-        ),
+    sides = {
+        "accept": accepted,
+        "reject": ~accepted,
+        "accept_part": accepted & ~held_out,
+        "reject_part": ~accepted & ~held_out,
+    }
+    counts = stored(gram_counts(urls, sides), "url-grams")
+    p = probabilities(counts, list(sides))
+    ratios = p.select(
+        "gram",
+        (F.log("p_accept") - F.log("p_reject")).alias("ratio"),
+        (F.log("p_accept_part") - F.log("p_reject_part")).alias("ratio_part"),
     )
-    cut = threshold(
-        checked.join(check.select("u1", "u2", "accepted"), ["u1", "u2"]).select("score", "accepted")
+    each = exploded(urls, *map(F.col, ("u1", "u2", "n", "action")))
+    # Bounded by the number of grams, see `gram_counts`.
+    scored = stored(
+        each.join(F.broadcast(ratios), "gram")
+        .groupBy("u1", "u2", "n", "action")
+        .agg(F.avg("ratio").alias("score"), F.avg("ratio_part").alias("score_part")),
+        "url-scores",
     )
-    wanted = keyed.select(F.explode(grams(F.col("url"))).alias("gram")).distinct()
-    urls = keyed.select("u1", "u2", "url").dropDuplicates(["u1", "u2"])
-    scored = scores(urls, gram_ratios(grams_of(labelled), wanted))
+    check = scored.filter(F.col("action").isNotNull() & held_out)
+    cut = threshold(check.select(F.col("score_part").alias("score"), accepted.alias("accepted")))
     guess = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
-    return keyed.join(scored, ["u1", "u2"], "left").select(
+    return spread_join(keyed, scored.select("u1", "u2", "score"), ["u1", "u2"]).select(
         "row", "host", "path", "rule", "score", F.coalesce("action", guess).alias("verdict")
     )
 
