@@ -22,7 +22,7 @@ from hourloom.operators import (
 )
 from hourloom.schema import ALL, ARCHIVED, CURRENT, SLOT, STAGE_NAMES, Tables
 from hourloom.session import fresh_dir, shared_dir
-from hourloom.sources import cache, dump, snapshots, views
+from hourloom.sources import cache, dump, snapshots, tables, views
 from hourloom.streaming import edit_stream
 
 YEAR, MONTH = 1997, 3
@@ -110,10 +110,17 @@ def _mixed(spark: SparkSession, sf_dir: str, folded: bool = False) -> edits.Outc
     return edits.apply_edits(_no_entries(events), views.calendar_edits(events, folded))
 
 
+def _mixed_over(spark: SparkSession, sf_dir: str) -> edits.Outcome:
+    """All events as sets and deletes by the next user id, on a log that holds all events, so
+    doubled and over-full slots occur."""
+    events = _events(spark, sf_dir)
+    commands = views.calendar_edits(events, next_user=True)
+    return edits.apply_edits(views.calendar_facts(events), commands)
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed edits as a stream over the events file, until it is used up."""
     reader = spark.readStream.schema(views.SOURCE_SCHEMAS["events"])
-    reader = reader.option("maxBytesPerTrigger", edit_stream.BATCH_BYTES)
     source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     base = fresh_dir(spark, "edit-stream")
     edit_stream.run_available(views.calendar_edits(source), f"{base}/out", f"{base}/checkpoint")
@@ -121,16 +128,16 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The long log published as version 1, then the mixed edits as version 2; the hours per
-    year of version 2."""
+    """The month's log saved, then saved anew with mixed edits by the next user; entries and
+    hours per day of the second copy."""
     events = _events(spark, sf_dir)
-    log = views.long_log(spark, sf_dir)
-    store = snapshots.Snapshots(spark, fresh_dir(spark, "snapshots"))
-    entries = log.fact.withColumn("id", F.monotonically_increasing_id() + 1)
-    store.publish({"main": entries})
-    snapshots.publish_edits(store, views.calendar_edits(events))
+    base = fresh_dir(spark, "published")
+    snapshots.save_tables(views.month_log(spark, sf_dir), f"{base}/before")
+    commands = views.calendar_edits(events, next_user=True)
+    snapshots.publish_edits(spark, f"{base}/before", f"{base}/after", commands)
     return (
-        store.read().fact.groupBy(F.year("dateStamp").alias("year"))
+        tables.load_tables(spark, f"{base}/after")
+        .fact.groupBy(F.col("dateStamp").alias("date"))
         .agg(F.count(F.lit(1)).alias("entries"), F.sum("hours").alias("hours"))
     )
 
@@ -203,6 +210,7 @@ def _m03_update(t: Tables) -> DataFrame:
     """Active users get a colour, every third a name in capitals; NULL names are not named."""
     patch = t.user.filter(F.col("relevant") == 1).select(
         "id",
+        F.col("id").alias("seq"),
         F.upper("name").alias("name"),
         F.lit("#4080ff").alias("color"),
         F.when(F.col("id") % 3 == 0, F.array(F.lit("name"), F.lit("color")))
@@ -243,6 +251,7 @@ def _m05_patch(t: Tables) -> DataFrame:
     """Stages 2 and 5 of current projects move a week after the project's start."""
     patch = t.project.filter(F.col("isDone") == 0).select(
         F.col("id").alias("projectId"),
+        F.col("id").alias("seq"),
         F.explode(F.array(F.lit(2), F.lit(5))).alias("stageId"),
         F.date_add("startdate", 7).alias("finishdate"),
     )
@@ -253,6 +262,64 @@ def _m05_patch(t: Tables) -> DataFrame:
     )
 
 
+def _m03_update_rejects(t: Tables) -> DataFrame:
+    """Users get a flag and a colour; every fourth flag is a text and every third colour is
+    unreadable. The rows that are turned away."""
+    key = F.col("id")
+    patch = t.user.select(
+        "id",
+        key.alias("seq"),
+        F.when(key % 4 == 0, F.lit("yes")).otherwise(F.lit("1")).alias("admin"),
+        F.when(key % 3 == 0, F.lit("#zz0000")).otherwise(F.lit("#102030")).alias("color"),
+        F.array(F.lit("admin"), F.lit("color")).alias("fields"),
+    )
+    return maintenance.rejected(maintenance.check_user_patch(patch)).select("seq", "reason")
+
+
+def _m04_update(t: Tables) -> DataFrame:
+    """Every tenth project asks for the next one's name, which is taken; the ones after them
+    ask for a new name two by two, so the first of each two gets it and both are finished."""
+    key = F.col("id")
+    patch = t.project.filter(key % 10 < 2).select(
+        "id",
+        key.alias("seq"),
+        F.lit("1").alias("isDone"),
+        (key + 1).alias("_next"),
+    )
+    names = t.project.select(key.alias("_next"), F.col("name").alias("_taken"))
+    asked = patch.join(names, "_next").select(
+        "id",
+        "seq",
+        "isDone",
+        F.when(key % 10 == 0, F.col("_taken"))
+        .otherwise(F.concat(F.lit("Renamed "), F.floor(key / 20).cast("string")))
+        .alias("name"),
+        F.array(F.lit("name"), F.lit("isDone")).alias("fields"),
+    )
+    finished = patch.select(
+        "id", (key + 10_000_000).alias("seq"), "isDone",
+        F.lit(None).cast("string").alias("name"), F.array(F.lit("isDone")).alias("fields"),
+    )
+    changes = asked.unionByName(finished.filter(key % 10 == 1))
+    return maintenance.update_projects(t, changes).project.select(
+        "id", "name", F.col("isDone").alias("is_done")
+    )
+
+
+def _m05_patch_repeated(t: Tables) -> DataFrame:
+    """Stage 2 of each project moves twice; the later move counts."""
+    moves = t.project.select(
+        F.col("id").alias("projectId"),
+        F.lit(2).alias("stageId"),
+        F.posexplode(F.array(F.date_add("startdate", 14), F.date_add("startdate", 7))).alias("n", "finishdate"),
+    ).withColumn("seq", F.col("projectId") * 2 + F.lit(1) - F.col("n"))
+    return maintenance.patch_deadlines(t, moves.drop("n")).deadline.select(
+        F.col("projectId").alias("project_id"),
+        F.col("stageId").alias("stage_id"),
+        F.col("finishdate").alias("finish_date"),
+    )
+
+
 def _m06_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.long_log(spark, sf_dir)
     users = maintenance.rejected(maintenance.check_new_users(_new_users(spark, sf_dir)))
@@ -379,10 +446,15 @@ def queries() -> dict[str, Query]:
         "m02_fold": lambda s, d: _named(_mixed(s, d).entries),
         "m02_statuses": lambda s, d: _mixed(s, d).statuses,
         "m02_fold_folded": lambda s, d: _named(_mixed(s, d, folded=True).entries),
+        "m02_over_snapshot": lambda s, d: _named(_mixed_over(s, d).entries),
+        "m02_over_statuses": lambda s, d: _mixed_over(s, d).statuses,
         "s01_stream": _stream,
         "m03_cascade": _wl(_m03_cascade),
         "m03_insert": _m03_insert,
         "m03_update": _wl(_m03_update),
+        "m03_update_rejects": _wl(_m03_update_rejects),
+        "m04_update": _wl(_m04_update),
+        "m05_patch_repeated": _wl(_m05_patch_repeated, dated=True),
         "m04_cascade": _wl(_m04_cascade),
         "m04_insert": _m04_insert,
         "m05_patch": _wl(_m05_patch, dated=True),

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourloom.functions.colours import FALLBACK_HEX, NO_LOGIN_COLOUR, PALETTE, to_css, to_hex
 from hourloom.functions.text import first_name, same_login, same_name, status_label, yes_no
 from hourloom.plans.periods import in_period
 from hourloom.plans.predicates import all_of
-from hourloom.plans.ranking import ordered_position
 from hourloom.schema import STAGE_NAMES, Tables
 
 
@@ -153,9 +153,9 @@ def project_series_colours(t: Tables, year: int | None = None, month: int | None
         F.col("projectId").alias("project_id"),
         F.col("name").alias("project"),
     )
-    placed = ordered_position(
-        named, [F.col("project"), F.col("project_id")], group=["user_id"], position="_pos", size="_n"
-    )
+    # One person's projects, each once.
+    by_name = W.partitionBy("user_id").orderBy("project", "project_id")
+    placed = named.withColumn("_pos", F.row_number().over(by_name))
     palette = F.array(*[F.lit(c) for c in PALETTE])
     index = ((F.col("_pos") - 1) % len(PALETTE)).cast("int")
     return placed.select(

@@ -24,9 +24,6 @@ from hourloom.session import ensure_checkpoint_dir, fresh_dir
 
 ENTRY = [*SLOT, "userId"]
 
-# A slot with more steps than this is thinned out before its ordered pass, which takes some
-# seconds per million steps; below, the rounds would take longer than the pass.
-CROWD = 5_000_000
 _FACT_COLUMNS = FACT.fieldNames()
 
 
@@ -184,7 +181,7 @@ def _steps(held: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def _thinned(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(steps that can matter, statuses of the others) for crowded slots.
+    """(steps that can matter, statuses of the others) for contested slots.
 
     A seat opens only when a delete works, so the marked deletes cut a slot's steps into
     stretches in which seats only fill up, and a newcomer gets one only as one of the first
@@ -192,10 +189,24 @@ def _thinned(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     full, their deletes find nothing. Leaving them out removes their deletes too, so the
     stretches grow and the next round finds fewer. Rounds stop when they no longer halve
     the steps; what is left takes the ordered pass.
+
+    People of the snapshot always stay in. Where one has doubled entries, or the slot starts
+    over-full so that a holder's set may be refused, which deletes work is left to the pass:
+    all of them cut.
     """
-    doubled = F.sum(1 - F.col("seed")).over(W.partitionBy(*ENTRY)) > 1
-    marked = _own_deletes(steps).withColumn(
-        "_opens", (F.col("op") == "delete") & (F.col("_worked") | doubled)
+    seeds = F.sum(1 - F.col("seed"))
+    doubled = seeds.over(W.partitionBy(*ENTRY)) > 1
+    holders = steps.filter(F.col("seed") == 0).select(*ENTRY).distinct().groupBy(*SLOT)
+    over = holders.count().filter(F.col("count") > SEATS).select(*SLOT, F.lit(True).alias("_over"))
+    marked = (
+        _own_deletes(steps)
+        .join(over, SLOT, "left")
+        .withColumn(
+            "_opens",
+            (F.col("op") == "delete")
+            & (F.col("_worked") | doubled | F.coalesce("_over", F.lit(False))),
+        )
+        .drop("_over")
     )
     idle = (F.col("op") == "delete") & ~F.col("_opens")
     statuses = marked.filter(idle).select("seq", F.lit(NOTHING).alias("status"))
@@ -213,7 +224,7 @@ def _thinned(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
         early = W.partitionBy(*SLOT, "_stretch").orderBy("_first")
         possible = (
             arrivals.withColumn("_place", F.row_number().over(early))
-            .filter(F.col("_place") <= SEATS)
+            .filter((F.col("_place") <= SEATS) | (F.col("_first.seed") == 0))
             .select(*ENTRY)
             .distinct()
         )
@@ -236,31 +247,25 @@ def _split(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _slot_kinds(steps: DataFrame) -> DataFrame:
-    """(slot, kind): `frozen` over-full at the start, `settled` without deletes, `free` when
-    two people at most ever ask for it, `contested` otherwise, or `crowded` if there are many
-    steps to it. Combined per person first, so a hot slot is one row per person in the
-    second sum."""
+    """(slot, kind): `settled` without deletes, `free` when two people at most ever ask for
+    it, `contested` otherwise. Combined per person first, so a hot slot is one row per person
+    in the second sum."""
     per_person = steps.groupBy(*ENTRY).agg(
         F.sum(1 - F.col("seed")).alias("held"),
         F.sum((F.col("op") == "delete").cast("int")).alias("deletes"),
-        F.count(F.lit(1)).alias("steps"),
     )
     return (
         per_person.groupBy(*SLOT)
         .agg(
             F.count(F.lit(1)).alias("people"),
-            F.sum((F.col("held") > 0).cast("int")).alias("holders"),
             F.max("held").alias("most"),
             F.sum("deletes").alias("deletes"),
-            F.sum("steps").alias("steps"),
         )
         .select(
             *SLOT,
-            F.when(F.col("holders") > SEATS, "frozen")
-            .when(F.col("deletes") == 0, "settled")
+            F.when(F.col("deletes") == 0, "settled")
             .when((F.col("people") <= SEATS) & (F.col("most") <= 1), "free")
-            .when(F.col("steps") <= CROWD, "contested")
-            .otherwise("crowded")
+            .otherwise("contested")
             .alias("kind"),
         )
     )
@@ -380,23 +385,29 @@ def _by_kind(steps: DataFrame) -> Callable[[str], DataFrame]:
     return lambda kind: stored.filter(F.col("kind") == kind).select(*_STEP)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again."""
+    path = fresh_dir(df.sparkSession, "edit-outcome")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None = None) -> Outcome:
     """Apply sets and deletes in order of arrival.
 
     A set is refused when two others hold the slot; a delete removes the person's own entry
-    (the one with the lowest id) when its hour is at most the entry's hours. Over-full
-    slots of the snapshot refuse every edit.
+    (the one with the lowest id) when its hour is at most the entry's hours, in an over-full
+    slot too, which takes sets again once deletes have brought it down.
+
+    Contested slots are thinned out, whatever their size, and what is left takes the ordered
+    pass, whose outcome is written once for both results.
     """
     first_id = next_id(snapshot) if first_id is None else first_id
     days = _edited_days(edits)
     held = _touched_entries(snapshot, edits, days)
     of_kind = _by_kind(_steps(held, edits))
-    contested, refused = of_kind("contested"), None
-    crowded = of_kind("crowded")
-    if not crowded.isEmpty():
-        rest, refused = _thinned(crowded)
-        contested = contested.unionByName(rest)
-    done = _free(of_kind("free")).unionByName(_contested(contested))
+    contested, refused = _thinned(of_kind("contested"))
+    done = _written(_free(of_kind("free")).unionByName(_contested(contested)))
     results = done.filter(F.col("status").isNull()).select(
         F.coalesce("id", arrival_ids(first_id, F.col("born"), lowest(edits))).alias("id"),
         "userId",
@@ -407,14 +418,12 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
     )
     settled_rows, settled_edits = _split(of_kind("settled"))
     saved = _seated(settled_rows, settled_edits)
-    frozen_rows, frozen_edits = _split(of_kind("frozen"))
     slots = edits.select(*SLOT).distinct()
     untouched = snapshot.filter(days).join(slots, SLOT, "left_anti")
     entries = (
         snapshot.filter(~days)
         .select(*_FACT_COLUMNS)
         .unionByName(untouched.select(*_FACT_COLUMNS))
-        .unionByName(frozen_rows)
         .unionByName(_updated(settled_rows, saved))
         .unionByName(_added(saved, first_id, edits))
         .unionByName(results)
@@ -423,8 +432,6 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
         done.filter(F.col("status").isNotNull())
         .select("seq", "status")
         .unionByName(_set_statuses(settled_edits, saved))
-        .unionByName(frozen_edits.select("seq", F.lit(DAY_FULL).alias("status")))
+        .unionByName(refused)
     )
-    if refused is not None:
-        statuses = statuses.unionByName(refused)
     return Outcome(entries, statuses)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourloom.plans.periods import in_period
 from hourloom.plans.predicates import relevance
-from hourloom.plans.ranking import ordered_position
 from hourloom.schema import Tables
 
 # Fixed value: bar length shown for a span inside one month.
@@ -19,7 +19,7 @@ def gantt_spans(t: Tables, year: int, relevant: bool | int | None = None) -> Dat
     bar length, and the even position 0..1 of the project in name order."""
     active = (
         t.fact.filter(in_period(F.col("dateStamp"), year))
-        .groupBy("projectId")
+        .groupBy(F.year("dateStamp").alias("year"), "projectId")
         .agg(F.min("dateStamp").alias("_first"), F.max("dateStamp").alias("_last"))
     )
     projects = t.project
@@ -27,10 +27,15 @@ def gantt_spans(t: Tables, year: int, relevant: bool | int | None = None) -> Dat
         projects = projects.filter(relevance(relevant))
     spans = (
         active.join(projects.select("id", "name", "startdate"), F.col("projectId") == F.col("id"))
-        .groupBy("name", "startdate")
+        .groupBy("year", "name", "startdate")
         .agg(F.month(F.min("_first")).alias("start_m"), F.month(F.max("_last")).alias("end_m"))
     )
-    placed = ordered_position(spans, [F.col("name"), F.col("startdate")], position="_pos", size="_n")
+    # A year's projects, each once.
+    of_year = W.partitionBy("year")
+    placed = (
+        spans.withColumn("_pos", F.row_number().over(of_year.orderBy("name", "startdate")))
+        .withColumn("_n", F.count(F.lit(1)).over(of_year))
+    )
     months = F.col("end_m") - F.col("start_m")
     return placed.select(
         "name",

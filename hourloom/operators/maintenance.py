@@ -1,12 +1,15 @@
 """Keeping users, projects and deadlines: inserts, partial updates, deletes, validation.
 
 Batches carry a unique `seq`, the order of arrival. A partial update names the columns it
-sets in an array column `fields`, so that NULL can be set on purpose.
+sets in an array column `fields`, so that NULL can be set on purpose. Updates apply the rows
+that pass their check; `rejected` of the same check has the others with their reasons. Of
+several rows for one id the last that names a field sets it.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,8 @@ from hourloom.functions.text import NAME_COLLATION
 from hourloom.plans.ids import arrival_ids, lowest, next_id
 from hourloom.schema import DEADLINE, PROJECT, STAGE_NAMES, USER, Tables
 
-USER_FIELDS = ["name", "username", "admin", "relevant", "color"]
-PROJECT_FIELDS = ["name", "startdate", "square", "level", "isDone"]
+USER_FIELDS = [f.name for f in USER if f.name != "id"]
+PROJECT_FIELDS = [f.name for f in PROJECT if f.name != "id"]
 _STAGE_IDS = range(1, len(STAGE_NAMES) + 1)
 DEADLINE_FIELDS = [f"stage{i}" for i in _STAGE_IDS]
 
@@ -88,6 +91,79 @@ def check_new_projects(t: Tables, rows: DataFrame) -> DataFrame:
     ).drop("_taken")
 
 
+def _named(patch: DataFrame, column: str) -> Column:
+    """Whether a patch row sets the column."""
+    if column not in patch.columns:
+        return F.lit(False)
+    return F.coalesce(F.array_contains("fields", column), F.lit(False))
+
+
+def _bad_if_named(patch: DataFrame, checks: dict[str, tuple[str, Callable[[], Column]]]) -> Column:
+    """Reasons of the failed checks among the fields a row names: reason -> (field, is bad)."""
+    found = {
+        reason: _named(patch, field) & bad()
+        for reason, (field, bad) in checks.items()
+        if field in patch.columns
+    }
+    return _reasons(**found) if found else F.lit("")
+
+
+def check_user_patch(patch: DataFrame) -> DataFrame:
+    """The patch with a `reason` column, empty for rows that may be applied."""
+    return patch.withColumn(
+        "reason",
+        _bad_if_named(
+            patch,
+            {
+                "no_name": ("name", lambda: _missing("name")),
+                "no_login": ("username", lambda: _missing("username")),
+                "bad_admin": ("admin", lambda: _missing("admin") | _bad_flag("admin")),
+                "bad_relevant": ("relevant", lambda: _missing("relevant") | _bad_flag("relevant")),
+                "bad_color": (
+                    "color",
+                    lambda: F.col("color").isNotNull()
+                    & ~F.coalesce(is_hex(F.col("color")), F.lit(False)),
+                ),
+            },
+        ),
+    )
+
+
+def check_project_patch(t: Tables, patch: DataFrame) -> DataFrame:
+    """The patch with a `reason` column. A new name must not be another stored project's, and
+    of several projects that ask for one name the first arrival gets it, blind to case and
+    accents. Verdicts come back by `seq`, as for inserts."""
+    checks = {
+        "no_name": ("name", lambda: _missing("name")),
+        "bad_square": ("square", lambda: _bad_number("square")),
+        "bad_level": ("level", lambda: _bad_number("level")),
+        "bad_isDone": ("isDone", lambda: _missing("isDone") | _bad_flag("isDone")),
+    }
+    if "name" not in patch.columns:
+        return patch.withColumn("reason", _bad_if_named(patch, checks))
+    same = F.collate(F.col("name"), NAME_COLLATION)
+    asked = patch.filter(_named(patch, "name") & ~_missing("name"))
+    asked = asked.select("seq", F.col("id").alias("_id"), same.alias("_name"))
+    firsts = asked.groupBy("_name").agg(F.min(F.struct("seq", "_id")).alias("_first"))
+    stored = t.project.groupBy(same.alias("_name")).agg(
+        F.min("id").alias("_low"), F.max("id").alias("_high")
+    )
+    # Names of the batch, once each, meet the stored ones.
+    other = (F.col("_low") != F.col("_id")) | (F.col("_high") != F.col("_id"))
+    verdicts = asked.join(firsts.join(stored, "_name", "left"), "_name").select(
+        "seq",
+        F.coalesce(other, F.lit(False)).alias("_taken"),
+        (F.col("_first._id") != F.col("_id")).alias("_repeated"),
+    )
+    told = patch.join(verdicts, "seq", "left")
+    no = F.lit(False)
+    names = _reasons(
+        name_taken=F.coalesce("_taken", no), name_repeated=F.coalesce("_repeated", no)
+    )
+    both = F.concat_ws(", ", *[F.nullif(r, F.lit("")) for r in (_bad_if_named(patch, checks), names)])
+    return told.withColumn("reason", both).drop("_taken", "_repeated")
+
+
 def accepted(checked: DataFrame) -> DataFrame:
     return checked.filter(F.col("reason") == "").drop("reason")
 
@@ -112,28 +188,35 @@ def _typed(rows: DataFrame, schema, defaults: dict[str, Column]) -> list[Column]
     return columns
 
 
-def insert_users(t: Tables, rows: DataFrame) -> Tables:
-    """Add checked users: no rights, active and grey unless given; colours come as #rrggbb."""
+def insert_users(t: Tables, rows: DataFrame, first_id: Column | None = None) -> Tables:
+    """Add checked users: no rights, active and grey unless given; colours come as #rrggbb.
+    `first_id` is the first id never given out; by default the one after the highest stored,
+    which may have been a deleted user's."""
+    first_id = next_id(t.user) if first_id is None else first_id
     if "color" in rows.columns:
         rows = rows.withColumn("color", from_hex(F.col("color")))
     defaults = {"admin": F.lit(0), "relevant": F.lit(1), "color": F.lit(NEW_USER_COLOUR)}
     new = rows.select(
-        arrival_ids(next_id(t.user), F.col("seq"), lowest(rows)).alias("id"),
+        arrival_ids(first_id, F.col("seq"), lowest(rows)).alias("id"),
         *_typed(rows, USER, defaults),
     )
     return t.with_(user=t.user.unionByName(new))
 
 
-def insert_projects(t: Tables, rows: DataFrame, today: dt.date) -> Tables:
+def insert_projects(
+    t: Tables, rows: DataFrame, today: dt.date, first_id: Column | None = None
+) -> Tables:
     """Add checked projects: current, level 1 and starting today unless given, each with its
-    six stage rows. Deadlines come in columns stage1..stage6; a missing one is NULL."""
+    six stage rows. Deadlines come in columns stage1..stage6; a missing one is NULL.
+    `first_id` as for users."""
+    first_id = next_id(t.project) if first_id is None else first_id
     defaults = {"isDone": F.lit(0), "level": F.lit(1), "startdate": F.lit(today)}
     dates = [
         F.col(c).cast("date") if c in rows.columns else F.lit(None).cast("date")
         for c in DEADLINE_FIELDS
     ]
     new = rows.select(
-        arrival_ids(next_id(t.project), F.col("seq"), lowest(rows)).alias("id"),
+        arrival_ids(first_id, F.col("seq"), lowest(rows)).alias("id"),
         *_typed(rows, PROJECT, defaults),
         F.array(*dates).alias("_dates"),
     )
@@ -150,39 +233,50 @@ def insert_projects(t: Tables, rows: DataFrame, today: dt.date) -> Tables:
 
 
 def _patched(table: DataFrame, patch: DataFrame, fields: list[str], schema) -> DataFrame:
-    """Set the named fields of the patched rows; one patch row per id."""
-    given = patch.select(
-        "id",
-        F.col("fields").alias("_fields"),
-        *[F.col(c).alias(f"_new_{c}") for c in fields if c in patch.columns],
+    """Set the named fields of the patched rows. The patch is first reduced to one row per
+    id: for each field the value of the last row that names it."""
+    given = [c for c in fields if c in patch.columns]
+    last = patch.groupBy("id").agg(
+        *[F.max_by(c, F.when(_named(patch, c), F.col("seq"))).alias(f"_new_{c}") for c in given],
+        *[F.max(_named(patch, c)).alias(f"_set_{c}") for c in given],
     )
-    joined = table.join(given, "id", "left")
+    joined = table.join(last, "id", "left")
     columns = []
     for f in schema:
-        new = f"_new_{f.name}"
-        if new in joined.columns:
-            named = F.coalesce(F.array_contains("_fields", f.name), F.lit(False))
-            value = F.when(named, F.col(new).cast(f.dataType)).otherwise(F.col(f.name))
-            columns.append(value.alias(f.name))
+        if f.name in given:
+            value = F.col(f"_new_{f.name}")
+            if dict(patch.dtypes)[f.name] == "string":
+                value = value.try_cast(f.dataType)
+            columns.append(
+                F.when(F.col(f"_set_{f.name}"), value.cast(f.dataType))
+                .otherwise(F.col(f.name))
+                .alias(f.name)
+            )
         else:
             columns.append(F.col(f.name))
     return joined.select(*columns)
 
 
 def update_users(t: Tables, patch: DataFrame) -> Tables:
+    """Apply the rows of the patch that pass `check_user_patch`."""
+    patch = accepted(check_user_patch(patch))
     if "color" in patch.columns:
         patch = patch.withColumn("color", from_hex(F.col("color")))
     return t.with_(user=_patched(t.user, patch, USER_FIELDS, USER))
 
 
 def update_projects(t: Tables, patch: DataFrame) -> Tables:
+    """Apply the rows of the patch that pass `check_project_patch`."""
+    patch = accepted(check_project_patch(t, patch))
     return t.with_(project=_patched(t.project, patch, PROJECT_FIELDS, PROJECT))
 
 
 def patch_deadlines(t: Tables, patch: DataFrame) -> Tables:
-    """New finish dates by (projectId, stageId); other stages keep theirs, and a pair that is
-    not stored is not added."""
-    given = patch.select("projectId", "stageId", F.col("finishdate").alias("_new"), F.lit(True).alias("_given"))
+    """New finish dates by (projectId, stageId), the last arrival's where there are several;
+    other stages keep theirs, and a pair that is not stored is not added."""
+    given = patch.groupBy("projectId", "stageId").agg(
+        F.max_by("finishdate", "seq").alias("_new"), F.lit(True).alias("_given")
+    )
     patched = t.deadline.join(given, ["projectId", "stageId"], "left").select(
         "projectId",
         "stageId",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourloom.functions.text import header, short_header
 from hourloom.plans.periods import in_period
 from hourloom.plans.predicates import all_of
-from hourloom.plans.wide import MAX_WIDE_COLUMNS, pivot_sum, pivot_values
+from hourloom.plans.wide import pivot_sum, pivot_values
 from hourloom.schema import STAGE_NAMES, TOTAL, Tables
 
 
@@ -83,18 +83,12 @@ def stage_matrix(
 
 
 def stage_matrix_wide(
-    t: Tables,
-    year: int,
-    month: int | None = None,
-    project_id: int | None = None,
-    limit: int = MAX_WIDE_COLUMNS,
+    t: Tables, project_id: int, year: int, month: int | None = None
 ) -> DataFrame:
-    """The matrix with a column per person, sorted by name, and TOTAL last; rows in stage order.
-
-    Raises TooManyColumns above `limit` people; the long form has no such limit.
-    """
+    """The matrix of one project with a column per person on it, sorted by name, and TOTAL
+    last; rows in stage order. For all projects there is the long form."""
     cells = stage_matrix(t, year, month, project_id)
-    people = pivot_values(cells.filter(F.col("user") != TOTAL), "user", limit)
+    people = pivot_values(cells.filter(F.col("user") != TOTAL), "user")
     wide = pivot_sum(
         cells, ["project_id", "stage_order", "stage"], "user", "hours", [*people, TOTAL]
     )
@@ -127,19 +121,12 @@ def user_project_hours(
 
 
 def user_project_hours_wide(
-    t: Tables,
-    year: int,
-    month: int | None = None,
-    user_id: int | None = None,
-    limit: int = MAX_WIDE_COLUMNS,
+    t: Tables, user_id: int, year: int, month: int | None = None
 ) -> DataFrame:
-    """A column per project, headed by at most 30 characters of its name.
-
-    Projects whose cut names agree keep apart by a running suffix. Raises TooManyColumns
-    above `limit` projects.
-    """
+    """One person's hours with a column per project, headed by at most 30 characters of its
+    name. Projects whose cut names agree keep apart by a running suffix."""
     long = user_project_hours(t, year, month, user_id)
-    projects = pivot_values(long, "project", limit)
+    projects = pivot_values(long, "project")
     wide = pivot_sum(long, ["user_id"], "project", "hours", projects)
     heads, used = {}, set()
     for name in projects:

@@ -16,26 +16,19 @@ class Slot:
     """Entries of a slot: user -> [[id or None, seq that made it or None, hours], ...].
 
     A user's list is in id order; it is longer than one only when the snapshot holds
-    duplicates. Edits see the first. A slot that starts over-full stays as it is.
+    duplicates. Edits see the first. In a slot that starts over-full deletes work as ever;
+    sets are refused until deletes have brought it down.
     """
 
     def __init__(self, rows=()):
         self.held: dict[int, list[list]] = {}
-        self.frozen = False
         for user, entry in rows:
             self.held.setdefault(user, []).append(list(entry))
-        self.freeze_if_over()
 
     def seed(self, user: int, entry_id: int, hours: int) -> None:
         self.held.setdefault(user, []).append([entry_id, None, hours])
-        self.freeze_if_over()
-
-    def freeze_if_over(self) -> None:
-        self.frozen = self.frozen or len(self.held) > SEATS
 
     def apply(self, op: str, user: int, hour: int, seq: int) -> str:
-        if self.frozen:
-            return DAY_FULL
         own = self.held.get(user)
         if op == "delete":
             if own and hour <= own[0][2]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from hourloom.functions.dates import month_name, two_digits
 from hourloom.functions.text import NAME_COLLATION
 from hourloom.plans.paging import after_key, newest_first, slice_rows
 from hourloom.plans.periods import check_period, in_period
-from hourloom.plans.predicates import all_of, relevance, short_key_list
+from hourloom.plans.predicates import all_of, relevance
 from hourloom.schema import ALL, PAGE_SIZE, Tables
 
 # ---------------------------------------------------------------- facets
@@ -40,26 +40,64 @@ def _facet(facet: str, rows: DataFrame, value: Column, label: Column) -> DataFra
 def filter_facets(t: Tables) -> DataFrame:
     """Values the work log can be filtered by, as (facet, value, label).
 
-    Dates come from one distinct over days; people, projects and stages from distincts over
-    one key column each. Every scan reads a single column and combines before its shuffle.
+    The fact is scanned once: each row gives its day, user, project and stage as keys, and a
+    distinct with partial results leaves one row per key. Names are joined to those.
     """
-    days = t.fact.select("dateStamp").distinct()
-    year, month, day = F.year("dateStamp"), F.month("dateStamp"), F.dayofmonth("dateStamp")
-    projects = _seen(t, t.project, "projectId").select("name", "square")
-    name, square = F.col("name"), F.col("square")
-    parts = [
-        _facet("year", days, year, year),
-        _facet("month", days, month, two_digits(month)),
-        _facet("day", days, day, two_digits(day)),
-        _facet("user", _seen(t, t.user, "userId"), name, name),
-        _facet("project", projects, name, name),
-        _facet("square", projects, square, square),
-        _facet("stage", _seen(t, t.stage, "stageId"), name, name),
-    ]
-    facets = parts[0]
-    for part in parts[1:]:
-        facets = facets.unionByName(part)
-    return facets
+    keys = F.array(
+        F.struct(F.lit("day").alias("kind"), F.unix_date("dateStamp").cast("long").alias("key")),
+        *[
+            F.struct(F.lit(d).alias("kind"), F.col(k).cast("long").alias("key"))
+            for d, k in (("user", "userId"), ("project", "projectId"), ("stage", "stageId"))
+        ],
+    )
+    seen = t.fact.select(F.inline(keys)).distinct()
+    names = (
+        t.user.select(F.lit("user").alias("kind"), F.col("id").alias("key"), "name", F.lit(None).cast("int").alias("square"))
+        .unionByName(t.project.select(F.lit("project").alias("kind"), F.col("id").alias("key"), "name", "square"))
+        .unionByName(
+            t.stage.select(
+                F.lit("stage").alias("kind"), F.col("id").cast("long").alias("key"), "name",
+                F.lit(None).cast("int").alias("square"),
+            )
+        )
+    )
+    found = seen.join(names, ["kind", "key"], "left")
+    day = F.date_from_unix_date(F.col("key").cast("int"))
+    parts = (F.year(day), F.month(day), F.dayofmonth(day))
+    cell = lambda facet, value, label: F.struct(
+        F.lit(facet).alias("facet"),
+        value.cast("string").alias("value"),
+        label.cast("string").alias("label"),
+    )
+    is_known = F.col("name").isNotNull()
+    cells = (
+        F.when(
+            F.col("kind") == "day",
+            F.array(
+                cell("year", parts[0], parts[0]),
+                cell("month", parts[1], two_digits(parts[1])),
+                cell("day", parts[2], two_digits(parts[2])),
+            ),
+        )
+        .when(
+            (F.col("kind") == "project") & is_known,
+            F.array(
+                cell("project", F.col("name"), F.col("name")),
+                cell("square", F.col("square"), F.col("square")),
+            ),
+        )
+        .when(
+            is_known,
+            F.array(
+                F.struct(
+                    F.col("kind").alias("facet"),
+                    F.col("name").alias("value"),
+                    F.col("name").alias("label"),
+                )
+            ),
+        )
+    )
+    return found.select(F.inline(cells)).distinct()
 
 
 def chart_facets(t: Tables, today: dt.date) -> DataFrame:
@@ -83,17 +121,13 @@ def chart_facets(t: Tables, today: dt.date) -> DataFrame:
 # ---------------------------------------------------------------- pages and counts
 
 
-def _with_stage(t: Tables) -> DataFrame:
-    """Entries on a known stage; the stage table has six rows."""
-    return t.fact.join(t.stage, t.fact.stageId == t.stage.id, "left_semi")
-
-
-def _per_project_day(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("projectId", "dateStamp").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _relevant_projects(t: Tables, relevant: bool | int) -> DataFrame:
-    return t.project.filter(relevance(relevant)).select(F.col("id").alias("projectId"))
+def _known(t: Tables, relevant: bool | int | None = None) -> DataFrame:
+    """Entries a page may show: of a known user, project and stage, and a relevant project."""
+    projects = t.project if relevant is None else t.project.filter(relevance(relevant))
+    rows = t.fact
+    for dim, key in ((t.stage, "stageId"), (t.user, "userId"), (projects, "projectId")):
+        rows = rows.join(dim.select(F.col("id").alias(key)), key, "left_semi")
+    return rows
 
 
 def _described(t: Tables, rows: DataFrame, ties: tuple[str, ...]) -> DataFrame:
@@ -121,71 +155,32 @@ def _described(t: Tables, rows: DataFrame, ties: tuple[str, ...]) -> DataFrame:
     )
 
 
-def _rows_and_days(
-    t: Tables, rows: DataFrame, relevant: bool | int | None
-) -> tuple[DataFrame, DataFrame]:
-    """The rows of relevant projects, and their number per day."""
-    if relevant is None:
-        return rows, rows.groupBy("dateStamp").agg(F.count(F.lit(1)).alias("n"))
-    wanted = _relevant_projects(t, relevant)
-    # Counted per project before the join, so a huge project is one row per day in it.
-    days = (
-        _per_project_day(rows)
-        .join(wanted, "projectId", "left_semi")
-        .groupBy("dateStamp")
-        .agg(F.sum("n").alias("n"))
-    )
-    return rows.join(wanted, "projectId", "left_semi"), days
-
-
-def _known(t: Tables, checked: bool) -> DataFrame:
-    """Entries a page may show. `checked` leaves out those of unknown users and projects."""
-    rows = _with_stage(t)
-    if checked:
-        rows = rows.join(t.user, rows.userId == t.user.id, "left_semi")
-        rows = rows.join(t.project, rows.projectId == t.project.id, "left_semi")
-    return rows
-
-
 def worklog_page(
-    t: Tables,
-    page: int = 0,
-    size: int = PAGE_SIZE,
-    relevant: bool | int | None = None,
-    checked: bool = False,
+    t: Tables, page: int = 0, size: int = PAGE_SIZE, relevant: bool | int | None = None
 ) -> DataFrame:
     """One page of the work log, newest day first, ties in `t.tie_keys` order.
 
-    The page is cut from the fact first and named afterwards: the keys of the log are
-    declared foreign keys, so naming drops no row. Data that `integrity_audit` finds orphans
-    in needs `checked`, which tests the keys of all entries.
+    Entries of unknown users, projects or stages are left out before the page is cut, so a
+    page is full as long as there are entries; names are joined to the page alone.
     """
-    rows, days = _rows_and_days(t, _known(t, checked), relevant)
-    cut = slice_rows(rows, days, "dateStamp", t.tie_keys, page * size, size)
+    cut = slice_rows(_known(t, relevant), "dateStamp", t.tie_keys, page * size, size)
     return _described(t, cut, t.tie_keys)
 
 
 def worklog_after(
-    t: Tables,
-    last: dict,
-    size: int = PAGE_SIZE,
-    relevant: bool | int | None = None,
-    checked: bool = False,
+    t: Tables, last: dict, size: int = PAGE_SIZE, relevant: bool | int | None = None
 ) -> DataFrame:
     """The page that follows the row with the key values `last` (dateStamp and tie keys)."""
-    older = _known(t, checked).filter(after_key("dateStamp", t.tie_keys, last))
-    rows, days = _rows_and_days(t, older, relevant)
-    return _described(t, slice_rows(rows, days, "dateStamp", t.tie_keys, 0, size), t.tie_keys)
+    older = _known(t, relevant).filter(after_key("dateStamp", t.tie_keys, last))
+    return _described(t, slice_rows(older, "dateStamp", t.tie_keys, 0, size), t.tie_keys)
 
 
 def worklog_count(t: Tables, relevant: bool | int | None = None) -> DataFrame:
-    """Number of entries, optionally of current or finished projects only."""
-    if relevant is None:
-        return t.fact.agg(F.count(F.lit(1)).alias("n"))
-    per_project = t.fact.groupBy("projectId").agg(F.count(F.lit(1)).alias("n"))
-    return per_project.join(_relevant_projects(t, relevant), "projectId", "left_semi").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    )
+    """Number of entries the pages show, optionally of current or finished projects only.
+    Counted per key before the dimensions are joined."""
+    per_key = t.fact.groupBy("stageId", "userId", "projectId").agg(F.count(F.lit(1)).alias("n"))
+    known = _known(replace(t, fact=per_key), relevant)
+    return known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 # ---------------------------------------------------------------- grouped hours
@@ -254,17 +249,17 @@ def grouped_hours(
     if relevant is not None:
         dims.add("project")
     dim_filters = {d: _dim_filter(d, fields, fixed, relevant, merge_names) for d in dims}
+    # A chosen name keeps its own entries before they are summed.
+    entries = t.fact.filter(all_of(scan))
     for d in dims:
         if any(fields[k].dim == d for k in fixed):
-            keys = short_key_list(getattr(t, d), dim_filters[d])
-            if keys is not None:
-                scan.append(F.col(_KEYS[d]).isin(keys))
+            keys = getattr(t, d).filter(dim_filters[d]).select(F.col("id").alias(_KEYS[d]))
+            entries = entries.join(keys, _KEYS[d], "left_semi")
 
     date_parts = [f.source.alias(k) for k, f in fields.items() if k in used and f.dim is None]
     dim_keys = [_KEYS[d] for d in _KEYS if d in dims]
     summed = (
-        t.fact.filter(all_of(scan))
-        .groupBy(*date_parts, *dim_keys)
+        entries.groupBy(*date_parts, *dim_keys)
         .agg(F.sum(F.col("hours").cast("int")).alias("hours"))
     )
     for d in dims:

@@ -320,6 +320,45 @@ SELECT projectId AS project_id, stageId AS stage_id, dateStamp AS date, u1 AS us
 UNION ALL SELECT projectId, stageId, dateStamp, u2, h2 FROM done WHERE u2 IS NOT NULL"""
 
 
+def _walk_over_log() -> str:
+    """Mixed edits over a filled log: each slot's entries as a list in id order, one edit per
+    step; doubled and over-full slots included."""
+    at = "list_position(list_transform(held, lambda x: x.u), e.userId)"
+    others = "len(list_distinct(list_filter(list_transform(held, lambda x: x.u), lambda x: x <> e.userId)))"
+    gone = "list_concat(list_slice(held, 1, own - 1), list_slice(held, own + 1, len(held)))"
+    changed = (
+        "list_concat(list_concat(list_slice(held, 1, own - 1), [{'u': userId, 'h': hour}]), "
+        "list_slice(held, own + 1, len(held)))"
+    )
+    return f"""WITH RECURSIVE {_cal_fact()}, {_edits(next_user=True)},
+e AS (SELECT *, row_number() OVER (PARTITION BY {_SLOT} ORDER BY ts, seq) AS n FROM edit),
+slots AS (SELECT DISTINCT {_SLOT} FROM edit),
+start AS (
+  SELECT {_SLOT}, coalesce(list({{'u': userId, 'h': CAST(hours AS INTEGER)}} ORDER BY id) FILTER (id IS NOT NULL), []) AS held
+  FROM slots LEFT JOIN fact USING ({_SLOT}) GROUP BY {_SLOT}),
+walk AS (
+  SELECT {_SLOT}, CAST(0 AS BIGINT) AS n, held, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS status FROM start
+  UNION ALL
+  SELECT projectId, stageId, dateStamp, n,
+    CASE WHEN op = 'delete' THEN CASE WHEN own > 0 AND hour <= held[own].h THEN {gone} ELSE held END
+      WHEN others >= 2 THEN held WHEN own > 0 THEN {changed}
+      ELSE list_append(held, {{'u': userId, 'h': hour}}) END,
+    seq,
+    CASE WHEN op = 'delete' THEN CASE WHEN own > 0 AND hour <= held[own].h THEN 'deleted' ELSE 'nothing to delete' END
+      WHEN others >= 2 THEN 'day full' ELSE 'saved' END
+  FROM (
+    SELECT e.*, w.held, coalesce({at}, 0) AS own, {others} AS others
+    FROM walk w JOIN e ON e.projectId = w.projectId AND e.stageId = w.stageId AND e.dateStamp = w.dateStamp AND e.n = w.n + 1))"""
+
+
+def _log_after_walk() -> str:
+    return f"""{_walk_over_log()},
+done AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY {_SLOT}) AS last FROM walk) WHERE n = last),
+left_over AS (SELECT {_SLOT}, unnest(held) AS entry FROM done)
+SELECT projectId AS project_id, stageId AS stage_id, dateStamp AS date, entry.u AS user_id, entry.h AS hours FROM left_over
+UNION ALL SELECT projectId, stageId, dateStamp, userId, hours FROM fact ANTI JOIN slots USING ({_SLOT})"""
+
+
 # ---------------------------------------------------------------- maintenance
 
 _NEW_USERS = """batch AS (
@@ -404,6 +443,9 @@ def _audit(fact: str, key: str) -> str:
     return fact + "\n" + "\nUNION ALL ".join(parts)
 
 
+_SHOWN = "fact JOIN project p ON p.id = projectId JOIN usr u ON u.id = userId JOIN stage s ON s.id = stageId"
+
+
 def oracle_sql() -> dict[str, str]:
     y, m, d = f"{_Y}", f"{_M}", f"{_D}"
     return {
@@ -423,8 +465,8 @@ SELECT userId AS user_id, isDone AS is_done, count(DISTINCT projectId) AS n FROM
         "r07_page_after": _page(
             "dateStamp < DATE '1999-06-15' OR (dateStamp = DATE '1999-06-15' AND orderKey >= 100)", "LIMIT 40"
         ),
-        "r08_count": f"{_WL} SELECT count(*) AS n FROM fact",
-        "r08_count_current": f"{_WL} SELECT count(*) AS n FROM fact JOIN project p ON p.id = projectId WHERE isDone = 0",
+        "r08_count": f"{_WL} SELECT count(*) AS n FROM {_SHOWN}",
+        "r08_count_current": f"{_WL} SELECT count(*) AS n FROM {_SHOWN} WHERE isDone = 0",
         "r09_by_year": _grouped({"year": y}),
         "r09_by_year_month": _grouped({"year": y, "month": m}),
         "r09_by_date": _grouped({"year": y, "month": m, "day": d}),
@@ -488,6 +530,8 @@ JOIN ranked r ON r.projectId = e.projectId AND r.stageId = e.stageId AND r.dateS
         "m02_fold": _seats(),
         "m02_statuses": f"{_mixed()} SELECT seq, status FROM walk WHERE n > 0",
         "m02_fold_folded": _seats(folded=True),
+        "m02_over_snapshot": _log_after_walk(),
+        "m02_over_statuses": f"{_walk_over_log()} SELECT seq, status FROM walk WHERE n > 0",
         "s01_stream": _seats(),
         "m03_cascade": f"""{_WL}
 SELECT u.id AS user_id, count(userId) AS n FROM usr u LEFT JOIN fact ON userId = u.id WHERE relevant <> 0 GROUP BY 1""",
@@ -495,6 +539,17 @@ SELECT u.id AS user_id, count(userId) AS n FROM usr u LEFT JOIN fact ON userId =
         "m03_update": f"""{_WL}
 SELECT id, CASE WHEN relevant = 1 AND id % 3 = 0 THEN upper(name) ELSE name END AS name,
   CASE WHEN relevant = 1 THEN '0.251, 0.502, 1.0, 1.0' ELSE color END AS color, username, admin, relevant FROM usr""",
+        "m03_update_rejects": f"""{_WL}
+SELECT id AS seq, concat_ws(', ', CASE WHEN id % 4 = 0 THEN 'bad admin' END, CASE WHEN id % 3 = 0 THEN 'bad color' END) AS reason
+FROM usr WHERE id % 4 = 0 OR id % 3 = 0""",
+        "m04_update": f"""{_WL}
+SELECT p.id, CASE WHEN p.id % 10 = 1 AND q.id IS NOT NULL AND row_number() OVER (PARTITION BY p.id % 10 = 1 AND q.id IS NOT NULL, p.id // 20 ORDER BY p.id) = 1
+    THEN concat('Renamed ', p.id // 20) ELSE p.name END AS name,
+  CASE WHEN p.id % 10 = 1 THEN 1 ELSE p.isDone END AS is_done
+FROM project p LEFT JOIN project q ON q.id = p.id + 1""",
+        "m05_patch_repeated": f"""{_WL}
+SELECT projectId AS project_id, stageId AS stage_id, CASE WHEN stageId = 2 THEN startdate + 14 ELSE finishdate END AS finish_date
+FROM deadline JOIN project p ON p.id = projectId""",
         "m04_cascade": f"""{_WL}
 SELECT id AS project_id, 1::BIGINT AS n, 'project' AS "table" FROM project WHERE isDone <> 1
 UNION ALL SELECT projectId, count(*), 'projectstage' FROM deadline WHERE projectId IN (SELECT id FROM project WHERE isDone <> 1) GROUP BY 1
@@ -510,7 +565,5 @@ FROM deadline JOIN project p ON p.id = projectId""",
         "c01_cached": f"""{_WL}
 SELECT userId AS user_id, projectId AS project_id, p.name AS project, {_SUM} AS hours
 FROM fact JOIN project p ON p.id = projectId WHERE {_IN_YEAR} GROUP BY 1, 2, 3""",
-        "p04_published": f"""{_WL}, after_edits AS ({_seats()})
-SELECT {_Y} AS year, count(*) AS entries, {_SUM} AS hours FROM fact GROUP BY 1
-UNION ALL SELECT CAST(year(date) AS INTEGER), count(*), {_SUM} FROM after_edits GROUP BY 1""",
+        "p04_published": f"""SELECT date, count(*) AS entries, CAST(sum(hours) AS BIGINT) AS hours FROM ({_log_after_walk()}) GROUP BY 1""",
     }

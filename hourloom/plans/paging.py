@@ -8,68 +8,18 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows a page may skip by sorting; beyond it the skipped rows are counted instead.
-SORTED_SKIP_LIMIT = 100_000
-BUCKETS = 4096
-
 
 def newest_first(day: str, ties: tuple[str, ...]) -> list[Column]:
     return [F.desc(day), *[F.asc(c) for c in ties]]
 
 
-def slice_rows(
-    rows: DataFrame, day_counts: DataFrame, day: str, ties: tuple[str, ...], offset: int, size: int
-) -> DataFrame:
+def slice_rows(rows: DataFrame, day: str, ties: tuple[str, ...], offset: int, size: int) -> DataFrame:
     """Rows `offset .. offset + size` of `rows`, newest day first.
 
-    `day_counts` is (day, n) of the same rows: one row per calendar day, so it is small
-    whatever the table. It tells which days the page touches, and only those are read. If
-    one day alone holds more than SORTED_SKIP_LIMIT rows before the page, counts over
-    ranges of the first tie column narrow the start further.
+    One scan: each task keeps its first `offset + size` rows. A page far down is better asked
+    for by the last row before it, see `after_key`: that keeps `size` rows however deep.
     """
-    counts = day_counts.orderBy(F.desc(day)).collect()
-    skipped, held, first, last = 0, 0, None, None
-    for when, n in counts:
-        if first is None and held + n > offset:
-            first, skipped = when, held
-        held += n
-        last = when
-        if first is not None and held >= offset + size:
-            break
-    if first is None:
-        return rows.limit(0)
-    page = rows.filter((F.col(day) <= F.lit(first)) & (F.col(day) >= F.lit(last)))
-    start = None
-    if offset - skipped > SORTED_SKIP_LIMIT:
-        start, passed = _tie_start(page.filter(F.col(day) == F.lit(first)), ties[0], offset - skipped)
-        skipped += passed
-    if start is not None:
-        page = page.filter((F.col(day) < F.lit(first)) | (F.col(ties[0]) >= start))
-    return page.orderBy(*newest_first(day, ties)).offset(offset - skipped).limit(size)
-
-
-def _tie_start(rows: DataFrame, tie: str, offset: int) -> tuple[int, int]:
-    """A tie value that row number `offset` does not precede, and the count of rows below it."""
-    low, high = rows.agg(F.min(tie), F.max(tie)).first()
-    passed = 0
-    while offset - passed > SORTED_SKIP_LIMIT and low < high:
-        width = (high - low) // BUCKETS + 1
-        bucket = F.floor((F.col(tie) - low) / width)
-        counts = (
-            rows.filter(F.col(tie).between(low, high))
-            .groupBy(bucket.alias("b"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("b")
-            .collect()
-        )
-        for b, n in counts:
-            if passed + n > offset:
-                low, high = low + b * width, min(high, low + (b + 1) * width - 1)
-                break
-            passed += n
-        if width == 1:
-            break
-    return low, passed
+    return rows.orderBy(*newest_first(day, ties)).offset(offset).limit(size)
 
 
 def after_key(day: str, ties: tuple[str, ...], last: dict) -> Column:

@@ -1,23 +1,15 @@
-"""Pivots with a known, bounded set of columns."""
+"""Pivots with a known set of columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_WIDE_COLUMNS = 1000
 
-
-class TooManyColumns(ValueError):
-    """The wide form would be wider than the limit; use the long form."""
-
-
-def pivot_values(df: DataFrame, column: str, limit: int = MAX_WIDE_COLUMNS) -> list[str]:
-    """Sorted distinct values to pivot on; raises TooManyColumns beyond `limit`."""
-    rows = df.select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise TooManyColumns(f"{column} has more than {limit} values")
-    return sorted(row[0] for row in rows)
+def pivot_values(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values to pivot on: the columns to be, so callers narrow `df` to one
+    project or one person first."""
+    return sorted(row[0] for row in df.select(column).distinct().collect())
 
 
 def pivot_sum(df: DataFrame, index: list[str], column: str, value: str, values: list[str]) -> DataFrame:

@@ -1,140 +1,44 @@
-"""Versions of the tables: written once, never overwritten, switched in one step.
-
-`<root>/data/<table>/<unique>/...` holds the files (entries split by year) and
-`<root>/manifest/version=<n>` lists which of them make up version n. A version exists once
-its manifest is written, as one file; everything written before that is invisible.
-"""
+"""Writing the tables: entries split by year, each write to a new folder the caller names."""
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from hourloom.operators.edits import Outcome, apply_edits
 from hourloom.schema import SCHEMAS, Tables
+from hourloom.sources.tables import load_tables
 
-_MANIFEST = T.StructType(
-    [
-        T.StructField("table", T.StringType()),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("path", T.StringType()),
-        # Highest id ever given out in the table; deleted ids are not used again.
-        T.StructField("high_id", T.LongType()),
-    ]
-)
-
-
-@dataclass(frozen=True)
-class Snapshots:
-    spark: SparkSession
-    root: str
-
-    # ------------------------------------------------------------ reading
-
-    def versions(self) -> list[int]:
-        try:
-            rows = self.spark.read.parquet(f"{self.root}/manifest").select("version").distinct()
-        except AnalysisException:
-            return []
-        return sorted(int(r[0]) for r in rows.collect())
-
-    def current(self) -> int:
-        """Newest version, 0 when nothing has been published."""
-        return max(self.versions(), default=0)
-
-    def _manifest(self, version: int) -> list:
-        """One row per table and year, so it is small."""
-        path = f"{self.root}/manifest/version={version}"
-        return self.spark.read.schema(_MANIFEST).parquet(path).collect()
-
-    def _table(self, manifest: list, name: str, years: set[int] | None = None) -> DataFrame:
-        paths = [
-            r.path
-            for r in manifest
-            if r.table == name and r.path and (years is None or r.year is None or r.year in years)
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths)
-
-    def read(self, version: int | None = None, years: set[int] | None = None) -> Tables:
-        """Tables of a version, entries of the given years only if asked for."""
-        manifest = self._manifest(self.current() if version is None else version)
-        return Tables(
-            fact=self._table(manifest, "main", years),
-            project=self._table(manifest, "project"),
-            deadline=self._table(manifest, "projectstage"),
-            stage=self._table(manifest, "stage"),
-            user=self._table(manifest, "user"),
-        )
-
-    def next_id(self, name: str = "main") -> int:
-        if not self.current():
-            return 1
-        highs = [r.high_id for r in self._manifest(self.current()) if r.table == name and r.high_id]
-        return max(highs, default=0) + 1
-
-    # ------------------------------------------------------------ writing
-
-    def publish(self, changed: dict[str, DataFrame], years: set[int] | None = None) -> int:
-        """Write the changed tables and switch to a new version that holds them.
-
-        Entries of `years` replace those years and leave the others as they are; without
-        `years` they replace all entries. Other tables are replaced whole.
-        """
-        version = self.current()
-        kept = self._manifest(version) if version else []
-        rows = [
-            tuple(r)
-            for r in kept
-            if r.table not in changed or (r.table == "main" and years is not None and r.year not in years)
-        ]
-        for name, df in changed.items():
-            high = self.next_id(name) - 1
-            rows.extend(self._write(name, df, high))
-        manifest = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
-        manifest.write.mode("errorifexists").parquet(f"{self.root}/manifest/version={version + 1}")
-        return version + 1
 
-    def _write(self, name: str, df: DataFrame, high: int) -> list[tuple]:
-        path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-        columns = SCHEMAS[name].fieldNames()
-        if name == "main":
-            yearly = df.select(*columns, F.year("dateStamp").alias("year"))
-            # Rows of one year go to few files; a huge year is split by the rebalancing.
-            yearly.hint("rebalance", "year").write.partitionBy("year").parquet(path)
-            written = self.spark.read.parquet(path) if yearly_written(self.spark, path) else None
-            if written is None:
-                return [(name, None, None, high)]
-            found = written.groupBy("year").agg(F.max("id").alias("id")).collect()
-            return [(name, r.year, f"{path}/year={r.year}", max(high, r.id)) for r in found]
-        df.select(*columns).write.parquet(path)
-        if "id" in columns:
-            top = self.spark.read.schema(SCHEMAS[name]).parquet(path).agg(F.max("id")).first()[0]
-            high = max(high, top or 0)
-        return [(name, None, path, high)]
+def save_entries(entries: DataFrame, path: str) -> None:
+    """The fact, one folder per year. Rows of a year go to few files; a huge year is split by
+    the rebalancing. Spark refuses a folder that exists."""
+    columns = SCHEMAS["main"].fieldNames()
+    yearly = entries.select(*columns, F.year("dateStamp").alias("year"))
+    yearly.hint("rebalance", "year").write.partitionBy("year").parquet(path)
 
 
-def yearly_written(spark: SparkSession, path: str) -> bool:
-    """False when the written entries were empty, which leaves no readable partition."""
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+def save_tables(t: Tables, root: str) -> None:
+    """All tables as `<root>/<table name>`, readable by `load_tables`."""
+    save_entries(t.fact, f"{root}/main")
+    for name, df in (
+        ("project", t.project),
+        ("projectstage", t.deadline),
+        ("stage", t.stage),
+        ("user", t.user),
+    ):
+        df.select(*SCHEMAS[name].fieldNames()).write.parquet(f"{root}/{name}")
 
 
-def publish_edits(store: Snapshots, edits: DataFrame) -> tuple[int, Outcome]:
-    """Apply a batch of edits to the current version and publish the next one.
+def publish_edits(
+    spark: SparkSession, source: str, target: str, edits: DataFrame, first_id: Column | None = None
+) -> Outcome:
+    """The tables of `source` with a batch of edits applied, written to the new folder
+    `target`. `source` stays as it is, so a failed write is repeated to another folder.
 
-    Only the years the batch touches are read and rewritten.
+    `first_id` is the first id never given out; by default the one after the highest stored.
     """
-    years = {r[0] for r in edits.select(F.year("dateStamp")).distinct().collect()}
-    before = store.read(years=years)
-    outcome = apply_edits(before.fact, edits, F.lit(store.next_id()))
-    return store.publish({"main": outcome.entries}, years), outcome
+    t = load_tables(spark, source)
+    outcome = apply_edits(t.fact, edits, first_id)
+    save_tables(t.with_(fact=outcome.entries), target)
+    return outcome

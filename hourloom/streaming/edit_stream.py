@@ -21,8 +21,6 @@ from hourloom.schema import EDIT, SLOT
 # op of a row that puts an entry of the snapshot into the state; its id is `seq`.
 SEED = "seed"
 
-BATCH_BYTES = 256 * 1024 * 1024
-
 # kind: `entry` for what the slot holds now, `empty` for a slot that holds nothing,
 # `status` for the fate of one edit.
 _OUT = (
@@ -32,15 +30,14 @@ _OUT = (
 _OUT_COLUMNS = [
     "projectId", "stageId", "dateStamp", "kind", "userId", "id", "born", "hours", "seq", "status",
 ]
-_STATE = "entries string, frozen boolean"
+_STATE = "entries string"
 
 
 def _update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     slot = Slot()
     if state.exists:
-        entries, frozen = state.get
+        (entries,) = state.get
         slot = Slot((user, entry) for user, entry in json.loads(entries))
-        slot.frozen = frozen
     edits = pd.concat(list(batches), ignore_index=True)
     edits["_late"] = edits["op"] != SEED
     edits = edits.sort_values(["_late", "ts", "seq"])
@@ -52,7 +49,7 @@ def _update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> I
         status = slot.apply(op, int(user), int(hour), int(seq))
         out.append((*key, "status", user, None, None, None, seq, status))
     held = list(slot.rows())
-    state.update((json.dumps([(u, [i, b, h]) for u, i, b, h in held]), slot.frozen))
+    state.update((json.dumps([(u, [i, b, h]) for u, i, b, h in held]),))
     out.extend((*key, "entry", u, i, b, h, None, None) for u, i, b, h in held)
     if not held:
         out.append((*key, "empty", None, None, None, None, None, None))
@@ -98,13 +95,16 @@ def run_available(edits: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def read_edits(spark: SparkSession, path: str, bytes_per_batch: int = BATCH_BYTES) -> DataFrame:
+def read_edits(spark: SparkSession, path: str, bytes_per_batch: int | None = None) -> DataFrame:
     """Edit stream from a folder of parquet files.
 
-    `bytes_per_batch` bounds a micro-batch, and with it what one slot can bring to a task
-    at once, however many of the edits are for that slot.
+    `bytes_per_batch` limits the files of a micro-batch (a file is never split). Edits are
+    ordered inside a batch only, so the limit is the caller's choice, and there is none
+    unless given.
     """
-    reader = spark.readStream.schema(EDIT).option("maxBytesPerTrigger", bytes_per_batch)
+    reader = spark.readStream.schema(EDIT)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 

@@ -53,7 +53,7 @@ def tables(spark, fact=(), user=None, project=None, deadline=(), stage=None) ->
         user=user
         or users(
             spark,
-            [(1, "Ann Lee", "1.0,0.62,0.7,1"), (2, "Bob", "0.5,0.5,0.5,1"), (3, "Cy Dent", None)],
+            [(1, "Ann Lee", "0.9,0.3,0.5,1"), (2, "Bob", "0.5,0.5,0.5,1"), (3, "Cy Dent", None)],
         ),
     )
 

@@ -20,17 +20,11 @@ def fate(outcome):
 def brute(entries, commands):
     """One request at a time over a plain list of rows."""
     log = [list(e) for e in sorted(entries)]
-    frozen = set()
-    for p, s, d in {(e[2], e[3], e[4]) for e in log}:
-        if len({e[1] for e in log if (e[2], e[3], e[4]) == (p, s, d)}) > 2:
-            frozen.add((p, s, d))
     statuses = {}
     for seq, op, u, p, s, d, h in sorted(commands):
         here = [e for e in log if (e[2], e[3], e[4]) == (p, s, d)]
         own = [e for e in here if e[1] == u]
-        if (p, s, d) in frozen:
-            statuses[seq] = DAY_FULL
-        elif op == "delete":
+        if op == "delete":
             if own and h <= own[0][5]:
                 log.remove(own[0])
                 statuses[seq] = DELETED
@@ -93,10 +87,7 @@ def test_mixed_edits_equal_one_request_at_a_time(spark, seed, people):
 
 
 @pytest.mark.parametrize("seed, people", [(6, 4), (7, 40)])
-def test_crowded_slots_equal_one_request_at_a_time(spark, monkeypatch, seed, people):
-    from hourloom.operators import edits as module
-
-    monkeypatch.setattr(module, "CROWD", 5)
+def test_crowded_slots_equal_one_request_at_a_time(spark, seed, people):
     entries, commands = scenario(seed, n=400, people=people)
     expected, statuses = brute(entries, commands)
     outcome = apply_edits(facts(spark, entries), edits(spark, commands))
@@ -119,12 +110,12 @@ def test_delete_needs_an_hour_within_the_entry(spark):
     assert fate(outcome) == {1: DELETED} and state(outcome) == []
 
 
-def test_over_full_slot_is_frozen(spark):
+def test_over_full_slot_takes_deletes_and_then_sets(spark):
     base = facts(spark, [(i, i, 1, 1, DAY, 4) for i in (1, 2, 3)])
-    commands = edits(spark, [(1, "set", 1, 1, 1, DAY, 9), (2, "delete", 1, 1, 1, DAY, 1)])
-    outcome = apply_edits(base, commands)
-    assert fate(outcome) == {1: DAY_FULL, 2: DAY_FULL}
-    assert [r[-1] for r in state(outcome)] == [4, 4, 4]
+    commands = [(1, "set", 1, 1, 1, DAY, 9), (2, "delete", 1, 1, 1, DAY, 1), (3, "set", 2, 1, 1, DAY, 6), (4, "set", 1, 1, 1, DAY, 2)]
+    outcome = apply_edits(base, edits(spark, commands))
+    assert fate(outcome) == {1: DAY_FULL, 2: DELETED, 3: SAVED, 4: DAY_FULL}
+    assert [r[-1] for r in state(outcome)] == [6, 4]
     sets = edits(spark, [(1, "set", 1, 1, 1, DAY, 9)])
     assert fate(upsert_entries(base, sets)) == {1: DAY_FULL}
 

@@ -12,7 +12,7 @@ def one(spark, value, f, kind="string"):
 
 def test_hex_rounds_half_to_even_and_clamps(spark):
     for stored, expected in [
-        ("1.0,0.62,0.7,1", "#ff9eb2"),
+        ("0.9,0.3,0.5,1", "#e64c80"),
         ("0.5,0.5,0.5,1", "#808080"),
         (" 2 , -1, 0 ", "#ff0000"),
         ("0.1,0.2", None),

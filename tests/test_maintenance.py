@@ -66,18 +66,75 @@ def test_new_projects_have_six_stage_rows_and_unique_names(spark):
 def test_partial_updates_touch_only_named_fields(spark):
     t = tables(spark)
     patch = spark.createDataFrame(
-        [(1, ["name"], "Ann Doe", None), (2, ["color"], "ignored", "#ff0000")],
-        "id long, fields array<string>, name string, color string",
+        [(1, 1, ["name"], "Ann Doe", None), (2, 2, ["color"], "ignored", "#ff0000")],
+        "seq long, id long, fields array<string>, name string, color string",
     )
     after = bag(m.update_users(t, patch).user, "id", "name", "color")
-    assert after == [(1, "Ann Doe", "1.0,0.62,0.7,1"), (2, "Bob", "1.0, 0.0, 0.0, 1.0"), (3, "Cy Dent", None)]
-    patch = spark.createDataFrame([(1, ["square", "isDone"], None, 1)], "id long, fields array<string>, square int, isDone int")
+    assert after == [(1, "Ann Doe", "0.9,0.3,0.5,1"), (2, "Bob", "1.0, 0.0, 0.0, 1.0"), (3, "Cy Dent", None)]
+    patch = spark.createDataFrame(
+        [(1, 1, ["square", "isDone"], None, 1)], "seq long, id long, fields array<string>, square int, isDone int"
+    )
     assert bag(m.update_projects(t, patch).project, "id", "square", "isDone")[0] == (1, None, 1)
 
 
+def test_bad_patch_rows_are_turned_away(spark):
+    t = tables(spark)
+    patch = spark.createDataFrame(
+        [
+            (1, 1, ["color"], None, "#zz", None), (2, 2, ["admin"], None, None, "yes"), (3, 3, ["name"], " ", None, None),
+            (4, 1, ["name", "admin"], "Ann", "#zz", "1"), (5, 2, None, "nothing named", "#zz", "yes"),
+        ],
+        "seq long, id long, fields array<string>, name string, color string, admin string",
+    )
+    assert bag(m.rejected(m.check_user_patch(patch)), "seq", "reason") == [
+        (1, "bad color"), (2, "bad admin"), (3, "no name"),
+    ]
+    after = bag(m.update_users(t, patch).user, "id", "name", "color", "admin")
+    assert after == [(1, "Ann", "0.9,0.3,0.5,1", 1), (2, "Bob", "0.5,0.5,0.5,1", 0), (3, "Cy Dent", None, 0)]
+
+
+def test_repeated_patch_rows_set_the_last_value_of_each_field(spark):
+    t = tables(spark, deadline=DEADLINES)
+    patch = spark.createDataFrame(
+        [(3, 1, ["name"], "late", 1), (1, 1, ["name", "admin"], "early", 1), (2, 1, ["admin"], "no", 0)],
+        "seq long, id long, fields array<string>, name string, admin int",
+    )
+    after = bag(m.update_users(t, patch).user, "id", "name", "admin")
+    assert after[0] == (1, "late", 0) and len(after) == 3
+    twice = spark.createDataFrame(
+        [(2, 1, 1, day("2026-01-01")), (1, 1, 1, day("2025-01-01"))],
+        "seq long, projectId long, stageId int, finishdate date",
+    )
+    assert bag(m.patch_deadlines(t, twice).deadline)[0] == (1, 1, day("2026-01-01"))
+    assert m.patch_deadlines(t, twice).deadline.count() == 3
+
+
+def test_projects_keep_unique_names(spark):
+    t = tables(spark)
+    patch = spark.createDataFrame(
+        [
+            (1, 1, ["name"], "X", "1"), (2, 2, ["name"], "x", "1"), (3, 3, ["name"], "дом", "1"), (4, 1, ["name"], "X", "1"),
+            (5, 2, ["square"], None, "big"), (6, 3, ["name", "square"], "ПУСТОЙ", "7"), (7, 3, ["name"], None, "1"),
+        ],
+        "seq long, id long, fields array<string>, name string, square string",
+    )
+    assert bag(m.rejected(m.check_project_patch(t, patch)), "seq", "reason") == [
+        (2, "name repeated"), (3, "name taken"), (5, "bad square"), (7, "no name"),
+    ]
+    assert bag(m.update_projects(t, patch).project, "id", "name", "square") == [
+        (1, "X", 50), (2, "Офис", 80), (3, "ПУСТОЙ", 7),
+    ]
+
+
+def test_ids_of_deleted_rows_are_not_used_again(spark):
+    t = m.delete_users(tables(spark), spark.createDataFrame([(3,)], "id long"))
+    batch = spark.createDataFrame([(1, "Eva", "eva")], "seq long, name string, username string")
+    assert max(bag(m.insert_users(t, batch, F.lit(4)).user, "id")) == (4,)
+
+
 def test_deadline_patch(spark):
     t = tables(spark, deadline=DEADLINES)
-    patch = spark.createDataFrame([(1, 2, day("2025-01-01")), (2, 5, day("2025-01-01"))], "projectId long, stageId int, finishdate date")
+    patch = spark.createDataFrame([(1, 1, 2, day("2025-01-01")), (2, 2, 5, day("2025-01-01"))], "seq long, projectId long, stageId int, finishdate date")
     assert bag(m.patch_deadlines(t, patch).deadline) == [(1, 1, day("2024-01-01")), (1, 2, day("2025-01-01")), (2, 1, None)]
 
 

@@ -1,7 +1,6 @@
 import pytest
 
 from hourloom.operators import cards, directory, gantt, lines, matrix, worklog
-from hourloom.plans.wide import TooManyColumns
 from hourloom.schema import ALL, ARCHIVED, CURRENT, STAGE_NAMES, TOTAL
 from small import bag, projects, rows, stages, tables, users
 
@@ -61,22 +60,20 @@ def test_pages_tile_the_log(spark):
     assert pages[9] == []
 
 
-def test_checked_pages_leave_orphans_out(spark):
+def test_pages_leave_orphans_out_and_stay_full(spark):
     log = [(1, 1, 1, 1, "2024-01-03", 1), (2, 99, 1, 1, "2024-01-02", 1), (3, 1, 99, 1, "2024-01-02", 1), (4, 1, 1, 2, "2024-01-01", 1)]
+    log += [(5, 1, 1, 9, "2024-01-05", 1)]
     t = tables(spark, log)
-    assert [r[0] for r in rows(worklog.worklog_page(t, size=2, checked=True), "id")] == [1, 4]
+    assert [r[0] for r in rows(worklog.worklog_page(t, size=2), "id")] == [1, 4]
+    assert rows(worklog.worklog_count(t)) == [(2,)]
 
 
-def test_deep_page_in_a_crowded_day(spark, monkeypatch):
-    from hourloom.plans import paging
-
-    monkeypatch.setattr(paging, "SORTED_SKIP_LIMIT", 10)
-    monkeypatch.setattr(paging, "BUCKETS", 4)
+def test_deep_page_in_a_crowded_day(spark):
     log = [(3 * i, 1, 1, 1, "2024-01-01", 1) for i in range(1, 300)]
     log += [(10_000 + i, 1, 1, 1, "2023-12-31", 1) for i in range(20)]
     t = tables(spark, log)
     order = [r[0] for r in log]
-    for page in (0, 3, 17, 42, 44):
+    for page in (0, 3, 42, 44):
         found = [r[0] for r in rows(worklog.worklog_page(t, page=page, size=7), "id")]
         assert found == order[page * 7 : page * 7 + 7]
 
@@ -127,10 +124,7 @@ def test_same_names_stay_apart_unless_merged(spark):
     assert bag(worklog.grouped_hours(t, user="ANNA", merge_names=True), "hours") == [(5,)]
 
 
-def test_many_matching_names_are_filtered_by_the_join(spark, monkeypatch):
-    from hourloom.plans import predicates
-
-    monkeypatch.setattr(predicates, "KEY_LIST_LIMIT", 1)
+def test_all_people_of_a_name_count(spark):
     t = tables(
         spark,
         [(i, i, 1, 1, "2024-01-01", i) for i in (1, 2, 3)],
@@ -183,22 +177,22 @@ def test_matrix_drops_unknown_stages_before_totals(spark):
 
 def test_wide_matrix(spark):
     t = tables(spark, LOG)
-    wide = matrix.stage_matrix_wide(t, 2024, project_id=1)
+    wide = matrix.stage_matrix_wide(t, 1, 2024)
     assert wide.columns == ["project_id", "stage", "Ann Lee", "Bob", TOTAL]
     assert [r[1] for r in rows(wide)] == [*STAGE_NAMES, TOTAL]
     assert rows(wide)[-1] == (1, TOTAL, 5, 5, 10)
     assert matrix.matrix_headers(wide) == {"Ann Lee": "Ann", "Bob": "Bob", TOTAL: TOTAL}
-    with pytest.raises(TooManyColumns):
-        matrix.stage_matrix_wide(t, 2024, limit=1)
 
 
 def test_wide_user_hours_cut_headers(spark):
     long_names = projects(spark, [(1, "П" * 35 + "а", 1, 1, 0), (2, "П" * 35 + "б", 1, 1, 0)])
     t = tables(spark, LOG, project=long_names)
-    wide = matrix.user_project_hours_wide(t, 2023)
+    more = [*LOG, (90, 1, 2, 1, "2023-06-01", 3)]
+    wide = matrix.user_project_hours_wide(tables(spark, more, project=long_names), 1, 2023)
     assert wide.columns == ["user_id", "П" * 30, "П" * 30 + " (2)"]
-    assert bag(wide) == [(1, 4, 0), (2, 0, 8)]
-    assert rows(matrix.user_project_hours_wide(t, 2020)) == []
+    assert bag(wide) == [(1, 4, 3)]
+    assert bag(matrix.user_project_hours_wide(t, 2, 2023)) == [(2, 8)]
+    assert rows(matrix.user_project_hours_wide(t, 1, 2020)) == []
 
 
 def test_gantt(spark):
@@ -219,7 +213,7 @@ def test_directories_and_colours(spark):
     assert rows(directory.user_directory(t), "css", "admin", "status")[2] == ("rgba(47, 47, 47, 1)", "Нет", "Актуальный")
     assert rows(directory.project_directory(t), "id", "status")[1] == (2, "Не актуальный")
     assert bag(directory.latest_project(t)) == [(1, 1), (2, 2), (3, 2)]
-    assert bag(directory.first_name_colours(t)) == [(1, "", "#808080"), (1, "Ann", "#ff9eb2"), (2, "", "#808080")]
+    assert bag(directory.first_name_colours(t)) == [(1, "", "#808080"), (1, "Ann", "#e64c80"), (2, "", "#808080")]
     assert (2, 3, "Cy Dent", "#000000") in bag(directory.user_series_colours(t))
     assert bag(directory.project_series_colours(t)) == [
         (1, 1, "Дом", "#66C2A5"), (2, 1, "Дом", "#66C2A5"), (2, 2, "Офис", "#FC8D62"), (3, 2, "Офис", "#66C2A5"),
