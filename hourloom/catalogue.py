@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from hourloom.operators import (
     matrix,
     worklog,
 )
-from hourloom.schema import ALL, ARCHIVED, CURRENT, SLOT, STAGE_NAMES, Tables
+from hourloom.schema import ALL, ARCHIVED, CURRENT, SCHEMAS, STAGE_NAMES, Tables
 from hourloom.session import fresh_dir, shared_dir
 from hourloom.sources import cache, dump, snapshots, tables, views
 from hourloom.streaming import edit_stream
@@ -351,6 +352,50 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump.dump_table(spark, path, "user")
 
 
+def _statements(name: str, rows: DataFrame) -> DataFrame:
+    """Dump text of a table: statements of up to 500 tuples, each on lines of its own."""
+    columns = SCHEMAS[name].fieldNames()
+    tuples = rows.select(
+        F.floor(F.monotonically_increasing_id() / 500).alias("statement"),
+        F.concat(F.lit("\t("), F.concat_ws(", ", *[_literal(c) for c in columns]), F.lit(")")).alias("tuple"),
+    )
+    header = f"INSERT INTO `{name}` ({', '.join(f'`{c}`' for c in columns)}) VALUES\n"
+    body = F.array_join(F.collect_list("tuple"), ",\n")
+    return tuples.groupBy("statement").agg(
+        F.concat(F.lit(header), body, F.lit(";\n")).alias("value")
+    ).select("value")
+
+
+def _ingested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five tables of the long log written as dump text and ingested; rows and a sum of
+    each."""
+    t = views.long_log(spark, sf_dir, dated=True)
+    path, root = fresh_dir(spark, "dump"), fresh_dir(spark, "ingested")
+    given = {
+        "main": t.fact.withColumn("id", F.monotonically_increasing_id() + 1),
+        "project": t.project,
+        "projectstage": t.deadline,
+        "stage": t.stage,
+        "user": t.user,
+    }
+    texts = [_statements(name, df) for name, df in given.items()]
+    reduce(DataFrame.unionByName, texts).write.text(path)
+    dump.ingest_dump(spark, path, root)
+    back = tables.load_tables(spark, root)
+    sums = {
+        "main": (back.fact, F.sum("hours")),
+        "project": (back.project, F.sum("square")),
+        "projectstage": (back.deadline, F.count("finishdate")),
+        "stage": (back.stage, F.sum("id")),
+        "user": (back.user, F.sum("relevant")),
+    }
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n"), total.cast("long").alias("total")).withColumn("table", F.lit(name))
+        for name, (df, total) in sums.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.long_log(spark, sf_dir)
     version = f"{spark.sparkContext.applicationId}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
@@ -462,6 +507,7 @@ def queries() -> dict[str, Query]:
         "d01_audit": _wl(audit.integrity_audit),
         "d01_audit_calendar": _cal(audit.integrity_audit),
         "i01_ingest": _ingested,
+        "i01_ingest_all": _ingested_all,
         "c01_cached": _cached,
         "p04_published": _published,
     }

@@ -11,6 +11,7 @@ from hourloom.functions.colours import is_colour
 from hourloom.functions.text import NAME_COLLATION
 from hourloom.operators.slot_rules import SEATS
 from hourloom.schema import GRID_HOURS, SCHEMAS, SLOT, Tables
+from hourloom.session import fresh_dir
 
 MAX_LEVEL = 5
 
@@ -34,9 +35,13 @@ def _groups_where(table: DataFrame, finding: str, keys: list, bad: Column, *aggs
     )
 
 
-def _orphans(table: DataFrame, finding: str, key: str, parent: DataFrame) -> DataFrame:
-    """Rows whose key has no parent. Counted per key before the join, so no key is hot."""
-    per_key = table.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+def _orphans(
+    table: DataFrame, finding: str, key: str, parent: DataFrame, rows: str | None = None
+) -> DataFrame:
+    """Rows whose key has no parent; column `rows` says how many a row stands for. Counted
+    per key before the join, so no key is hot."""
+    count = F.sum(rows) if rows else F.count(F.lit(1))
+    per_key = table.groupBy(F.col(key).alias("_key")).agg(count.alias("_n"))
     known = parent.select(F.col("id").alias("_id"))
     lost = per_key.join(known, F.col("_key") == F.col("_id"), "left_anti")
     return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(
@@ -44,9 +49,31 @@ def _orphans(table: DataFrame, finding: str, key: str, parent: DataFrame) -> Dat
     )
 
 
-def _slot_findings(fact: DataFrame) -> DataFrame:
-    """Doubled entries and over-full slots from one grouping, per person and then per slot."""
-    per_person = fact.groupBy(*SLOT, "userId").agg(F.count(F.lit(1)).alias("_rows"))
+def _summary(fact: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """One row per slot and person: entries (`_rows`), hours (`_hours`) and how many entries
+    fail each check (`_c0`, ...). All but one of the fact's findings roll this up, so it is
+    written once and the fact is scanned once for it."""
+    path = fresh_dir(fact.sparkSession, "audit")
+    summary = fact.groupBy(*SLOT, "userId").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.col("hours").cast("int")).alias("_hours"),
+        *[F.count_if(bad).alias(f"_c{i}") for i, bad in enumerate(checks.values())],
+    )
+    summary.write.parquet(path)
+    return fact.sparkSession.read.schema(summary.schema).parquet(path)
+
+
+def _summed(summary: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Entries that fail each check, from the summary."""
+    counts = summary.agg(
+        *[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(checks))]
+    )
+    pairs = [F.struct(F.lit(f).alias("finding"), F.col(f"c{i}").alias("n")) for i, f in enumerate(checks)]
+    return counts.select(F.inline(F.array(*pairs)))
+
+
+def _slot_findings(per_person: DataFrame) -> DataFrame:
+    """Doubled entries and over-full slots."""
     per_slot = per_person.groupBy(*SLOT).agg(
         F.count_if(F.col("_rows") > 1).alias("_doubled"), F.count(F.lit(1)).alias("_people")
     )
@@ -77,11 +104,16 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
     """
     more = F.col("_n") > 1
     count = F.count(F.lit(1)).alias("_n")
-    hours = F.sum(F.col("hours").cast("int")).alias("_n")
+    hours = F.sum("_hours").alias("_n")
     same_name = F.collate(F.col("name"), NAME_COLLATION).alias("_name")
     entry_key = list(key or t.tie_keys)
     if key is None and entry_key != ["id"]:
         entry_key = ["dateStamp", *entry_key]
+    entry_checks = {
+        **_nulls("main", t.fact),
+        "main: hours out of range": ~F.col("hours").between(1, GRID_HOURS),
+    }
+    summary = _summary(t.fact, entry_checks)
     findings = [
         _groups_where(t.fact, "main: key repeated", entry_key, more, count),
         _groups_where(t.project, "project: id repeated", ["id"], more, count),
@@ -89,10 +121,7 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
         _groups_where(t.deadline, "projectstage: key repeated", ["projectId", "stageId"], more, count),
         _groups_where(t.stage, "stage: id repeated", ["id"], more, count),
         _groups_where(t.user, "user: id repeated", ["id"], more, count),
-        _rows_where(
-            t.fact,
-            {**_nulls("main", t.fact), "main: hours out of range": ~F.col("hours").between(1, GRID_HOURS)},
-        ),
+        _summed(summary, entry_checks),
         _rows_where(
             t.project,
             {
@@ -118,14 +147,14 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
                 "user: color unreadable": F.col("color").isNotNull() & ~is_colour(F.col("color")),
             },
         ),
-        _orphans(t.fact, "main: user unknown", "userId", t.user),
-        _orphans(t.fact, "main: project unknown", "projectId", t.project),
-        _orphans(t.fact, "main: stage unknown", "stageId", t.stage),
+        _orphans(summary, "main: user unknown", "userId", t.user, "_rows"),
+        _orphans(summary, "main: project unknown", "projectId", t.project, "_rows"),
+        _orphans(summary, "main: stage unknown", "stageId", t.stage, "_rows"),
         _orphans(t.deadline, "projectstage: project unknown", "projectId", t.project),
         _orphans(t.deadline, "projectstage: stage unknown", "stageId", t.stage),
-        _slot_findings(t.fact),
+        _slot_findings(summary),
         _groups_where(
-            t.fact, "main: day too long", ["userId", "dateStamp"], F.col("_n") > GRID_HOURS, hours
+            summary, "main: day too long", ["userId", "dateStamp"], F.col("_n") > GRID_HOURS, hours
         ),
     ]
     return reduce(DataFrame.unionByName, findings).select("finding", F.col("n").cast("long").alias("n"))

@@ -561,6 +561,12 @@ FROM deadline JOIN project p ON p.id = projectId""",
         "m06_rejects": _REJECTS,
         "d01_audit": _audit(_WL, "dateStamp, orderKey, stageId, projectId, userId, hours"),
         "d01_audit_calendar": _audit(_CAL, "id"),
+        "i01_ingest_all": f"""{_WL}
+SELECT 'main' AS "table", count(*) AS n, {_SUM} AS total FROM fact
+UNION ALL SELECT 'project', count(*), CAST(sum(square) AS BIGINT) FROM project
+UNION ALL SELECT 'projectstage', count(*), count(finishdate) FROM deadline
+UNION ALL SELECT 'stage', count(*), CAST(sum(id) AS BIGINT) FROM stage
+UNION ALL SELECT 'user', count(*), CAST(sum(relevant) AS BIGINT) FROM usr""",
         "i01_ingest": f"{_WL} SELECT id, name, color, username, admin, relevant FROM usr",
         "c01_cached": f"""{_WL}
 SELECT userId AS user_id, projectId AS project_id, p.name AS project, {_SUM} AS hours

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -10,8 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", name: str = "hourloom", **extra: str) -> SparkSession:
-    """A single-machine session for tests and the bench; clusters bring their own."""
+    """A single-machine session for tests and the bench, with a temporary folder as its
+    `spark.checkpoint.dir`; clusters bring their own session and folder."""
     conf = {
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="hourloom-"),
         "spark.sql.shuffle.partitions": str(cpus) if cpus != "*" else "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -27,22 +28,11 @@ def local_session(cpus: int | str = "*", name: str = "hourloom", **extra: str) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the cluster's `spark.checkpoint.dir`.
-
-    Only a local session without that setting gets a temporary folder.
-    """
+    """Folder all executors can reach: the session's `spark.checkpoint.dir`."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_dir(spark.sparkContext.applicationId)
-
-
-@functools.cache
-def _local_dir(application: str) -> str:
-    """One temporary folder per local session."""
-    return tempfile.mkdtemp(prefix="hourloom-")
+    return configured.rstrip("/")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from hourloom.schema import SCHEMAS, Tables
+from hourloom.session import fresh_dir
 
 _HEADER = r"^\s*INSERT INTO\s+`?(\w+)`?\s*\(([^)]*)\)\s*VALUES"
 # A quoted text, with doubled quotes and backslash escapes.
@@ -99,6 +100,11 @@ def load_dump(spark: SparkSession, path: str) -> Tables:
 
 
 def ingest_dump(spark: SparkSession, path: str, root: str) -> None:
-    """Write the dump's tables as `<root>/<table>` parquet."""
+    """Write the dump's tables as `<root>/<table>` parquet. The text is taken apart once, into
+    lines split by table in the shared folder, from which each table is read."""
+    split = fresh_dir(spark, "dump-lines")
+    lines = statement_lines(spark, path).filter(F.col("table").isin(*SCHEMAS))
+    lines.write.partitionBy("table").parquet(split)
+    stored = spark.read.schema(lines.schema).parquet(split)
     for name in SCHEMAS:
-        dump_table(spark, path, name).write.mode("errorifexists").parquet(f"{root}/{name}")
+        dump_table(spark, path, name, stored).write.mode("errorifexists").parquet(f"{root}/{name}")
