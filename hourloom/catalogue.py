@@ -143,6 +143,25 @@ def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _command_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as clicks by date parts; the month runs on past twelve, some hours are off
+    the grid and some ops unknown. The clicks that are turned away."""
+    key = F.col("event_id")
+    clicks = _events(spark, sf_dir).select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        key.alias("seq"),
+        F.when(key % 11 == 0, F.lit("move")).otherwise(F.lit("set")).alias("op"),
+        F.col("user_id").alias("userId"),
+        F.lit(1).cast("long").alias("projectId"),
+        F.lit(1).alias("stageId"),
+        F.year("ts").alias("year"),
+        (key % 13 + 1).cast("int").alias("month"),
+        F.dayofmonth("ts").alias("day"),
+        (key % 14).cast("int").alias("hour"),
+    )
+    return edits.read_commands(clicks)[1].select("seq", "reason")
+
+
 # ---------------------------------------------------------------- maintenance
 
 
@@ -419,6 +438,7 @@ def queries() -> dict[str, Query]:
         "r02_status_counts": _wl(cards.status_counts),
         "r02_current_count": _wl(cards.count_projects),
         "r03_user_status_counts": _wl(cards.user_status_counts),
+        "r03_one_user": _wl(lambda t: cards.count_projects_of(t, 3)),
         "r04_years": _wl(w.active_years),
         "r05_facets": _wl(w.filter_facets),
         "r06_chart_facets": _wl(lambda t: w.chart_facets(t, TODAY)),
@@ -455,6 +475,7 @@ def queries() -> dict[str, Query]:
                 t, year=ALL, month=ALL, day=ALL, user=ALL, project=ALL, square=ALL, stage=ALL
             )
         ),
+        "r09_merged_names": _wl(lambda t: w.grouped_hours(t, user=ALL, merge_names=True)),
         "r10_lines_month": _wl(lambda t: lines.project_lines(t, YEAR)),
         "r10_lines_day": _wl(lambda t: lines.project_lines(t, YEAR, MONTH)),
         "r11_user_lines": _wl(lambda t: lines.user_lines(t, YEAR)),
@@ -466,6 +487,8 @@ def queries() -> dict[str, Query]:
         ),
         "r13_matrix_long": _wl(lambda t: matrix.stage_matrix(t, YEAR)),
         "r13_matrix_month": _wl(lambda t: matrix.stage_matrix(t, YEAR, MONTH)),
+        "r13_matrix_wide": _wl(lambda t: matrix.stage_matrix_wide(t, 1, YEAR)),
+        "r14_user_wide": _wl(lambda t: matrix.user_project_hours_wide(t, 1, YEAR)),
         "r14_user_projects": _wl(lambda t: matrix.user_project_hours(t, YEAR)),
         "r15_gantt": _wl(lambda t: gantt.gantt_spans(t, YEAR), dated=True),
         "r15_gantt_current": _wl(lambda t: gantt.gantt_spans(t, YEAR, relevant=1), dated=True),
@@ -494,6 +517,7 @@ def queries() -> dict[str, Query]:
         "m02_over_snapshot": lambda s, d: _named(_mixed_over(s, d).entries),
         "m02_over_statuses": lambda s, d: _mixed_over(s, d).statuses,
         "s01_stream": _stream,
+        "p19_command_rejects": _command_rejects,
         "m03_cascade": _wl(_m03_cascade),
         "m03_insert": _m03_insert,
         "m03_update": _wl(_m03_update),

@@ -457,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
         "r02_current_count": f"{_WL} SELECT count(*) AS n FROM project WHERE isDone <> 1",
         "r03_user_status_counts": f"""{_WL}
 SELECT userId AS user_id, isDone AS is_done, count(DISTINCT projectId) AS n FROM fact JOIN project p ON p.id = projectId GROUP BY 1, 2""",
+        "r03_one_user": f"{_WL} SELECT count(DISTINCT projectId) AS n FROM fact JOIN project p ON p.id = projectId WHERE userId = 3 AND isDone <> 1",
         "r04_years": f"{_WL} SELECT DISTINCT {_Y} AS year FROM fact",
         "r05_facets": _FACETS,
         "r06_chart_facets": _CHART_FACETS,
@@ -485,6 +486,7 @@ SELECT userId AS user_id, isDone AS is_done, count(DISTINCT projectId) AS n FROM
             "s.id IS NOT NULL",
             "u.id, p.id",
         ),
+        "r09_merged_names": _grouped({"user": "u.name"}),
         "r10_lines_month": f"{_WL} {_project_lines(_M, _IN_YEAR)}",
         "r10_lines_day": f"{_WL} {_project_lines(_D, _IN_MONTH)}",
         "r11_user_lines": f"""{_WL}
@@ -533,6 +535,15 @@ JOIN ranked r ON r.projectId = e.projectId AND r.stageId = e.stageId AND r.dateS
         "m02_over_snapshot": _log_after_walk(),
         "m02_over_statuses": f"{_walk_over_log()} SELECT seq, status FROM walk WHERE n > 0",
         "s01_stream": _seats(),
+        "p19_command_rejects": """
+WITH c AS (
+  SELECT event_id AS seq, CAST(event_id % 13 + 1 AS INTEGER) AS month, event_id % 11 = 0 AS unknown, event_id % 14 AS hour,
+    CAST(year(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS d FROM events),
+r AS (
+  SELECT seq, concat_ws(', ',
+    CASE WHEN month > 12 OR TRY_CAST(concat(y, '-', lpad(CAST(month AS VARCHAR), 2, '0'), '-', lpad(CAST(d AS VARCHAR), 2, '0')) AS DATE) IS NULL THEN 'no such day' END,
+    CASE WHEN unknown THEN 'unknown op' END, CASE WHEN hour NOT BETWEEN 1 AND 12 THEN 'bad hour' END) AS reason FROM c)
+SELECT * FROM r WHERE reason <> ''""",
         "m03_cascade": f"""{_WL}
 SELECT u.id AS user_id, count(userId) AS n FROM usr u LEFT JOIN fact ON userId = u.id WHERE relevant <> 0 GROUP BY 1""",
         "m03_insert": _INSERTED_USERS,
