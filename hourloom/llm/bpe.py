@@ -15,9 +15,9 @@ import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import table, worker_cache
+from hourloom.llm.common import kept_by_worker, table
 
-CACHE_WORDS = 300_000  # words a worker remembers; then it starts over
+CACHE_WORDS = 150_000  # words a worker remembers; then it starts over
 PIECE_CHARS = 1_000_000  # a very long text is encoded in pieces cut at white space
 BLANK = regex.compile(r"[ \t\n\r]")
 # Below U+0300 every text is in NFC, and tables of case and classes agree.
@@ -198,11 +198,7 @@ def _slices(text: str) -> Iterator[str]:
 
 def load(blob: bytes) -> Vocabulary:
     """The vocabulary, built once per Python worker."""
-    key = ("bpe", hashlib.sha256(blob).digest())
-    cache = worker_cache()
-    if key not in cache:
-        cache[key] = Vocabulary(blob)
-    return cache[key]
+    return kept_by_worker("bpe", hashlib.sha256(blob).digest(), lambda: Vocabulary(blob))
 
 
 def _shipped(spark: SparkSession, path: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,16 @@ def keys128(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns), F.xxhash64(F.lit(77), *columns)]
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker. Task functions travel by value, so
-    their own globals do not outlive a task."""
+def kept_by_worker(kind: str, key, build: Callable):
+    """What `build` makes, once per Python worker as long as `kind` and `key` stay the same;
+    what was kept before goes first, so a worker holds one thing only. Task functions travel
+    by value, so their own globals do not outlive a task."""
     home = sys.modules.setdefault("_hourloom_worker_cache", types.ModuleType("cache"))
-    return home.__dict__.setdefault("entries", {})
+    entries = home.__dict__.setdefault("entries", {})
+    if (kind, key) not in entries:
+        entries.clear()
+        entries[kind, key] = build()
+    return entries[kind, key]
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

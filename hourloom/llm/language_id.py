@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import table, worker_cache
+from hourloom.llm.common import kept_by_worker, table
 from hourloom.llm.texts import CODE_POINTS, blocks
 
 SAMPLE_DOCS = 256  # labelled documents looked at per language, at most
@@ -173,11 +173,8 @@ class Parser:
 
 
 def _parser(samples: dict[str, str]) -> Parser:
-    key = ("lang", hashlib.sha256(repr(sorted(samples.items())).encode()).digest())
-    cache = worker_cache()
-    if key not in cache:
-        cache[key] = Parser(samples)
-    return cache[key]
+    key = hashlib.sha256(repr(sorted(samples.items())).encode()).digest()
+    return kept_by_worker("language", key, lambda: Parser(samples))
 
 
 def language_column(samples: dict[str, str]):

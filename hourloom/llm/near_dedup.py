@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import keys128, spread_join, stored, table, whole, worker_cache
+from hourloom.llm.common import kept_by_worker, keys128, spread_join, stored, table, whole
 from hourloom.llm.components import connected
 from hourloom.llm.grouped import sorted_groups
 
@@ -17,9 +17,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 shares no band with chance (1 - 0.8 ** 5) ** 24 < 1e-4
 SLOTS = BANDS * ROWS
-BLOCK_BYTES = 4_000_000  # text of a block of compared documents, about
+BLOCK_BYTES = 2_000_000  # text of a block of compared documents, about
 MARGIN = 0.16  # below the threshold by so much, an estimate rules a pair out (over 4 sigma)
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_000_000
 MAX_TEXTS = 4096  # of a block; with HASH_BITS they share 64 bits
 HASH_BITS = np.uint64(52)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -38,16 +38,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2 ** 64, kept by the worker."""
-    cache = worker_cache()
-    if len(cache.get("powers", ((), ()))[0]) < n:
+
+    def tables() -> tuple[np.ndarray, np.ndarray]:
         base = 0x9FB21C651E98DF25
-        inverse = pow(base, -1, 1 << 64)
-        size = max(n, 1 << 20)
         up = np.ones(size, np.uint64)
         down = np.ones(size, np.uint64)
-        up[1:], down[1:] = np.uint64(base), np.uint64(inverse)
-        cache["powers"] = np.cumprod(up), np.cumprod(down)
-    return cache["powers"]
+        up[1:], down[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        return np.cumprod(up), np.cumprod(down)
+
+    size = 1 << max(18, n.bit_length())
+    return kept_by_worker("powers", size, tables)
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_CHARS = 4_000_000  # of one block, unless a single text is longer
+MAX_CHARS = 1_000_000  # of one block, unless a single text is longer
 CODE_POINTS = 0x110000
 
 

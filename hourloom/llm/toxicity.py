@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import table, worker_cache
+from hourloom.llm.common import kept_by_worker, table
 from hourloom.llm.texts import CODE_POINTS, blocks
 
 SAMPLE_ROWS = 20_000  # labelled rows the classifier is fitted on, about, at most
@@ -344,11 +344,8 @@ def _add(words: ahocorasick.Automaton, text: str, place: np.ndarray, out: np.nda
 
 
 def _scorer(model: ToxicModel) -> Scorer:
-    key = ("toxic", hashlib.sha256(repr((model.trigrams, model.features)).encode()).digest())
-    cache = worker_cache()
-    if key not in cache:
-        cache[key] = Scorer(model)
-    return cache[key]
+    key = hashlib.sha256(repr((model.trigrams, model.features)).encode()).digest()
+    return kept_by_worker("toxicity", key, lambda: Scorer(model))
 
 
 def evidence_column(spark: SparkSession, model: ToxicModel):
