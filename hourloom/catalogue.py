@@ -128,6 +128,18 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(edit_stream.current_entries(spark, f"{base}/out"))
 
 
+def _seeded_stream(spark: SparkSession, sf_dir: str) -> str:
+    """The month's log as seeds and mixed edits by the next user as a stream; the folder of
+    its output."""
+    events = _events(spark, sf_dir)
+    base = fresh_dir(spark, "edit-stream")
+    seeds = edit_stream.seeds_of(views.calendar_facts(events))
+    seeds.unionByName(views.calendar_edits(events, next_user=True)).write.parquet(f"{base}/in")
+    source = edit_stream.read_edits(spark, f"{base}/in")
+    edit_stream.run_available(source, f"{base}/out", f"{base}/checkpoint")
+    return f"{base}/out"
+
+
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month's log saved, then saved anew with mixed edits by the next user; entries and
     hours per day of the second copy."""
@@ -517,6 +529,8 @@ def queries() -> dict[str, Query]:
         "m02_over_snapshot": lambda s, d: _named(_mixed_over(s, d).entries),
         "m02_over_statuses": lambda s, d: _mixed_over(s, d).statuses,
         "s01_stream": _stream,
+        "s01_seeded": lambda s, d: _named(edit_stream.current_entries(s, _seeded_stream(s, d))),
+        "s01_statuses": lambda s, d: edit_stream.edit_statuses(s, _seeded_stream(s, d)),
         "p19_command_rejects": _command_rejects,
         "m03_cascade": _wl(_m03_cascade),
         "m03_insert": _m03_insert,

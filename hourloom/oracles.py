@@ -535,6 +535,8 @@ JOIN ranked r ON r.projectId = e.projectId AND r.stageId = e.stageId AND r.dateS
         "m02_over_snapshot": _log_after_walk(),
         "m02_over_statuses": f"{_walk_over_log()} SELECT seq, status FROM walk WHERE n > 0",
         "s01_stream": _seats(),
+        "s01_seeded": _log_after_walk(),
+        "s01_statuses": f"{_walk_over_log()} SELECT seq, status FROM walk WHERE n > 0",
         "p19_command_rejects": """
 WITH c AS (
   SELECT event_id AS seq, CAST(event_id % 13 + 1 AS INTEGER) AS month, event_id % 11 = 0 AS unknown, event_id % 14 AS hour,

@@ -1,4 +1,4 @@
-"""Exact running sums and positions without one task holding a whole group."""
+"""Exact running sums without one task holding a whole group."""
 
 from __future__ import annotations
 
@@ -62,14 +62,3 @@ def running_sum(
         .withColumn(running, F.col("_before") + F.col("_inside"))
         .drop("_v", "_range", "_inside", "_before", *keys, *[f"{g}_r" for g in ["_range", *group]])
     )
-
-
-def ordered_position(
-    df: DataFrame,
-    order: list[Column],
-    group: list[str] = (),
-    position: str = "position",
-    size: str = "group_size",
-) -> DataFrame:
-    """Add the 1-based position of each row in its group and the group's size."""
-    return running_sum(df, F.lit(1), order, group, position, size)

@@ -19,31 +19,39 @@ def read_parquet(spark: SparkSession, name: str, *paths: str) -> DataFrame:
 class JdbcSource:
     """A relational source read in `partitions` id ranges at once.
 
-    The bounds only shape the split; rows outside them are read as well. `project` and
-    `projectstage` names are those of the source; only columns of the schema are selected.
+    The ranges lie between the lowest and highest id, which the source is asked for first.
+    `project` and `projectstage` names are those of the source; only columns of the schema
+    are selected.
     """
 
     url: str
     partitions: int = 16
-    lower: int = 0
-    upper: int = 1_000_000
     properties: dict = field(default_factory=dict)
 
-    def options(self, name: str) -> dict[str, str]:
-        key = "projectId" if name == "projectstage" else "id"
+    @staticmethod
+    def key(name: str) -> str:
+        return "projectId" if name == "projectstage" else "id"
+
+    def bounds_options(self, name: str) -> dict[str, str]:
+        ends = f"SELECT min({self.key(name)}) AS low, max({self.key(name)}) AS high FROM {name}"
+        return {"url": self.url, "dbtable": f"({ends}) AS {name}_ends", **self.properties}
+
+    def options(self, name: str, low: int, high: int) -> dict[str, str]:
         columns = ", ".join(SCHEMAS[name].fieldNames())
         return {
             "url": self.url,
             "dbtable": f"(SELECT {columns} FROM {name}) AS {name}_rows",
-            "partitionColumn": key,
-            "lowerBound": str(self.lower),
-            "upperBound": str(self.upper),
+            "partitionColumn": self.key(name),
+            "lowerBound": str(low),
+            "upperBound": str(high + 1),
             "numPartitions": str(self.partitions),
             **self.properties,
         }
 
     def read(self, spark: SparkSession, name: str) -> DataFrame:
-        rows = spark.read.format("jdbc").options(**self.options(name)).load()
+        ends = spark.read.format("jdbc").options(**self.bounds_options(name)).load().first()
+        low, high = (int(v or 0) for v in ends)
+        rows = spark.read.format("jdbc").options(**self.options(name, low, high)).load()
         return conform(rows, name)
 
 

@@ -71,11 +71,13 @@ def test_ingested_tables_load(spark, tmp_path):
 
 
 def test_jdbc_reads_only_schema_columns_in_ranges():
-    source = JdbcSource("jdbc:mysql://host/db", partitions=4, upper=100)
-    options = source.options("user")
+    source = JdbcSource("jdbc:mysql://host/db", partitions=4)
+    options = source.options("user", 5, 99)
     assert "password" not in options["dbtable"] and "username" in options["dbtable"]
     assert options["partitionColumn"] == "id" and options["numPartitions"] == "4"
-    assert source.options("projectstage")["partitionColumn"] == "projectId"
+    assert (options["lowerBound"], options["upperBound"]) == ("5", "100")
+    assert source.options("projectstage", 0, 1)["partitionColumn"] == "projectId"
+    assert "min(projectId)" in source.bounds_options("projectstage")["dbtable"]
 
 
 def test_edits_are_published_to_a_new_folder(spark, tmp_path):
