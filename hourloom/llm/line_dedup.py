@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import ascii_lower, keys128, stored, table, whole
+from hourloom.llm.common import LOWER, UPPER, keys128, spread_join, stored, table, whole
 
 MIN_SITES = 3
 MIN_WORDS = 5
@@ -20,6 +20,19 @@ def near_band(min_sites: int, sketch_k: int = SKETCH_K) -> float:
     return max(1.0, 4 * 1.04 / math.sqrt(2**sketch_k) * min_sites)
 
 
+def normalised(df: DataFrame, column: str) -> DataFrame:
+    """`column` with A-Z lower-cased and, in each line, white space trimmed and runs of it made
+    one blank. Done on the whole text; texts that have no such runs skip the patterns."""
+    simple = F.translate(F.col(column), UPPER + "\t\x0b\x0c\r", LOWER + "    ")
+    out = df.withColumn(column, simple)
+    text = F.col(column)
+    odd = text.startswith(" ") | text.endswith(" ")
+    for part in ("  ", " \n", "\n "):
+        odd = odd | text.contains(part)
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(text, " *\n *", "\n"), " +", " "))
+    return out.withColumn(column, F.when(odd, tidy).otherwise(text))
+
+
 def line_occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int):
     """One narrow row per line that may count: document key (d1, d2), id, site, position in
     the document and the line's key (h1, h2)."""
@@ -28,13 +41,13 @@ def line_occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, m
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("")).alias("site"),
         *[k.alias(n) for k, n in zip(keys128(F.col(f"`{id_col}`"), text), ("d1", "d2"))],
-        F.split(text, "\n").alias("lines"),
+        text.alias("norm"),
     )
-    each = docs.select("id", "site", "d1", "d2", F.posexplode("lines").alias("pos", "line"))
-    norm = F.trim(F.regexp_replace(ascii_lower(F.col("line")), r"[\x20\x09-\x0D]+", " "))
-    each = each.withColumn("norm", norm)
-    each = each.filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) >= min_words - 1)
-    h1, h2 = keys128(F.col("norm"))
+    lines = F.posexplode(F.split("norm", "\n")).alias("pos", "line")
+    each = normalised(docs, "norm").select("id", "site", "d1", "d2", lines)
+    blanks = F.length("line") - F.length(F.replace("line", F.lit(" ")))
+    each = each.filter(blanks >= min_words - 1)
+    h1, h2 = keys128(F.col("line"))
     return each.select("id", "site", "d1", "d2", "pos", h1.alias("h1"), h2.alias("h2"))
 
 
@@ -54,7 +67,7 @@ def boilerplate_lines(
     spread = stored(sketched.filter(F.col("sites") >= min_sites - band), "line-spread")
     clear = spread.filter(F.col("sites") > min_sites + band)
     near = spread.filter(F.col("sites") <= min_sites + band)
-    pairs = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    pairs = spread_join(lines, near.select("h1", "h2"), ["h1", "h2"], "left_semi")
     exact = (
         pairs.groupBy("h1", "h2", "site")
         .agg(F.lit(1).alias("one"))
