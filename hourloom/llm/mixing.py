@@ -15,7 +15,7 @@ GOLDEN = 618033988749894848  # golden ratio's fraction, in units of 1e-18
 UNIT = 10**18
 POINTS = 10**9  # resolution of the cumulative shares
 CELLS = 1024  # equi-join cells of the unit interval
-SLOT_CHUNK = 4096  # slots ranked together
+SLOT_CHUNK = 512  # slots ranked together
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 16, 2048, 65_536
 
 SOURCE = ["no_source", "source_key"]
