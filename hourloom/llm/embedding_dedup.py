@@ -18,7 +18,7 @@ MIN_COSINE = 0.95
 WINDOW = 64
 RECALL = 0.99  # wanted at the threshold itself
 BITS = 64
-BLOCK = 512
+BLOCK = 128
 
 
 def pass_count(rows: int, min_cosine: float, window: int, recall: float) -> int:
