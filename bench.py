@@ -36,10 +36,14 @@ HEADLINE = [
     "r18_contiguity",
     "r19_grid",
     "r19_grid_plain",
+    "r25_lookup",
     "r27_project_colours",
     "m01_upsert",
     "m01_over_snapshot",
     "m02_fold",
+    "m02_over_snapshot",
+    "m04_insert",
+    "s01_stream",
     "d01_audit",
 ]
 
