@@ -76,7 +76,7 @@ def test_grid_gives_back_the_entries(spark):
     assert tops == [(1, 2, 2, 5), (4, 3, 1, 2)]
     detail = calendar.calendar_detail(t, 2024, 1, 1)
     assert rows(detail, "stage_id", "user_id", "day", "hours", "color") == [
-        (1, 1, 2, 3, "#ff9eb2"), (1, 2, 2, 5, "#808080"), (4, 1, 3, 2, "#ff9eb2"),
+        (1, 1, 2, 3, "#e64c80"), (1, 2, 2, 5, "#808080"), (4, 1, 3, 2, "#e64c80"),
     ]
     assert bag(calendar.calendar_legend(t), "user_id", "name") == [(1, "Ann Lee"), (2, "Bob")]
     assert calendar.calendar_detail(t, stage=STAGE_NAMES[3]).count() == 1
