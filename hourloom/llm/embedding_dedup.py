@@ -1,4 +1,4 @@
-"""Op 6, embedding near-dedup by sorted projection passes."""
+"""Op 6, embedding near-dedup by passes of random sign hashes."""
 
 from __future__ import annotations
 
@@ -12,26 +12,56 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.common import spread_join, stored, table
 from hourloom.llm.components import connected
-from hourloom.llm.grouped import sorted_groups
+from hourloom.llm.grouped import sorted_groups, whole_runs
 
 MIN_COSINE = 0.95
 WINDOW = 64
 RECALL = 0.99  # wanted at the threshold itself
-BITS = 64
+BITS = 60  # of a hash, at most
 BLOCK = 128
+CHUNK = 256  # rows of small buckets compared together
+PILOT_ROWS, PILOT_PASSES = 20_000, 3  # sampled to weigh the cost of a hash length
 
 
 def pass_count(rows: int, min_cosine: float, window: int, recall: float) -> int:
-    """Passes after which a pair at the threshold has met in a window with chance `recall`.
+    """Passes after which a pair at the threshold has shared a bucket with chance `recall`,
+    where buckets are by as many bits as split `rows` evenly down to `window`.
 
-    Two vectors at angle a agree in a random sign with chance 1 - a / pi; they come within a
-    window of each other when they agree until fewer rows than the window share the prefix.
+    Two vectors at angle a agree in a random sign with chance 1 - a / pi, whatever the others
+    are like; a bucket is compared whole, so nothing else has to hold.
     """
     agree = 1 - math.acos(min_cosine) / math.pi
     meet = agree ** max(1.0, math.log2(max(rows, 2) / window))
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.9))))
 
 
+def choose_bits(
+    sampled: list[np.ndarray], rows: int, min_cosine: float, window: int, recall: float
+) -> tuple[int, int]:
+    """(bits, passes) of least cost, from the hashes of a sample: per vector length, one row
+    per vector and one column per pilot pass.
+
+    The share of sampled pairs in one bucket tells how many rows a row meets, in hot regions
+    too. Carrying a row weighs as much as four windows of comparisons, and a large bucket
+    carries each row once per block. Whatever the choice, `recall` holds: fewer bits mean
+    larger buckets and fewer passes, down to no bits and all pairs in one pass.
+    """
+    size = sum(len(keys) for keys in sampled)
+    pairs = max(1, size * (size - 1)) * PILOT_PASSES
+    best = (math.inf, 0, 1)
+    for bits in range(BITS + 1):
+        together = 0
+        for keys in sampled:
+            for column in keys.T:
+                n = np.unique(column >> (BITS - bits), return_counts=True)[1].astype(np.float64)
+                together += (n * (n - 1)).sum()
+        met = rows * together / pairs
+        passes = pass_count(window << bits, min_cosine, window, recall) if bits else 1
+        cost = passes * (met + 4 * window * (1 + met / BLOCK))
+        best = min(best, (cost, bits, passes))
+    return best[1:]
+
+
 def _matrix(column) -> np.ndarray:
     """Unit rows in double precision from a list column whose lists have one length."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -40,12 +70,12 @@ def _matrix(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _key_task(passes: int, seed: int):
+def _key_task(passes: int, bits: int, seed: int):
     """Per vector and pass, the concatenated signs of random projections as one integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = np.left_shift(np.uint64(1), np.arange(BITS - 1, -1, -1, dtype=np.uint64))
+        planes: dict[int, list[np.ndarray]] = {}
+        weights = np.left_shift(np.int64(1), np.arange(bits - 1, -1, -1, dtype=np.int64))
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -55,10 +85,9 @@ def _key_task(passes: int, seed: int):
                 part = batch.take(pa.array(at))
                 if dim not in planes:
                     rng = np.random.default_rng([seed, int(dim)])
-                    planes[dim] = rng.standard_normal((int(dim), passes * BITS))
+                    planes[dim] = [rng.standard_normal((int(dim), bits)) for _ in range(passes)]
                 x = _matrix(part.column("vec"))
-                signs = (x @ planes[dim] > 0).reshape(len(at), passes, BITS)
-                keys = (signs * weights).sum(axis=2, dtype=np.uint64).view(np.int64)
+                keys = np.stack([(x @ p > 0) @ weights for p in planes[dim]], axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("node"),
@@ -75,59 +104,66 @@ def _key_task(passes: int, seed: int):
     return run
 
 
-def _forest(links: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links (pairs of positions): (position, root) pairs."""
-    parent = list(range(size))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links, as pairs of positions."""
+    label = np.arange(len(near))
     out = []
-    for i, j in links.tolist():
-        a, b = find(i), find(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        for j in np.flatnonzero(near[i] & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
     return out
 
 
-def _window_task(window: int, min_cosine: float):
-    """Compares each row of a sorted partition with the next `window` rows of its pass; gives
-    links enough to connect what is linked, at most two a row."""
-
-    def links_of(nodes: np.ndarray, runs: np.ndarray, x: np.ndarray, begin: int, end: int):
-        last = min(len(nodes), end + window)
-        near = x[begin:end] @ x[begin:last].T >= min_cosine
-        i, j = np.nonzero(near)
-        ok = (j > i) & (j - i <= window)
-        i, j = i[ok] + begin, j[ok] + begin
-        same = runs[i] == runs[j]
-        forest = _forest(np.stack([i[same], j[same]], 1) - begin, last - begin)
-        return [(int(nodes[a + begin]), int(nodes[b + begin])) for a, b in forest]
+def _bucket_task(min_cosine: float):
+    """Compares all pairs of a bucket, or of two blocks of a large one; gives links enough to
+    connect what is linked, less than one a row. Small buckets are compared side by side."""
+    keys = ["pass", "dim", "key", "a", "b"]
+
+    def chunks(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        begin = 0
+        while begin < ends[-1]:
+            at = np.searchsorted(ends, begin + CHUNK, side="right")
+            at = max(at, np.searchsorted(ends, begin, side="right") + 1)
+            yield begin, int(ends[at - 1])
+            begin = int(ends[at - 1])
+
+    def found(rows: pa.Table) -> list[tuple[int, int]]:
+        columns = [rows.column(k).to_numpy() for k in keys]
+        new = np.zeros(len(rows), bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        group = np.cumsum(new)
+        many = np.bincount(group)[group] > 1
+        if not many.any():
+            return []
+        rows, group = rows.filter(pa.array(many)), group[many]
+        nodes, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
+        cross = (columns[3] != columns[4])[many]
+        x = _matrix(rows.column("vec"))
+        out = []
+        for begin, end in chunks(np.append(np.flatnonzero(np.diff(group)) + 1, len(group))):
+            at = slice(begin, end)
+            near = x[at] @ x[at].T >= min_cosine
+            np.fill_diagonal(near, False)
+            if near.any():
+                near &= group[at][:, None] == group[at]
+                near &= ~cross[at][:, None] | (side[at][:, None] != side[at])
+                out += [(int(nodes[begin + i]), int(nodes[begin + j])) for i, j in _forest(near)]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: dict[int, tuple] = {}
-        for group in sorted_groups(batches, ["pass", "dim"], whole=False):
-            nodes = group.column("node").to_numpy()
-            x = _matrix(group.column("vec"))
-            run_id = group.column("pass").to_numpy() * 1_000_003 + group.column("dim").to_numpy()
-            if carry and carry["run"] == run_id[0]:
-                nodes = np.concatenate([carry["nodes"], nodes])
-                x = np.concatenate([carry["x"], x])
-                run_id = np.concatenate([carry["ids"], run_id])
-            found = []
-            for begin in range(0, len(nodes), BLOCK):
-                found += links_of(nodes, run_id, x, begin, min(begin + BLOCK, len(nodes)))
-            keep = slice(-window, None)
-            carry = {"run": run_id[-1], "nodes": nodes[keep], "x": x[keep], "ids": run_id[keep]}
-            if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]
-                )
+        for rows in whole_runs(batches, keys):
+            dims = rows.column("dim").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            for begin, end in zip(cuts, cuts[1:]):
+                links = found(rows.slice(begin, end - begin))
+                if links:
+                    u, v = zip(*links)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"]
+                    )
 
     return run
 
@@ -172,14 +208,15 @@ def near_vectors(
 ) -> DataFrame:
     """One row per row of `df`: id, `n_links`, `component_id`, `kept`.
 
-    Equal vectors form one class, so copies never multiply pairs. Every pass sorts the
-    classes by their own concatenated random hashes (signs of random projections) and
-    compares each with the next `window` ones, in double precision; the passes' links are
-    united into components. The window bounds the search, not the result: inside a component
-    all pairs are compared in blocks, which gives each vector its full number of links there,
-    however dense the group. No link below `min_cosine` is counted. The number of passes
-    follows from the number of classes and `recall`, the chance that a pair right at the
-    threshold meets; windows end at the borders of range partitions, which differ by pass.
+    Equal vectors form one class, so copies never multiply pairs. Every pass deals the
+    classes into buckets by their own random hash (signs of random projections) and compares
+    all pairs of a bucket in double precision, a large bucket block by block over many tasks;
+    the passes' links are united into components. Inside a component all pairs are compared
+    in blocks, which gives each vector its full number of links there, however dense the
+    group. No link below `min_cosine` is counted. `recall` is the chance that a pair right at
+    the threshold meets, and holds wherever the other vectors point: crowded directions make
+    buckets larger, not searched less. Bits and passes are chosen by the cost measured on a
+    sample of the classes; `window` weighs carrying rows against comparing them.
 
     Null or empty vectors, zero vectors and those with null or non-finite components link
     with nothing: they are components of their own. Vectors of different lengths do not link.
@@ -209,17 +246,33 @@ def near_vectors(
         .withColumn("dim", F.size("vec")),
         "vector-classes",
     )
-    passes = pass_count(classes.count(), min_cosine, window, recall)
-    keyed = classes.select("node", "dim", "vec").mapInArrow(
-        _key_task(passes, seed), "node long, dim int, vec array<double>, keys array<long>"
+    narrow = classes.select("node", "dim", "vec")
+    keyed_schema = "node long, dim int, vec array<double>, keys array<long>"
+    total = classes.count()
+    share = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(1 << 30)) < int(
+        min(1.0, PILOT_ROWS / max(1, total)) * (1 << 30)
     )
+    pilot = narrow.filter(share).mapInArrow(_key_task(PILOT_PASSES, BITS, seed + 1), keyed_schema)
+    by_dim: dict[int, list] = {}
+    for r in pilot.select("dim", "keys").collect():
+        by_dim.setdefault(r.dim, []).append(r["keys"])
+    sampled = [np.array(k, np.int64) for k in by_dim.values()]
+    bits, passes = choose_bits(sampled, total, min_cosine, window, recall)
+    keyed = narrow.mapInArrow(_key_task(passes, bits, seed), keyed_schema)
     keyed = keyed.select("node", "dim", "vec", F.posexplode("keys").alias("pass", "key"))
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "dim", "key", "node"]
-    ranged = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    links = ranged.select("pass", "dim", "node", "vec").mapInArrow(
-        _window_task(window, min_cosine), "u long, v long"
-    )
+    bucket = ["pass", "dim", "key"]
+    large = keyed.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = stored(large.filter("blocks > 1"), "vector-buckets")
+    dealt = spread_join(keyed, large, bucket, "left")
+    dealt = dealt.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64(F.lit(4), "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    order = [*bucket, "a", "b"]
+    dealt = dealt.select(
+        *bucket, "node", "vec", "side",
+        F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"),
+    ).repartition(*order).sortWithinPartitions(*order)
+    links = dealt.mapInArrow(_bucket_task(min_cosine), "u long, v long")
     comps = stored(connected(links, "vector-links"), "vector-components")
     sizes = comps.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = spread_join(comps, sizes, ["root"]).join(classes, "node")

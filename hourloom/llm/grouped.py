@@ -36,3 +36,25 @@ def sorted_groups(
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of a sorted stream as tables that end where a run of equal keys (integers
+    without nulls) ends; for runs that are small."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+        new = np.zeros(len(rows) - 1, bool)
+        for k in keys:
+            c = rows.column(k).to_numpy()
+            new |= c[1:] != c[:-1]
+        cuts = np.flatnonzero(new)
+        last = int(cuts[-1]) + 1 if len(cuts) else 0
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last)
+    if held is not None:
+        yield held

@@ -308,6 +308,43 @@ def test_pass_count_grows_with_rows():
         before = passes
 
 
+def test_vectors_in_one_cone(spark):
+    """Pairs at the threshold meet though all vectors share a direction, a third a second one:
+    64-row windows after log2(n / 64) bits lose many of them."""
+    rng = np.random.default_rng(8)
+    n, dim = 6000, 32
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    common = unit(rng.standard_normal(dim))
+    x = unit(unit(rng.standard_normal((n, dim))) * 0.5 + common * 0.75**0.5)  # mutual cosine 0.75
+    x[: n // 3] = unit(x[: n // 3] + 0.5 * unit(rng.standard_normal(dim)))
+    noise = rng.standard_normal((n, dim))
+    noise = unit(noise - (noise * x).sum(1, keepdims=True) * x)
+    y = x[::10] * 0.951 + noise[::10] * (1 - 0.951**2) ** 0.5
+    vectors = np.concatenate([x, y])
+    near = vectors @ vectors.T >= 0.95
+    want = [(i, j) for i, j in np.argwhere(near).tolist() if i < j]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(df).collect()}
+    assert len(want) >= 600
+    assert sum(got[i] != got[j] for i, j in want) <= 0.02 * len(want)
+
+
+def test_bits_follow_the_crowd():
+    """Crowded hashes take more comparisons into account than even ones, recall stays."""
+    rng = np.random.default_rng(2)
+    even = rng.integers(0, 1 << 60, (20_000, 3))
+    bits, passes = embedding_dedup.choose_bits([even], 3_000_000, 0.95, 64, 0.99)
+    agree = 1 - math.acos(0.95) / math.pi
+    assert 10 <= bits <= 20 and (1 - agree**bits) ** passes <= 0.01
+    crowded = (rng.random((20_000, 3, 60)) < 0.87) @ (1 << np.arange(60))
+    more, passes = embedding_dedup.choose_bits([crowded], 3_000_000, 0.95, 64, 0.99)
+    assert more > bits and (1 - agree**more) ** passes <= 0.01
+    assert embedding_dedup.choose_bits([np.zeros((100, 3), np.int64)], 100, 0.95, 64, 0.99) == (0, 1)
+
+
 def test_row_names_clash(spark):
     df = spark.createDataFrame([Row(doc_id=1, text="a b c d e f", source="s", lines="l", gone=1, ends=2)])
     got = line_dedup.line_dedup(df).select("row.*").collect()[0]
