@@ -36,7 +36,7 @@ LOOKS_LIKE = {
 }
 DROPPED = ".-_*~'`^"  # characters that may stand for nothing between letters
 COST_LOOK, COST_DROP, COST_RUN = 1.0, 0.3, 0.3  # of the channel, in nats
-LONGEST = 48  # characters decoded at a time; longer ones are cut into such pieces
+LONGEST = 48  # characters of a spot whose readings are remembered
 
 
 def letter_symbols() -> np.ndarray:
@@ -205,7 +205,7 @@ class Scorer:
         for c in DROPPED:
             self.kind[ord(c)] |= 0 if self.kind[ord(c)] else 3
         self.plain = lower_letters()
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def spots(self, codes: np.ndarray) -> list[tuple[int, int]]:
         """Ranges that look disguised: a sign inside a word or before it, a letter three times
@@ -245,24 +245,29 @@ class Scorer:
             out.append((begin, end))
         return out
 
-    def decode(self, spot: str) -> str:
-        """The likeliest word behind a spot, in folded letters: Viterbi over the lattice of
-        what each character may stand for. States are the last two letters."""
+    def readings(self, spot: str) -> tuple[str, ...]:
+        """What a spot may say: its likeliest word, and where single letters stand in a row
+        also the likeliest words, with the signs between letters as possible word breaks."""
         if spot in self.known:
             return self.known[spot]
-        out = " ".join(
-            self._viterbi(part)
-            for i in range(0, len(spot), LONGEST)
-            if (part := spot[i : i + LONGEST])
-        )
-        if len(self.known) > 50_000:
-            self.known = {}
-        self.known[spot] = out
+        out = (self.decode(spot),)
+        if _spaced(fold(spot)):
+            out = tuple(dict.fromkeys((*out, self._viterbi(spot, True))))
+        if len(spot) <= LONGEST:
+            if len(self.known) > 50_000:
+                self.known = {}
+            self.known[spot] = out
         return out
 
-    def _viterbi(self, spot: str) -> str:
+    def decode(self, spot: str) -> str:
+        """The likeliest word behind a spot, in folded letters: Viterbi over the lattice of
+        what each character may stand for. States are the last two letters."""
+        return self._viterbi(spot, False)
+
+    def _viterbi(self, spot: str, breaks: bool) -> str:
         text = fold(spot)
-        spaced = not any(a.isalnum() and b.isalnum() for a, b in zip(text, text[1:]))
+        spaced = _spaced(text)
+        between = (("", COST_DROP), (" ", COST_DROP)) if spaced and breaks else (("", COST_DROP),)
         lattice: list[tuple[tuple[str, float], ...]] = []
         i = 0
         while i < len(text):
@@ -281,12 +286,13 @@ class Scorer:
                     arcs.append(("", COST_DROP))
                 lattice.append(tuple(arcs))
             elif c in DROPPED or (spaced and c in " /\\,;:"):
-                lattice.append((("", COST_DROP),))
+                lattice.append(between)
             else:
                 lattice.append(((" ", 0.0),))
-        best = {(SPACE, SPACE): (0.0, "")}
+        # A path is a chain of what was said, last first: linear in the spot.
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(SPACE, SPACE): (0.0, None)}
         for arcs in [*lattice, ((" ", 0.0),)]:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, said) in best.items():
                 for letters, channel in arcs:
                     x, y, total = a, b, cost + channel
@@ -295,9 +301,13 @@ class Scorer:
                         total -= self.logp[x][y][z]
                         x, y = y, z
                     if (x, y) not in step or total < step[x, y][0]:
-                        step[x, y] = (total, said + letters)
+                        step[x, y] = (total, (said, letters) if letters else said)
             best = step
-        return min(best.values())[1].strip()
+        path, said = [], min(best.values(), key=lambda v: v[0])[1]
+        while said is not None:
+            said, letters = said
+            path.append(letters)
+        return "".join(reversed(path)).strip()
 
     def evidence(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Sum of the log-odds of the lexicon's words in each text, plain and restored."""
@@ -311,15 +321,23 @@ class Scorer:
         spots = self.spots(codes)
         owner = np.searchsorted(place, [b for b, _ in spots], side="right")
         for (begin, end), i in zip(spots, owner.tolist()):
-            restored = self.decode(codes[begin:end].tobytes().decode("utf-32-le", "surrogatepass"))
-            if restored:
-                more, already = np.zeros(1), np.zeros(1)
-                _add(self.folded, f" {restored} ", np.array([len(restored) + 1]), more)
+            more = 0.0
+            for restored in self.readings(codes[begin:end].tobytes().decode("utf-32-le", "surrogatepass")):
+                found = np.zeros(1)
+                _add(self.folded, f" {restored} ", np.array([len(restored) + 1]), found)
+                more = max(more, found[0])
+            if more:
+                already = np.zeros(1)
                 _add(self.words, f" {whole[begin:end]} ", np.array([end - begin + 1]), already)
-                out[i] += max(0.0, more[0] - already[0])
+                out[i] += max(0.0, more - already[0])
         return out
 
 
+def _spaced(text: str) -> bool:
+    """Whether all letters and digits stand alone."""
+    return not any(a.isalnum() and b.isalnum() for a, b in zip(text, text[1:]))
+
+
 def _automaton(features: dict[str, float]) -> ahocorasick.Automaton:
     """Finds each feature at the beginning of a word."""
     out = ahocorasick.Automaton()

@@ -169,6 +169,30 @@ def test_decoding():
         assert scorer.evidence(codes, np.array([len(codes)]))[0] == 0, clean
 
 
+def test_letter_spaced_phrases():
+    """The model puts word breaks back, and a long spot is read in one piece."""
+    words = "idiot scum moron trash clown loser worthless disgusting pathetic stupid".split()
+    counts = [0] * 27**3
+    text = " you are an idiot and a moron i see what a loser you are y o a you are "
+    sym = [toxicity.LETTERS.find(c) if c != " " else 26 for c in text * 50]
+    for a, b, c in zip(sym, sym[1:], sym[2:]):
+        counts[(a * 27 + b) * 27 + c] += 1
+    scorer = toxicity.Scorer(toxicity.ToxicModel(counts, {w + " ": 5.0 for w in words}))
+
+    def evidence(spot):
+        codes = np.frombuffer(spot.encode("utf-32-le"), np.uint32)
+        return scorer.evidence(codes, np.array([len(codes)]))[0]
+
+    phrases = "a i d i o t", "y m o r o n", "o l o s e r", "y o u i d i o t", "w h a t a l o s e r y o u a r e"
+    for spot in (*phrases, "a 1 d 1 0 t", "a . m . o . r . o . n"):
+        assert evidence(spot) == 5.0, spot
+    assert evidence(" ".join("youareanidiotandamoron")) == 10.0
+    for lead in range(1, 60):  # wherever a cut could fall
+        assert evidence("x-" * lead + "x 1d10t") == 5.0
+        assert evidence(" ".join("youare" * lead + "amoron")) == 5.0, lead
+    assert evidence(" ".join("youare")) == 0
+
+
 def test_viterbi_is_the_best_path():
     """Against all paths of small lattices."""
     from itertools import product
