@@ -18,6 +18,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 shares no band with chance (1 - 0.8 ** 5) ** 24 < 1e-4
 SLOTS = BANDS * ROWS
 BLOCK_BYTES = 2_000_000  # text of a block of compared documents, about
+BLOCK_ROWS = 1024  # documents of a block, about
 MARGIN = 0.16  # below the threshold by so much, an estimate rules a pair out (over 4 sigma)
 BATCH_BYTES = 1_000_000
 MAX_TEXTS = 4096  # of a block; with HASH_BITS they share 64 bits
@@ -199,9 +200,10 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 def _verified(similarity: float):
     """Links that connect what is similar in a block, or between two blocks, of a candidate
-    group. Pairs that share a band are taken by estimate, best first; a pair that is not
-    connected yet is verified by its multisets. So a group of g copies of one text costs
-    about g verifications, and no pair leaves the task but the links of a forest."""
+    group. Row by row, pairs that share a band and are not connected yet are taken by
+    estimate, best first, and verified by their multisets at once. So a group of g copies of
+    one text costs about g verifications, no more than one row's pairs are held, and no pair
+    leaves the task but the links of a forest."""
 
     def links(nodes: list[int], side: np.ndarray, cross: bool, texts: list[str]):
         sigs, bag = [], []
@@ -213,29 +215,21 @@ def _verified(similarity: float):
             bag += [(shingle[i:j], count[i:j]) for i, j in zip(cut, cut[1:])]
         sig = np.concatenate(sigs)
         band = band_hashes(sig)
-        parent = list(range(len(texts)))
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        likely = []
+        label = np.arange(len(texts))  # equal where connected
+        out = []
         for i in range(len(texts) - 1):
             j = np.arange(i + 1, len(texts))
+            apart = label[j] != label[i]
             if cross:
-                j = j[side[j] != side[i]]
+                apart &= side[j] != side[i]
+            j = j[apart]
             agree = (sig[j] == sig[i]).mean(axis=1)
             near = (agree >= similarity - MARGIN) & (band[j] == band[i]).any(axis=1)
-            likely += [(-s, i, k) for s, k in zip(agree[near].tolist(), j[near].tolist())]
-        likely.sort()
-        out = []
-        for _, i, j in likely:
-            a, b = find(i), find(j)
-            if a != b and overlap(bag[i], bag[j]) >= similarity:
-                parent[max(a, b)] = min(a, b)
-                out.append((nodes[i], nodes[j]))
+            order = np.argsort(-agree[near], kind="stable")
+            for k in j[near][order].tolist():
+                if label[k] != label[i] and overlap(bag[i], bag[k]) >= similarity:
+                    label[label == label[k]] = label[i]
+                    out.append((nodes[i], nodes[k]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +264,7 @@ def near_duplicates(
     later; documents without words are near to nothing but their equals. Nodes that share a
     band of their BagMinHash signatures are candidates. Candidate groups are compared block
     by block: a group of any size spreads over tasks, each with two blocks of about
-    `BLOCK_BYTES` of text, and links are verified on whole multisets.
+    `BLOCK_BYTES` of text or `BLOCK_ROWS` documents, whichever is less, and links are verified on whole multisets.
 
     Null ids take part but never name a class that has another id; a class of null ids only
     has a null `class_id`. Rows that repeat an id and text count each, and are kept or not
@@ -294,7 +288,9 @@ def near_duplicates(
     first = rows.groupBy("node").agg(F.min("id").alias("id"), F.max("bytes").alias("bytes"))
     members = spread_join(groups, first, ["node"])
     totals = members.groupBy("root").agg(
-        F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")
+        F.ceil(
+            F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count("*") / BLOCK_ROWS)
+        ).cast("int").alias("blocks")
     )
     members = spread_join(members, totals, ["root"]).select(
         "node", "root", "id", F.greatest("blocks", F.lit(1)).alias("blocks")

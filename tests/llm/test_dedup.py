@@ -237,6 +237,57 @@ def test_group_of_copies_over_blocks(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == near_by_hand(rows)
 
 
+def test_many_short_copies_stay_small():
+    """A hot group of short near copies: memory grows with the rows of a block, not with its
+    pairs, and all become one."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(40)]
+    n = 1500
+    texts = [" ".join([*base, f"x{rng.randrange(10**9)}"]) for i in range(n)]
+    batch = pa.RecordBatch.from_pydict(
+        {"root": [1] * n, "a": [0] * n, "b": [0] * n, "side": [0] * n, "node": list(range(n)), "text": texts}
+    )
+    tracemalloc.start()
+    out = list(near_dedup._verified(0.8)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(b) for b in out) == n - 1
+    assert peak < 60_000_000
+
+
+def test_blocks_are_bounded_by_rows(spark, monkeypatch):
+    """Short texts fill a block by their number: no task holds a group of any size."""
+    seen = spark.sparkContext.accumulator(0)
+    verified = near_dedup._verified
+
+    def watched(similarity):
+        run = verified(similarity)
+
+        def count(batches):
+            batches = list(batches)
+            sides = Counter(
+                key
+                for b in batches
+                for key in zip(*(b.column(k).to_pylist() for k in ("root", "a", "b", "side")))
+            )
+            seen.add(sum(n > 60 for n in sides.values()))
+            yield from run(iter(batches))
+
+        return count
+
+    monkeypatch.setattr(near_dedup, "_verified", watched)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 20, raising=False)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{i}"]), "s") for i in range(200)]
+    got = near_dedup.near_duplicates(docs(spark, rows))
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == near_by_hand(rows)
+    assert seen.value == 0
+
+
 def test_signatures_are_unbiased():
     """The share of equal slots is the weighted Jaccard similarity."""
     rng = np.random.default_rng(1)
