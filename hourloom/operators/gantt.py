@@ -9,11 +9,40 @@ from pyspark.sql import functions as F
 from hourloom.plans.periods import in_period
 from hourloom.plans.predicates import relevance
 from hourloom.schema import Tables
+from hourloom.session import fresh_dir
 
 # Fixed value: bar length shown for a span inside one month.
 SHORT_SPAN = 0.2
 
 
+def _positions(spans: DataFrame) -> DataFrame:
+    """Adds the place `_pos` by name and start date, and the number `_n` of all spans. The
+    range partitions are written once with their number, so that every later read sees the
+    same ones; places inside a range are shifted by the rows of the ranges before it."""
+    spark = spans.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_dir(spark, "gantt")
+    ranged = spans.repartitionByRange(ranges, "name", "startdate")
+    ranged = ranged.withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    stored = spark.read.schema(ranged.schema).parquet(path)
+    counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
+    # One row per range here, put in order as one array.
+    every = counts.agg(F.array_sort(F.collect_list(F.struct("_range", "_rows"))).alias("_all"))
+    rows = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, c: n + c["_rows"])
+    each = every.select("_all", F.explode("_all").alias("_one")).select(
+        F.col("_one._range").alias("_range"),
+        rows(F.filter("_all", lambda c: c["_range"] < F.col("_one._range"))).alias("_before"),
+        rows(F.col("_all")).alias("_n"),
+    )
+    inside = W.partitionBy("_range").orderBy("name", "startdate")
+    return (
+        stored.withColumn("_inside", F.row_number().over(inside))
+        .join(each, "_range")
+        .withColumn("_pos", F.col("_before") + F.col("_inside"))
+    )
+
+
 def gantt_spans(t: Tables, year: int, relevant: bool | int | None = None) -> DataFrame:
     """(name, start_m, end_m, span, pos): first and last month with entries in the year, the
     bar length, and the even position 0..1 of the project in name order."""
@@ -30,12 +59,7 @@ def gantt_spans(t: Tables, year: int, relevant: bool | int | None = None) -> Dat
         .groupBy("year", "name", "startdate")
         .agg(F.month(F.min("_first")).alias("start_m"), F.month(F.max("_last")).alias("end_m"))
     )
-    # A year's projects, each once.
-    of_year = W.partitionBy("year")
-    placed = (
-        spans.withColumn("_pos", F.row_number().over(of_year.orderBy("name", "startdate")))
-        .withColumn("_n", F.count(F.lit(1)).over(of_year))
-    )
+    placed = _positions(spans)
     months = F.col("end_m") - F.col("start_m")
     return placed.select(
         "name",

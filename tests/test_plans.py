@@ -5,7 +5,7 @@ import re
 import pytest
 
 from hourloom.catalogue import queries
-from hourloom.operators import cards, lines, matrix, worklog
+from hourloom.operators import cards, gantt, lines, matrix, worklog
 from hourloom.schema import ALL
 from hourloom.sources import views
 
@@ -82,3 +82,14 @@ def test_hot_slots_are_cut_before_the_shuffle(spark):
     for name in ("m01_upsert", "r19_grid"):
         text = plan(queries()[name](spark, SF), "simple")
         assert re.search(r"WindowGroupLimit .*row_number\(\), [23], Partial", text)
+
+
+def test_gantt_positions_are_counted_by_range(spark, log):
+    """No task sorts all projects: places are counted inside range partitions."""
+    text = plan(gantt.gantt_spans(log, 1997), "simple")
+    windows = [line for line in text.splitlines() if re.search(r"\bWindow \[", line)]
+    assert windows and all(re.search(r"windowspecdefinition\(_range#", w) for w in windows)
+    rows = gantt.gantt_spans(log, 1997).orderBy("pos").collect()
+    names = [r.name for r in rows]
+    assert names == sorted(names)
+    assert [r.pos for r in rows] == [i / max(1, len(rows) - 1) for i in range(len(rows))]
