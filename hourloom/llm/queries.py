@@ -14,6 +14,7 @@ from hourloom.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    pieces,
     sharding,
     toxicity,
     url_filter,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op12_pieces": pieces.op12_pieces,
 }
 
 SQL: dict[str, str] = {
