@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hourloom.llm import (
     bpe,
+    conversation_repair,
     embedding_dedup,
     exact_dedup,
     language_id,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_mixing": mixing.op10_mixing,
     "op12_pieces": pieces.op12_pieces,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
