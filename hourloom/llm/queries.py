@@ -11,6 +11,7 @@ from hourloom.llm import (
     conversation_repair,
     embedding_dedup,
     exact_dedup,
+    hard_negatives,
     language_id,
     line_dedup,
     mixing,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": sharding.op8_sharding,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_pieces": pieces.op12_pieces,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
