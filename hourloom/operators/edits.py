@@ -6,21 +6,21 @@ An edit is (ts, seq, op, userId, projectId, stageId, dateStamp, hour); `seq` is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from hourloom.functions.dates import date_of
-from hourloom.operators.slot_rules import DAY_FULL, DELETED, NOTHING, SAVED, SEATS, Slot
+from hourloom.operators.slot_rules import DAY_FULL, SAVED, SEATS
+from hourloom.operators.slot_runs import run_slots
 from hourloom.plans.ids import arrival_ids, lowest, next_id
-from hourloom.plans.ranking import running_sum
+from hourloom.plans.joins import spread_join
 from hourloom.schema import EDIT, FACT, GRID_HOURS, SLOT
-from hourloom.session import ensure_checkpoint_dir, fresh_dir
+from hourloom.session import fresh_dir
 
 ENTRY = [*SLOT, "userId"]
 
@@ -160,11 +160,11 @@ def upsert_entries(snapshot: DataFrame, edits: DataFrame, first_id: Column | Non
 
 # ---------------------------------------------------------------- upserts and deletes
 
-_STEP = [*SLOT, "userId", "seed", "ts", "seq", "op", "hour", "id"]
+_STEP = [*SLOT, "userId", "seed", "ts", "seq", "op", "hour"]
 
 
 def _steps(held: DataFrame, edits: DataFrame) -> DataFrame:
-    """Snapshot entries as first steps (seed = 0), then the edits (seed = 1)."""
+    """Snapshot entries as first steps (seed = 0, seq = id), then the edits (seed = 1)."""
     seeds = held.select(
         *ENTRY,
         F.lit(0).alias("seed"),
@@ -172,226 +172,37 @@ def _steps(held: DataFrame, edits: DataFrame) -> DataFrame:
         F.col("id").alias("seq"),
         F.lit("set").alias("op"),
         F.col("hours").alias("hour"),
-        "id",
     )
     commands = edits.select(
-        *ENTRY, F.lit(1).alias("seed"), "ts", "seq", "op", "hour", F.lit(None).cast("long").alias("id")
+        *ENTRY, F.lit(1).alias("seed"), "ts", "seq", "op", "hour"
     )
     return seeds.select(*_STEP).unionByName(commands.select(*_STEP))
 
 
-def _thinned(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(steps that can matter, statuses of the others) for contested slots.
-
-    A seat opens only when a delete works, so the marked deletes cut a slot's steps into
-    stretches in which seats only fill up, and a newcomer gets one only as one of the first
-    two people who set in a stretch. Everyone else is never seated: their sets find the day
-    full, their deletes find nothing. Leaving them out removes their deletes too, so the
-    stretches grow and the next round finds fewer. Rounds stop when they no longer halve
-    the steps; what is left takes the ordered pass.
-
-    People of the snapshot always stay in. Where one has doubled entries, or the slot starts
-    over-full so that a holder's set may be refused, which deletes work is left to the pass:
-    all of them cut.
-    """
-    seeds = F.sum(1 - F.col("seed"))
-    doubled = seeds.over(W.partitionBy(*ENTRY)) > 1
-    holders = steps.filter(F.col("seed") == 0).select(*ENTRY).distinct().groupBy(*SLOT)
-    over = holders.count().filter(F.col("count") > SEATS).select(*SLOT, F.lit(True).alias("_over"))
-    marked = (
-        _own_deletes(steps)
-        .join(over, SLOT, "left")
-        .withColumn(
-            "_opens",
-            (F.col("op") == "delete")
-            & (F.col("_worked") | doubled | F.coalesce("_over", F.lit(False))),
-        )
-        .drop("_over")
-    )
-    idle = (F.col("op") == "delete") & ~F.col("_opens")
-    statuses = marked.filter(idle).select("seq", F.lit(NOTHING).alias("status"))
-    left = marked.filter(~idle)
-    order = [F.col("seed"), F.col("ts"), F.col("seq")]
-    ensure_checkpoint_dir(steps.sparkSession)
-    rows = None
-    while True:
-        cut = running_sum(left, F.col("_opens").cast("int"), order, SLOT, "_stretch")
-        arrivals = (
-            cut.filter(F.col("op") == "set")
-            .groupBy(*ENTRY, "_stretch")
-            .agg(F.min(F.struct("seed", "ts", "seq")).alias("_first"))
-        )
-        early = W.partitionBy(*SLOT, "_stretch").orderBy("_first")
-        possible = (
-            arrivals.withColumn("_place", F.row_number().over(early))
-            .filter((F.col("_place") <= SEATS) | (F.col("_first.seed") == 0))
-            .select(*ENTRY)
-            .distinct()
-        )
-        cut = cut.drop("_stretch")
-        refused = cut.join(possible, ENTRY, "left_anti").select(
-            "seq",
-            F.when(F.col("op") == "set", F.lit(DAY_FULL)).otherwise(F.lit(NOTHING)).alias("status"),
-        )
-        statuses = statuses.unionByName(refused)
-        left = cut.join(possible, ENTRY, "left_semi").checkpoint()
-        before, rows = rows, left.count()
-        if rows == 0 or (before is not None and rows * 2 > before):
-            return left.select(*_STEP), statuses
-
-
 def _split(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Steps back as snapshot rows and edits."""
-    rows = steps.filter(F.col("seed") == 0).withColumnRenamed("hour", "hours")
+    rows = steps.filter(F.col("seed") == 0).withColumnsRenamed({"hour": "hours", "seq": "id"})
     return rows.select(*_FACT_COLUMNS), steps.filter(F.col("seed") == 1)
 
 
-def _slot_kinds(steps: DataFrame) -> DataFrame:
-    """(slot, kind): `settled` without deletes, `free` when two people at most ever ask for
-    it, `contested` otherwise. Combined per person first, so a hot slot is one row per person
-    in the second sum."""
-    per_person = steps.groupBy(*ENTRY).agg(
-        F.sum(1 - F.col("seed")).alias("held"),
-        F.sum((F.col("op") == "delete").cast("int")).alias("deletes"),
-    )
-    return (
-        per_person.groupBy(*SLOT)
-        .agg(
-            F.count(F.lit(1)).alias("people"),
-            F.max("held").alias("most"),
-            F.sum("deletes").alias("deletes"),
-        )
-        .select(
-            *SLOT,
-            F.when(F.col("deletes") == 0, "settled")
-            .when((F.col("people") <= SEATS) & (F.col("most") <= 1), "free")
-            .otherwise("contested")
-            .alias("kind"),
-        )
-    )
-
-
-_RESULT = (
-    "projectId long, stageId int, dateStamp date, userId long, id long, born long, hours int, "
-    "seq long, status string"
-)
-_RESULT_COLUMNS = [
-    "projectId", "stageId", "dateStamp", "userId", "id", "born", "hours", "seq", "status",
-]
-
-
-def _own_deletes(steps: DataFrame) -> DataFrame:
-    """Mark the deletes that work if the person holds the slot (`_worked`): the last thing
-    that worked before is a set of at least the delete's hour. Whoever holds a slot has all
-    sets accepted, so a delete that is not marked never works."""
-    person = W.partitionBy(*ENTRY).orderBy("seed", "ts", "seq")
-    is_set = F.col("op") == "set"
-    current = F.last(F.when(is_set, F.col("hour")), ignorenulls=True).over(
-        person.rowsBetween(W.unboundedPreceding, 0)
-    )
-    marked = steps.withColumn("_hit", ~is_set & F.coalesce(F.col("hour") <= current, F.lit(False)))
-    before = F.last(
-        F.when(is_set, F.lit("set")).when(F.col("_hit"), F.lit("hit")), ignorenulls=True
-    ).over(person.rowsBetween(W.unboundedPreceding, -1))
-    return marked.withColumn(
-        "_worked", F.col("_hit") & (F.coalesce(before, F.lit("none")) == "set")
-    ).drop("_hit")
-
-
-def _free(steps: DataFrame) -> DataFrame:
-    """Slots nobody is turned away from: each person's steps stand alone."""
-    person = W.partitionBy(*ENTRY).orderBy("seed", "ts", "seq")
-    is_set = F.col("op") == "set"
-    worked = _own_deletes(steps)
-    # A life of an entry starts with a set and ends with a delete that worked.
-    lives = F.sum(F.col("_worked").cast("int"))
-    counted = worked.withColumn(
-        "_life", lives.over(person.rowsBetween(W.unboundedPreceding, 0))
-    ).withColumn("_lives", lives.over(W.partitionBy(*ENTRY)))
-    order = F.struct("seed", "ts", "seq")
-    alive = (
-        counted.filter(is_set & (F.col("_life") == F.col("_lives")))
-        .groupBy(*ENTRY)
-        .agg(
-            F.min_by("id", order).alias("id"),
-            F.min_by(F.when(F.col("seed") == 1, F.col("seq")), order).alias("born"),
-            F.max_by("hour", order).alias("hours"),
-        )
-        .select(
-            *ENTRY, "id", "born", "hours",
-            F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("status"),
-        )
-    )
-    told = counted.filter(F.col("seed") == 1).select(
-        *ENTRY,
-        F.lit(None).cast("long").alias("id"),
-        F.lit(None).cast("long").alias("born"),
-        F.lit(None).cast("int").alias("hours"),
-        "seq",
-        F.when(is_set, F.lit(SAVED)).when(F.col("_worked"), F.lit(DELETED)).otherwise(F.lit(NOTHING)).alias("status"),
-    )
-    return alive.unionByName(told)
-
-
-def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Run each slot's steps in order. Rows come sorted; only the current slot is in memory."""
-    key, slot = None, None
-    for batch in batches:
-        out = []
-        for p, s, d, user, seed, seq, op, hour, entry_id in zip(
-            *(batch[c] for c in ("projectId", "stageId", "dateStamp", "userId", "seed", "seq", "op", "hour", "id"))
-        ):
-            if (p, s, d) != key:
-                if slot is not None:
-                    out.extend((*key, u, i, b, h, None, None) for u, i, b, h in slot.rows())
-                key, slot = (p, s, d), Slot()
-            if seed == 0:
-                slot.seed(user, int(entry_id), int(hour))
-            else:
-                status = slot.apply(op, user, int(hour), int(seq))
-                out.append((p, s, d, user, None, None, None, int(seq), status))
-        yield _frame(out)
-    if slot is not None:
-        yield _frame([(*key, u, i, b, h, None, None) for u, i, b, h in slot.rows()])
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=_RESULT_COLUMNS)
-    whole = ["projectId", "stageId", "userId", "id", "born", "hours", "seq"]
-    return frame.astype({c: "Int64" for c in whole})
-
-
-def _contested(steps: DataFrame) -> DataFrame:
-    """Slots people can be turned away from: order decides, so each is one ordered pass.
-
-    Spark partitions and sorts (spilling if it must); the pass itself keeps two people.
-    """
-    return (
-        steps.repartition(*SLOT)
-        .sortWithinPartitions(*SLOT, "seed", "ts", "seq")
-        .mapInPandas(_fold, _RESULT)
-    )
-
-
 def _by_kind(steps: DataFrame) -> Callable[[str], DataFrame]:
-    """Sort the steps out by kind of slot. The result is written once, split by kind, and
-    each kind reads back its own part; it holds the batch and the entries it touches."""
+    """Sort the steps out by kind of slot: `settled` without deletes, `ordered` otherwise.
+    Deletes are counted per person first, so a hot slot is combined before it meets. The
+    result is written once, split by kind, and each kind reads back its own part; it holds
+    the batch and the entries it touches."""
     spark = steps.sparkSession
     path = fresh_dir(spark, "edit-steps")
-    marked = steps.join(_slot_kinds(steps), SLOT)
+    deletes = F.max((F.col("op") == "delete").cast("int")).alias("_deletes")
+    kinds = steps.groupBy(*SLOT).agg(deletes).select(
+        *SLOT, F.when(F.col("_deletes") == 0, "settled").otherwise("ordered").alias("kind")
+    )
+    marked = spread_join(steps, kinds, SLOT)
     marked.write.partitionBy("kind").parquet(path)
     schema = StructType([*(marked.schema[c] for c in _STEP), marked.schema["kind"]])
     stored = spark.read.schema(schema).parquet(path)
     return lambda kind: stored.filter(F.col("kind") == kind).select(*_STEP)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again."""
-    path = fresh_dir(df.sparkSession, "edit-outcome")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None = None) -> Outcome:
     """Apply sets and deletes in order of arrival.
 
@@ -399,15 +210,16 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
     (the one with the lowest id) when its hour is at most the entry's hours, in an over-full
     slot too, which takes sets again once deletes have brought it down.
 
-    Contested slots are thinned out, whatever their size, and what is left takes the ordered
-    pass, whose outcome is written once for both results.
+    Slots without deletes need no order, see `upsert_entries`. The others run in order, each
+    cut into as many stretches as it has ranges of rows, see `slot_runs`; a hot slot, or one
+    person's many edits of a slot, spread over tasks. The outcome is written once for both
+    results.
     """
     first_id = next_id(snapshot) if first_id is None else first_id
     days = _edited_days(edits)
     held = _touched_entries(snapshot, edits, days)
     of_kind = _by_kind(_steps(held, edits))
-    contested, refused = _thinned(of_kind("contested"))
-    done = _written(_free(of_kind("free")).unionByName(_contested(contested)))
+    done = run_slots(of_kind("ordered"))
     results = done.filter(F.col("status").isNull()).select(
         F.coalesce("id", arrival_ids(first_id, F.col("born"), lowest(edits))).alias("id"),
         "userId",
@@ -432,6 +244,5 @@ def apply_edits(snapshot: DataFrame, edits: DataFrame, first_id: Column | None =
         done.filter(F.col("status").isNotNull())
         .select("seq", "status")
         .unionByName(_set_statuses(settled_edits, saved))
-        .unionByName(refused)
     )
     return Outcome(entries, statuses)

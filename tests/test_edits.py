@@ -86,6 +86,29 @@ def test_mixed_edits_equal_one_request_at_a_time(spark, seed, people):
     assert len(ids) == len(set(ids))
 
 
+@pytest.mark.parametrize("seed, people, deletes", [(12, 3, 0.4), (13, 8, 0.05), (14, 50, 0.5), (15, 2, 0.9)])
+def test_one_hot_slot_over_many_ranges(spark, seed, people, deletes):
+    """All edits on one slot, cut into stretches that are put together."""
+    rng = random.Random(seed)
+    entries = [(i, i % 3, 1, 1, DAY, 6) for i in range(1, rng.choice([3, 5]))]
+    commands = [
+        (n, "delete" if rng.random() < deletes else "set", rng.randint(1, people), 1, 1, DAY, rng.randint(1, 12))
+        for n in range(1, 900)
+    ]
+    expected, statuses = brute(entries, commands)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        outcome = apply_edits(facts(spark, entries), edits(spark, commands))
+        found, told = as_text(state(outcome)), fate(outcome)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == expected
+    assert told == statuses
+
+
 @pytest.mark.parametrize("seed, people", [(6, 4), (7, 40)])
 def test_crowded_slots_equal_one_request_at_a_time(spark, seed, people):
     entries, commands = scenario(seed, n=400, people=people)
