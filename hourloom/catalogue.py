@@ -21,7 +21,8 @@ from hourloom.operators import (
     matrix,
     worklog,
 )
-from hourloom.schema import ALL, ARCHIVED, CURRENT, SCHEMAS, STAGE_NAMES, Tables
+from hourloom.plans.periods import in_period
+from hourloom.schema import ALL, ARCHIVED, CURRENT, FACT, SCHEMAS, SLOT, STAGE_NAMES, Tables
 from hourloom.session import fresh_dir, shared_dir
 from hourloom.sources import cache, dump, snapshots, tables, views
 from hourloom.streaming import edit_stream
@@ -88,14 +89,14 @@ def _named(entries: DataFrame) -> DataFrame:
     )
 
 
-def _no_entries(events: DataFrame) -> DataFrame:
-    return views.calendar_facts(events).limit(0)
+def _new_log(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], FACT)
 
 
 def _upsert(spark: SparkSession, sf_dir: str) -> edits.Outcome:
-    """All events as sets on an empty log."""
+    """All events as sets on a new log."""
     events = _events(spark, sf_dir)
-    return edits.upsert_entries(_no_entries(events), views.calendar_edits(events, deletes=False))
+    return edits.upsert_entries(_new_log(spark), views.calendar_edits(events, deletes=False))
 
 
 def _upsert_over(spark: SparkSession, sf_dir: str) -> edits.Outcome:
@@ -106,9 +107,9 @@ def _upsert_over(spark: SparkSession, sf_dir: str) -> edits.Outcome:
 
 
 def _mixed(spark: SparkSession, sf_dir: str, folded: bool = False) -> edits.Outcome:
-    """All events as sets and deletes on an empty log."""
+    """All events as sets and deletes on a new log."""
     events = _events(spark, sf_dir)
-    return edits.apply_edits(_no_entries(events), views.calendar_edits(events, folded))
+    return edits.apply_edits(_new_log(spark), views.calendar_edits(events, folded))
 
 
 def _mixed_over(spark: SparkSession, sf_dir: str) -> edits.Outcome:
@@ -120,39 +121,88 @@ def _mixed_over(spark: SparkSession, sf_dir: str) -> edits.Outcome:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixed edits as a stream over the events file, until it is used up."""
+    """The mixed edits as a stream over the events file, into a new log."""
     reader = spark.readStream.schema(views.SOURCE_SCHEMAS["events"])
     source = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     base = fresh_dir(spark, "edit-stream")
-    edit_stream.run_available(views.calendar_edits(source), f"{base}/out", f"{base}/checkpoint")
-    return _named(edit_stream.current_entries(spark, f"{base}/out"))
+    edit_stream.run_available(views.calendar_edits(source), f"{base}/log", f"{base}/checkpoint")
+    return _named(edit_stream.current_entries(spark, f"{base}/log"))
 
 
-def _seeded_stream(spark: SparkSession, sf_dir: str) -> str:
-    """The month's log as seeds and mixed edits by the next user as a stream; the folder of
-    its output."""
-    events = _events(spark, sf_dir)
+def _saved_month(spark: SparkSession, sf_dir: str, base: str) -> snapshots.YearFolders:
+    snapshots.save_entries(views.calendar_facts(_events(spark, sf_dir)), f"{base}/main")
+    return snapshots.year_folders(spark, f"{base}/main")
+
+
+def _seeded_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> str:
+    """The month's log saved, and mixed edits by the next user as a stream into it, one file
+    per batch; the edits of a slot are in one file. The folder of the stream's log."""
     base = fresh_dir(spark, "edit-stream")
-    seeds = edit_stream.seeds_of(views.calendar_facts(events))
-    seeds.unionByName(views.calendar_edits(events, next_user=True)).write.parquet(f"{base}/in")
-    source = edit_stream.read_edits(spark, f"{base}/in")
-    edit_stream.run_available(source, f"{base}/out", f"{base}/checkpoint")
-    return f"{base}/out"
+    start = _saved_month(spark, sf_dir, f"{base}/before")
+    commands = views.calendar_edits(_events(spark, sf_dir), next_user=True)
+    part = F.pmod(F.xxhash64(*SLOT), F.lit(files).cast("long")).alias("part")
+    commands.select("*", part).repartition("part").write.partitionBy("part").parquet(f"{base}/in")
+    source = edit_stream.read_edits(spark, f"{base}/in/*", files_per_batch=1 if files > 1 else None)
+    edit_stream.run_available(source, f"{base}/log", f"{base}/checkpoint", start)
+    return f"{base}/log"
+
+
+def _by_day(entries: DataFrame) -> DataFrame:
+    sums = [F.count(F.lit(1)).alias("entries"), F.sum("hours").alias("hours")]
+    return entries.groupBy(F.col("dateStamp").alias("date")).agg(*sums)
 
 
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The month's log saved, then saved anew with mixed edits by the next user; entries and
-    hours per day of the second copy."""
-    events = _events(spark, sf_dir)
+    """The month's log saved, then published with mixed edits by the next user; entries and
+    hours per day of what is published."""
     base = fresh_dir(spark, "published")
-    snapshots.save_tables(views.month_log(spark, sf_dir), f"{base}/before")
-    commands = views.calendar_edits(events, next_user=True)
-    snapshots.publish_edits(spark, f"{base}/before", f"{base}/after", commands)
-    return (
-        tables.load_tables(spark, f"{base}/after")
-        .fact.groupBy(F.col("dateStamp").alias("date"))
-        .agg(F.count(F.lit(1)).alias("entries"), F.sum("hours").alias("hours"))
+    years = _saved_month(spark, sf_dir, f"{base}/before")
+    commands = views.calendar_edits(_events(spark, sf_dir), next_user=True)
+    done = snapshots.publish_edits(spark, years, f"{base}/after", commands)
+    return _by_day(done.years.entries(spark))
+
+
+def _long_log_saved(spark: SparkSession, sf_dir: str, base: str) -> snapshots.YearFolders:
+    """The long log with ids, in year folders."""
+    fact = views.long_log(spark, sf_dir).fact
+    entry_id = (F.col("orderKey") * 8 + F.col("stageId")).alias("id")
+    snapshots.save_entries(fact.select("*", entry_id), f"{base}/main")
+    return snapshots.year_folders(spark, f"{base}/main")
+
+
+def _per_year(years: snapshots.YearFolders, entries: DataFrame, target: str) -> DataFrame:
+    """Entries and hours per year, and whether the year was written anew."""
+    written = sorted(y for y, folder in years.folders.items() if folder.startswith(target))
+    return entries.groupBy(F.year("dateStamp").alias("year")).agg(
+        F.count(F.lit(1)).alias("entries"),
+        F.sum("hours").alias("hours"),
+    ).withColumn("written", F.col("year").isin(written).cast("int"))
+
+
+def _published_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry of one month deleted from the long log: one year is written anew."""
+    base = fresh_dir(spark, "published")
+    years = _long_log_saved(spark, sf_dir, f"{base}/before")
+    month = years.entries(spark).filter(in_period(F.col("dateStamp"), YEAR, MONTH))
+    deletes = month.select(
+        F.to_timestamp("dateStamp").alias("ts"), F.col("id").alias("seq"), F.lit("delete").alias("op"),
+        "userId", *SLOT, F.lit(1).alias("hour"),
+    )
+    done = snapshots.publish_edits(spark, years, f"{base}/after", deletes)
+    return _per_year(done.years, done.years.entries(spark), f"{base}/after")
+
+
+def _published_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three projects, by id the first, the middle and the last one of one year's log, deleted
+    from the log: the years they have entries in are written anew."""
+    base = fresh_dir(spark, "published")
+    years = _long_log_saved(spark, sf_dir, f"{base}/before")
+    ids = years.entries(spark).filter(in_period(F.col("dateStamp"), YEAR)).agg(
+        F.min("projectId").alias("a"), F.max("projectId").alias("b")
     )
+    gone = ids.select(F.explode(F.array("a", F.floor((F.col("a") + F.col("b")) / 2), "b")).alias("id"))
+    after = snapshots.publish_without(spark, years, f"{base}/after", gone, "projectId")
+    return _per_year(after, after.entries(spark), f"{base}/after")
 
 
 def _command_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,15 +479,35 @@ def _ingested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = views.long_log(spark, sf_dir)
-    version = f"{spark.sparkContext.applicationId}-{sf_dir.rstrip('/').rsplit('/', 1)[-1]}"
-    return cache.materialised(
-        spark,
-        shared_dir(spark),
-        "user_project_hours",
-        {"year": YEAR},
-        version,
-        lambda: matrix.user_project_hours(t, YEAR),
-    ).drop("header")
+    version = cache.data_version(t)
+    report = lambda: matrix.user_project_hours(t, YEAR)
+    stored = cache.materialised(
+        spark, shared_dir(spark), "user_project_hours", {"year": YEAR}, version, report
+    )
+    return stored.drop("header")
+
+
+def _cache_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over two years stored, then asked for again by the data alone; the second time
+    it must not be built. Beside it the report over the log with a day moved, whose data
+    differ, so it is stored apart."""
+    base = fresh_dir(spark, "cache")
+    t = views.long_log(spark, sf_dir)
+
+    def asked(given: Tables, build: Callable[[], DataFrame]) -> DataFrame:
+        version = cache.fingerprint(given.fact)
+        return cache.materialised(spark, base, "hours_by_year", {}, version, build)
+
+    def refused() -> DataFrame:
+        raise RuntimeError("the stored report must be found")
+
+    report = lambda given: lambda: worklog.grouped_hours(given, year=ALL)
+    asked(t, report(t))
+    again = views.long_log(spark, sf_dir)
+    hit = asked(again.with_(fact=again.fact.repartition("userId")), refused)
+    moved = t.with_(fact=t.fact.withColumn("dateStamp", F.date_add("dateStamp", 365)))
+    later = asked(moved, report(moved))
+    return hit.withColumn("moved", F.lit(0)).unionByName(later.withColumn("moved", F.lit(1)))
 
 
 def queries() -> dict[str, Query]:
@@ -531,6 +601,9 @@ def queries() -> dict[str, Query]:
         "s01_stream": _stream,
         "s01_seeded": lambda s, d: _named(edit_stream.current_entries(s, _seeded_stream(s, d))),
         "s01_statuses": lambda s, d: edit_stream.edit_statuses(s, _seeded_stream(s, d)),
+        "s01_published": lambda s, d: _named(
+            edit_stream.current_entries(s, _seeded_stream(s, d, files=3))
+        ),
         "p19_command_rejects": _command_rejects,
         "m03_cascade": _wl(_m03_cascade),
         "m03_insert": _m03_insert,
@@ -547,5 +620,8 @@ def queries() -> dict[str, Query]:
         "i01_ingest": _ingested,
         "i01_ingest_all": _ingested_all,
         "c01_cached": _cached,
+        "c01_hit": _cache_hit,
         "p04_published": _published,
+        "p04_month_deleted": _published_month,
+        "p48_projects_deleted": _published_cascade,
     }

@@ -536,6 +536,7 @@ JOIN ranked r ON r.projectId = e.projectId AND r.stageId = e.stageId AND r.dateS
         "m02_over_statuses": f"{_walk_over_log()} SELECT seq, status FROM walk WHERE n > 0",
         "s01_stream": _seats(),
         "s01_seeded": _log_after_walk(),
+        "s01_published": _log_after_walk(),
         "s01_statuses": f"{_walk_over_log()} SELECT seq, status FROM walk WHERE n > 0",
         "p19_command_rejects": """
 WITH c AS (
@@ -584,5 +585,19 @@ UNION ALL SELECT 'user', count(*), CAST(sum(relevant) AS BIGINT) FROM usr""",
         "c01_cached": f"""{_WL}
 SELECT userId AS user_id, projectId AS project_id, p.name AS project, {_SUM} AS hours
 FROM fact JOIN project p ON p.id = projectId WHERE {_IN_YEAR} GROUP BY 1, 2, 3""",
+        "c01_hit": f"""{_WL}
+SELECT CAST(year(dateStamp) AS INTEGER) AS year, {_SUM} AS hours, 0 AS moved FROM fact GROUP BY 1
+UNION ALL
+SELECT CAST(year(dateStamp + 365) AS INTEGER), {_SUM}, 1 FROM fact GROUP BY 1""",
+        "p04_month_deleted": f"""{_WL}
+SELECT CAST(year(dateStamp) AS INTEGER) AS year, count(*) AS entries, {_SUM} AS hours, CAST(year(dateStamp) = 1997 AS INTEGER) AS written
+FROM fact WHERE NOT (year(dateStamp) = 1997 AND month(dateStamp) = 3) GROUP BY 1, 4""",
+        "p48_projects_deleted": f"""{_WL},
+ends AS (SELECT min(projectId) AS a, max(projectId) AS b FROM fact WHERE {_IN_YEAR}),
+gone AS (SELECT unnest([a, (a + b) // 2, b]) AS id FROM ends),
+hit AS (SELECT DISTINCT year(dateStamp) AS y FROM fact WHERE projectId IN (SELECT id FROM gone))
+SELECT CAST(year(dateStamp) AS INTEGER) AS year, count(*) AS entries, {_SUM} AS hours,
+  CAST(year(dateStamp) IN (SELECT y FROM hit) AS INTEGER) AS written
+FROM fact WHERE projectId NOT IN (SELECT id FROM gone) GROUP BY 1, 4""",
         "p04_published": f"""SELECT date, count(*) AS entries, CAST(sum(hours) AS BIGINT) AS hours FROM ({_log_after_walk()}) GROUP BY 1""",
     }

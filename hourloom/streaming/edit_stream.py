@@ -1,93 +1,68 @@
-"""Calendar edits as a stream.
+"""Calendar edits as a stream that lands in the log's year folders.
 
-Each slot keeps its entries as state. Inside a micro-batch edits apply in (ts, seq) order;
-an edit that comes in a later batch than newer ones applies when it comes. State never
-times out.
+A micro-batch is applied by the batch operator, so a hot slot is spread as there, and its state
+is the log itself. Batch n reads the folders that batch n - 1 left and writes its own; what it
+leaves is recorded last. A batch that runs again after a failure starts from the same folders
+and replaces its own output, so every edit counts once.
+
+Inside a micro-batch edits apply in (ts, seq) order; an edit that comes in a later batch than
+newer ones applies when it comes. Slots never time out.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from hourloom.operators.slot_rules import Slot
-from hourloom.schema import EDIT, SLOT
-
-# op of a row that puts an entry of the snapshot into the state; its id is `seq`.
-SEED = "seed"
-
-# kind: `entry` for what the slot holds now, `empty` for a slot that holds nothing,
-# `status` for the fate of one edit.
-_OUT = (
-    "projectId long, stageId int, dateStamp date, kind string, userId long, id long, "
-    "born long, hours int, seq long, status string"
-)
-_OUT_COLUMNS = [
-    "projectId", "stageId", "dateStamp", "kind", "userId", "id", "born", "hours", "seq", "status",
-]
-_STATE = "entries string"
-
-
-def _update(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    slot = Slot()
-    if state.exists:
-        (entries,) = state.get
-        slot = Slot((user, entry) for user, entry in json.loads(entries))
-    edits = pd.concat(list(batches), ignore_index=True)
-    edits["_late"] = edits["op"] != SEED
-    edits = edits.sort_values(["_late", "ts", "seq"])
-    out = []
-    for op, user, hour, seq in zip(edits["op"], edits["userId"], edits["hour"], edits["seq"]):
-        if op == SEED:
-            slot.seed(int(user), int(seq), int(hour))
-            continue
-        status = slot.apply(op, int(user), int(hour), int(seq))
-        out.append((*key, "status", user, None, None, None, seq, status))
-    held = list(slot.rows())
-    state.update((json.dumps([(u, [i, b, h]) for u, i, b, h in held]),))
-    out.extend((*key, "entry", u, i, b, h, None, None) for u, i, b, h in held)
-    if not held:
-        out.append((*key, "empty", None, None, None, None, None, None))
-    frame = pd.DataFrame(out, columns=_OUT_COLUMNS)
-    whole = ["projectId", "stageId", "userId", "id", "born", "hours", "seq"]
-    yield frame.astype({c: "Int64" for c in whole})
-
-
-def slot_updates(edits: DataFrame) -> DataFrame:
-    """Streaming frame of slot contents and edit statuses, per micro-batch."""
-    return edits.groupBy(*SLOT).applyInPandasWithState(
-        _update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout
-    )
 
+from hourloom.schema import EDIT
+from hourloom.session import fresh_dir
+from hourloom.sources.snapshots import YearFolders, publish_edits
+
+_YEARS = "year int, folder string, next_id long"
+_START = -1  # number of the batch before the first one
+
+
+def _record(spark: SparkSession, root: str, batch: int, years: YearFolders) -> None:
+    """One small file per batch: the folder of each year."""
+    rows = [(y, f, years.next_id) for y, f in sorted(years.folders.items())]
+    found = spark.createDataFrame(rows or [(None, None, years.next_id)], _YEARS)
+    found.coalesce(1).write.mode("overwrite").parquet(f"{root}/years/batch={batch}")
 
-def seeds_of(snapshot: DataFrame) -> DataFrame:
-    """Snapshot entries as stream rows; feed them ahead of the edits."""
-    return snapshot.select(
-        F.to_timestamp("dateStamp").alias("ts"),
-        F.col("id").alias("seq"),
-        F.lit(SEED).alias("op"),
-        "userId",
-        *SLOT,
-        F.col("hours").alias("hour"),
-    ).select(*EDIT.fieldNames())
 
+def years_after(spark: SparkSession, root: str, batch: int | None = None) -> YearFolders:
+    """The log after a batch (by default the last one), from that batch's own record."""
+    if batch is None:
+        known = spark.read.schema(f"{_YEARS}, batch int").parquet(f"{root}/years")
+        batch = known.agg(F.max("batch")).first()[0]
+    rows = spark.read.schema(_YEARS).parquet(f"{root}/years/batch={batch}").collect()
+    return YearFolders({r.year: r.folder for r in rows if r.year is not None}, rows[0].next_id)
 
-def run_available(edits: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what is there and stop. Each micro-batch writes its own folder, so a batch
-    that runs again after a failure replaces its own output."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+def run_available(
+    edits: DataFrame, root: str, checkpoint: str, start: YearFolders = YearFolders({})
+) -> None:
+    """Apply the edits that are there to the log and stop. `start` is the log that the first
+    batch finds.
+
+    A micro-batch takes all files that wait, unless the reader is told otherwise, and edits
+    are ordered inside a batch only: the same files taken in other batches can end otherwise,
+    as requests that arrive in another order do. Callers who need one order whatever the
+    files give the reader files in that order, or one batch.
+    """
+    spark = edits.sparkSession
+    _record(spark, root, _START, start)
+
+    def apply(batch: DataFrame, number: int) -> None:
+        held = fresh_dir(spark, "edit-batch")
+        batch.select(*EDIT.fieldNames()).write.parquet(held)
+        given = spark.read.schema(EDIT).parquet(held)
+        before = years_after(spark, root, number - 1)
+        done = publish_edits(spark, before, f"{root}/main/batch={number}", given, "overwrite")
+        done.statuses.write.mode("overwrite").parquet(f"{root}/statuses/batch={number}")
+        _record(spark, root, number, done.years)
 
     query = (
-        slot_updates(edits)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
+        edits.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -95,29 +70,25 @@ def run_available(edits: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def read_edits(spark: SparkSession, path: str, bytes_per_batch: int | None = None) -> DataFrame:
-    """Edit stream from a folder of parquet files.
-
-    `bytes_per_batch` limits the files of a micro-batch (a file is never split). Edits are
-    ordered inside a batch only, so the limit is the caller's choice, and there is none
-    unless given.
-    """
+def read_edits(
+    spark: SparkSession, path: str, bytes_per_batch: int | None = None, files_per_batch: int | None = None
+) -> DataFrame:
+    """Edit stream from a folder of parquet files, without a bound on a batch unless given (a
+    file is never split), see `run_available` on order."""
     reader = spark.readStream.schema(EDIT)
     if bytes_per_batch is not None:
         reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)
 
 
-def current_entries(spark: SparkSession, out: str) -> DataFrame:
-    """What the slots hold after the last batch: the rows of each slot's newest batch."""
-    rows = spark.read.parquet(out).filter(F.col("kind") != "status")
-    newest = rows.groupBy(*SLOT).agg(F.max("batch").alias("batch"))
-    return (
-        rows.join(newest, [*SLOT, "batch"], "left_semi")
-        .filter(F.col("kind") == "entry")
-        .select(*SLOT, "userId", "id", "born", "hours")
-    )
+def current_entries(spark: SparkSession, root: str, batch: int | None = None) -> DataFrame:
+    """The log after a batch, by default the last one."""
+    return years_after(spark, root, batch).entries(spark)
 
 
-def edit_statuses(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(out).filter(F.col("kind") == "status").select("seq", "status")
+def edit_statuses(spark: SparkSession, root: str) -> DataFrame:
+    """The fate of every edit so far: (seq, status)."""
+    told = spark.read.schema("seq long, status string").parquet(f"{root}/statuses")
+    return told.select("seq", "status")

@@ -80,33 +80,67 @@ def test_jdbc_reads_only_schema_columns_in_ranges():
     assert "min(projectId)" in source.bounds_options("projectstage")["dbtable"]
 
 
-def test_edits_are_published_to_a_new_folder(spark, tmp_path):
-    t = tables(spark, [(1, 1, 1, 1, "2023-05-01", 4), (2, 1, 1, 1, "2024-01-10", 3)])
+def test_edits_write_the_touched_years_only(spark, tmp_path):
     before, after = str(tmp_path / "before"), str(tmp_path / "after")
-    snapshots.save_tables(t, before)
+    log = [(1, 1, 1, 1, "2023-05-01", 4), (2, 1, 1, 1, "2024-01-10", 3), (7, 2, 1, 1, "2022-01-10", 3)]
+    snapshots.save_entries(tables(spark, log).fact, before)
+    years = snapshots.year_folders(spark, before)
+    assert sorted(years.folders) == [2022, 2023, 2024] and years.next_id == 8
     batch = edits(
         spark,
-        [(1, "delete", 1, 1, 1, "2024-01-10", 1), (2, "set", 2, 1, 1, "2025-02-02", 6)],
+        [(1, "delete", 1, 1, 1, "2024-01-10", 1), (2, "set", 2, 1, 1, "2025-02-02", 6), (3, "set", 2, 1, 1, "2023-05-01", 5)],
     )
-    outcome = snapshots.publish_edits(spark, before, after, batch, F.lit(10))
-    assert bag(load_tables(spark, before).fact, "id") == [(1,), (2,)]
-    assert bag(load_tables(spark, after).fact, "id", "userId", "hours") == [(1, 1, 4), (10 + 1, 2, 6)]
-    assert bag(outcome.statuses) == [(1, "deleted"), (2, "saved")]
-    assert load_tables(spark, after).project.count() == 3
+    done = snapshots.publish_edits(spark, years, after, batch)
+    # 2024 lost its only entry, 2022 was not asked for.
+    assert done.years.folders == {
+        2022: f"{before}/year=2022", 2023: f"{after}/year=2023", 2025: f"{after}/year=2025"
+    }
+    assert bag(done.years.entries(spark), "id", "userId", "hours") == [(1, 1, 4), (10, 2, 5), (7, 2, 3), (9, 2, 6)]
+    assert done.years.next_id == 11
+    assert bag(done.statuses) == [(1, "deleted"), (2, "saved"), (3, "saved")]
+    assert years.entries(spark).count() == 3
     with pytest.raises(AnalysisException):
-        snapshots.save_entries(t.fact, f"{after}/main")
+        snapshots.save_entries(tables(spark, log).fact, after)
+    nothing = snapshots.publish_edits(spark, years, str(tmp_path / "same"), edits(spark, []))
+    assert nothing.years == years
 
 
-def test_report_is_built_once_per_version(spark, tmp_path):
-    t = tables(spark, [(1, 1, 1, 1, "2023-05-01", 4)])
+def test_a_cascade_writes_the_touched_years_only(spark, tmp_path):
+    log = [(1, 1, 1, 1, "2023-05-01", 4), (2, 2, 1, 1, "2024-01-10", 3), (3, 2, 2, 1, "2022-01-10", 3)]
+    snapshots.save_entries(tables(spark, log).fact, str(tmp_path / "before"))
+    years = snapshots.year_folders(spark, str(tmp_path / "before"))
+    gone = spark.createDataFrame([(1,), (1,), (9,)], "id long")
+    after = snapshots.publish_without(spark, years, str(tmp_path / "after"), gone, "projectId")
+    assert after.folders == {2022: years.folders[2022]}
+    assert bag(after.entries(spark), "id") == [(3,)]
+
+
+def test_report_is_built_once_per_content(spark, tmp_path):
+    log = [(1, 1, 1, 1, "2023-05-01", 4), (2, 2, 1, 1, "2023-05-01", 4)]
     built = []
 
-    def build():
-        built.append(1)
-        return worklog.grouped_hours(t, year=ALL)
+    def ask(t):
+        build = lambda: built.append(1) or worklog.grouped_hours(t, year=ALL)
+        found = cache.materialised(spark, str(tmp_path), "grouped", {"year": ALL}, cache.data_version(t), build)
+        return rows(found)
+
+    assert ask(tables(spark, log)) == [(2023, 8)]
+    assert ask(tables(spark, log[::-1])) == [(2023, 8)] and len(built) == 1
+    assert ask(tables(spark, [log[0], (2, 2, 1, 1, "2023-05-01", 5)])) == [(2023, 9)]
+    assert ask(tables(spark, [*log, log[0]])) == [(2023, 12)] and len(built) == 3
+    assert not cache.is_written(spark, cache.report_path(str(tmp_path), "grouped", {"year": 1}, "1"))
+
+
+def test_an_unfinished_report_is_replaced(spark, tmp_path):
+    t = tables(spark, [(1, 1, 1, 1, "2023-05-01", 4)])
+    path = cache.report_path(str(tmp_path), "grouped", {}, "v")
+    spark.range(3).write.parquet(f"{path}/rows")
+    found = cache.materialised(spark, str(tmp_path), "grouped", {}, "v", lambda: worklog.grouped_hours(t, year=ALL))
+    assert rows(found) == [(2023, 4)]
+
 
-    for version in (1, 1, 2):
-        found = cache.materialised(spark, str(tmp_path), "grouped", {"year": ALL}, version, build)
-        assert rows(found) == [(2023, 4)]
-    assert len(built) == 2
-    assert not cache.is_written(spark, cache.report_path(str(tmp_path), "grouped", {"year": 1}, 1))
+def test_fingerprint_knows_the_columns(spark):
+    one, other = spark.range(3), spark.range(3).withColumnRenamed("id", "x")
+    assert cache.fingerprint(one) != cache.fingerprint(other)
+    assert cache.fingerprint(one) == cache.fingerprint(one.repartition(5))
+    assert cache.fingerprint(one.limit(0)) != cache.fingerprint(one)

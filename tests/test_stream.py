@@ -1,4 +1,9 @@
+import random
+
+import pytest
+
 from hourloom.operators.edits import apply_edits
+from hourloom.sources import snapshots
 from hourloom.streaming import edit_stream
 from small import bag, edits, facts, rows
 from test_edits import as_text, brute, scenario
@@ -6,26 +11,27 @@ from test_edits import as_text, brute, scenario
 ENTRY = ["projectId", "stageId", "dateStamp", "userId", "hours"]
 
 
-def run(spark, tmp_path, batches, seeds=None):
-    source = str(tmp_path / "in")
+def saved(spark, tmp_path, entries):
+    snapshots.save_entries(facts(spark, entries), str(tmp_path / "before"))
+    return snapshots.year_folders(spark, str(tmp_path / "before"))
+
+
+def run(spark, tmp_path, batches, start=snapshots.YearFolders({})):
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
     spark.createDataFrame([], edit_stream.EDIT).write.parquet(source)
-    if seeds is not None:
-        edit_stream.seeds_of(seeds).coalesce(1).write.mode("append").parquet(source)
-        edit_stream.run_available(edit_stream.read_edits(spark, source), str(tmp_path / "out"), str(tmp_path / "ck"))
     for batch in batches:
         batch.coalesce(1).write.mode("append").parquet(source)
-        edit_stream.run_available(edit_stream.read_edits(spark, source), str(tmp_path / "out"), str(tmp_path / "ck"))
-    out = str(tmp_path / "out")
-    found = bag(edit_stream.current_entries(spark, out), *ENTRY)
-    return found, dict(rows(edit_stream.edit_statuses(spark, out), "seq", "status"))
+        edit_stream.run_available(edit_stream.read_edits(spark, source), log, str(tmp_path / "ck"), start)
+    found = bag(edit_stream.current_entries(spark, log), *ENTRY)
+    return found, dict(rows(edit_stream.edit_statuses(spark, log), "seq", "status"))
 
 
 def test_stream_equals_batch_fold(spark, tmp_path):
     entries, commands = scenario(11, n=80, people=5)
-    found, statuses = run(spark, tmp_path, [edits(spark, commands)], facts(spark, entries))
-    touched_or_seeded, expected = brute(entries, commands)
-    assert as_text(found) == touched_or_seeded
-    assert statuses == expected
+    found, statuses = run(spark, tmp_path, [edits(spark, commands)], saved(spark, tmp_path, entries))
+    expected, told = brute(entries, commands)
+    assert as_text(found) == expected
+    assert statuses == told
     fold = apply_edits(facts(spark, entries), edits(spark, commands))
     assert found == bag(fold.entries, *ENTRY)
 
@@ -37,3 +43,44 @@ def test_state_lasts_over_batches_and_late_edits_apply_on_arrival(spark, tmp_pat
     found, statuses = run(spark, tmp_path, [edits(spark, first), edits(spark, late)])
     assert statuses == {5: "saved", 6: "saved", 1: "day full", 2: "deleted", 3: "deleted"}
     assert found == []
+
+
+def test_a_batch_that_fails_half_way_runs_again(spark, tmp_path, monkeypatch):
+    """Its entries are written, its record is not: the next run repeats it from the same log."""
+    entries, commands = scenario(16, n=60, people=4)
+    expected, told = brute(entries, commands)
+    start = saved(spark, tmp_path, entries)
+    record = edit_stream._record
+
+    def fails(spark, root, batch, years):
+        if batch == 1:
+            raise RuntimeError("lost")
+        record(spark, root, batch, years)
+
+    monkeypatch.setattr(edit_stream, "_record", fails)
+    halves = [edits(spark, commands[:30]), edits(spark, commands[30:])]
+    source, log, ck = (str(tmp_path / n) for n in ("in", "log", "ck"))
+    spark.createDataFrame([], edit_stream.EDIT).write.parquet(source)
+    halves[0].coalesce(1).write.mode("append").parquet(source)
+    edit_stream.run_available(edit_stream.read_edits(spark, source), log, ck, start)
+    halves[1].coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="lost"):
+        edit_stream.run_available(edit_stream.read_edits(spark, source), log, ck, start)
+    monkeypatch.setattr(edit_stream, "_record", record)
+    edit_stream.run_available(edit_stream.read_edits(spark, source), log, ck, start)
+    assert as_text(bag(edit_stream.current_entries(spark, log), *ENTRY)) == expected
+    assert dict(rows(edit_stream.edit_statuses(spark, log), "seq", "status")) == told
+    ids = [r[0] for r in rows(edit_stream.current_entries(spark, log), "id")]
+    assert len(ids) == len(set(ids))
+
+
+def test_a_slot_with_a_third_of_all_edits(spark, tmp_path):
+    rng = random.Random(17)
+    commands = []
+    for n in range(1, 601):
+        p = 1 if n % 3 == 0 else rng.randint(2, 40)
+        op = "delete" if rng.random() < 0.4 else "set"
+        commands.append((n, op, rng.randint(1, 9), p, 1, "2024-01-05", rng.randint(1, 12)))
+    found, statuses = run(spark, tmp_path, [edits(spark, commands)])
+    expected, told = brute([], commands)
+    assert (as_text(found), statuses) == (expected, told)
