@@ -38,14 +38,12 @@ def augmented(rows: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack([rows, np.sqrt(rest)])
 
 
-def angles(products: np.ndarray, scale: float) -> np.ndarray:
-    """Angles of vectors from their inner products and the product of their norms."""
-    if not scale:
-        return np.zeros_like(products)
-    return np.arccos(np.clip(products / scale, -1.0, 1.0))
+def angles(products: np.ndarray, scale: float | np.ndarray) -> np.ndarray:
+    """Angles of vectors from their inner products and the products of their norms."""
+    return np.arccos(np.clip(products / np.where(scale == 0, 1.0, scale), -1.0, 1.0))
 
 
-def bounds(products: np.ndarray, radius: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+def bounds(products: np.ndarray, radius, scale) -> tuple[np.ndarray, np.ndarray]:
     """(highest, lowest) inner product of a query with anything within `radius` of centres
     with the given inner products. A little slack covers rounding."""
     at = angles(products, scale)
@@ -123,62 +121,108 @@ class CoverTree:
         exact = top * top < EXACT
         self.rows = rows[self.order].astype(np.float64) if exact else rows[self.order]
 
-    def products(self, begin: int, end: int, query: np.ndarray) -> np.ndarray:
-        return self.rows[begin:end] @ query
+
+class Windows:
+    """Windows low..high of scores of many queries (rows: queries, columns: windows), what each
+    still wants, and the best `k` hits found so far."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, need: np.ndarray, k: int):
+        self.tops, self.k = high, k
+        self.wants = np.maximum(low, need)
+        self.wants[self.wants > self.tops] = HIGHEST  # an empty window
+        self.tops = np.where(self.wants == HIGHEST, LOWEST, self.tops)
+        none = np.zeros(0, np.int64)
+        # (query, window, score, id) of hits
+        self.found: list[tuple[np.ndarray, ...]] = [(none, none, none, none)]
+        self.waiting = 0
+
+    def open_to(self, queries: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+        """Which of the queries want something with scores between `down` and `up`."""
+        hit = (up[:, None] >= self.wants[queries]) & (down[:, None] <= self.tops[queries])
+        return hit.any(axis=1)
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, allowed: np.ndarray, ids: "Ids", begin: int, own: np.ndarray) -> None:
+        """Scores of the rows from `begin` on, a line per query."""
+        least, most = self.wants[queries], self.tops[queries]
+        for w in range(least.shape[1]):
+            hit = (scores >= least[:, w, None]) & (scores <= most[:, w, None]) & allowed
+            at, row = np.nonzero(hit)
+            if not len(at):
+                continue
+            many, found = ids.of(begin + row)
+            q = np.repeat(queries[at], many)
+            s = np.repeat(scores[at, row], many).astype(np.int64)
+            other = found != own[q]
+            self.found.append((q[other], np.full(int(other.sum()), w), s[other], found[other]))
+            self.waiting += len(at)
+        if self.waiting > 8 * self.k * self.wants.shape[0]:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """Keep the first `k` hits of each window, higher scores first, then smaller ids; a
+        full window wants nothing below them."""
+        q, w, s, x = (np.concatenate(c) for c in zip(*self.found))
+        order = np.lexsort((x, -s, w, q))
+        q, w, s, x = q[order], w[order], s[order], x[order]
+        group = q * self.wants.shape[1] + w
+        new = np.flatnonzero(np.diff(group, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(new, np.diff(np.append(new, len(q))))
+        full = rank == self.k - 1
+        self.wants[q[full], w[full]] = np.maximum(self.wants[q[full], w[full]], s[full])
+        kept = rank < self.k
+        self.found, self.waiting = [(q[kept], w[kept], s[kept], x[kept])], 0
+        return self.found[0]
+
+
+class Ids:
+    """The ids that each row stands for, in the tree's order of rows."""
+
+    def __init__(self, lists: list[list[int]]):
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.flat = np.array([x for ids in lists for x in ids], np.int64)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each row, the ids one after the other)."""
+        many = self.sizes[rows]
+        begin = self.ends[rows] - many
+        shift = begin - (np.cumsum(many) - many)
+        return many, self.flat[np.arange(many.sum()) + np.repeat(shift, many)]
 
 
 def search(
-    tree: CoverTree,
-    query: np.ndarray,
-    allowed: np.ndarray,
-    ids: list[list[int]],
-    own: int,
-    low: list[int],
-    high: list[int],
-    need: list[int],
-    k: int,
-) -> list[list[tuple[int, int]]]:
-    """For each window low..high of scores the first `k` (score, id) in it, higher scores
-    first, then smaller ids, among allowed rows (`allowed` and `ids` go by tree.order) but
-    `own`. `need`: a score that k rows are known to reach.
-
-    Nodes are visited by their upper bound; those whose bounds miss every window, or what a
-    window still needs, are skipped with all below them, and leaves are verified exactly.
+    tree: CoverTree, queries: np.ndarray, own: np.ndarray, allowed: np.ndarray, ids: Ids, windows: Windows
+) -> tuple[np.ndarray, ...]:
+    """(query, window, score, id) of the first `k` rows in each window, among the allowed rows
+    (`allowed`: a line per query, rows in the tree's order) but the query's `own` id.
+
+    Nodes are visited best bound first, for all queries at once that want something of them:
+    those whose bounds miss every window, or what a window still wants, leave, and a node
+    without queries is skipped with all below it. Leaves are verified exactly.
     """
     exact = tree.rows.dtype == np.float64
-    q = query.astype(np.float64)
-    scale = float(np.sqrt(q @ q)) * tree.top
-    asked = q if exact else query
-    found: list[list[tuple[int, int]]] = [[] for _ in low]
-    wants = np.maximum(np.array(low, np.float64), np.array(need, np.float64))
-    tops = np.array(high, np.float64)
-    wants[wants > tops] = np.inf  # an empty window
-    up, down = bounds(tree.centres[:1] @ q, tree.radii[:1], scale)
-    heap = [(-float(up[0]), 0, float(down[0]))]
+    floats = queries.astype(np.float64)
+    scale = np.sqrt(np.einsum("ij,ij->i", floats, floats)) * tree.top
+    asked = floats if exact else queries
+    everyone = np.arange(len(queries))
+    up, down = bounds(floats @ tree.centres[0], tree.radii[0], scale)
+    heap = [(-float(up.max(initial=0.0)), 0, everyone, up, down)]
     while heap:
-        up, node, down = heapq.heappop(heap)
-        if -up < wants.min():
-            break
-        if not ((-up >= wants) & (down <= tops)).any():
+        _, node, who, up, down = heapq.heappop(heap)
+        alive = windows.open_to(who, up, down)
+        if not alive.any():
             continue
-        if tree.last[node]:
-            a, b = tree.first[node], tree.last[node]
-            ups, downs = bounds(tree.centres[a:b] @ q, tree.radii[a:b], scale)
-            useful = ((ups[:, None] >= wants) & (downs[:, None] <= tops)).any(axis=1)
-            for i in np.flatnonzero(useful):
-                heapq.heappush(heap, (-float(ups[i]), a + int(i), float(downs[i])))
+        who = who[alive]
+        if not tree.last[node]:
+            begin, end = tree.begin[node], tree.end[node]
+            scores = asked[who] @ tree.rows[begin:end].T
+            windows.add(who, scores, allowed[who, begin:end], ids, begin, own)
             continue
-        a, b = tree.begin[node], tree.end[node]
-        scores = tree.products(a, b, asked)
-        for w in range(len(found)):
-            hits = np.flatnonzero((scores >= wants[w]) & (scores <= tops[w]) & allowed[a:b])
-            if not len(hits):
-                continue
-            for i in hits:
-                score = int(scores[i])
-                found[w].extend((-score, x) for x in ids[a + int(i)] if x != own)
-            found[w].sort()
-            del found[w][k:]
-            if len(found[w]) == k:
-                wants[w] = max(wants[w], -found[w][-1][0])
-    return [[(-s, x) for s, x in rows] for rows in found]
+        a, b = tree.first[node], tree.last[node]
+        ups, downs = bounds(floats[who] @ tree.centres[a:b].T, tree.radii[a:b], scale[who][:, None])
+        for i in range(b - a):
+            some = windows.open_to(who, ups[:, i], downs[:, i])
+            if some.any():
+                best = -float(ups[some, i].max())
+                heapq.heappush(heap, (best, a + i, who[some], ups[some, i], downs[some, i]))
+    return windows.settle()

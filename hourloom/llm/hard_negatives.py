@@ -166,16 +166,19 @@ def _searched(
         tree = cover_tree.CoverTree(cover_tree.matrix(rows.column("vec"), t.dim), t.norm)
         labels = rows.column("label").to_numpy()[tree.order]
         held = rows.column("ids").to_pylist()
-        ids = [held[i] for i in tree.order]
-        out = ([], [], [], [])
+        ids = cover_tree.Ids([held[i] for i in tree.order])
+        # Queries have few windows each; the lists are filled up with empty ones.
+        lists = {c: queries.column(c).to_pylist() for c in ("wid", "low", "high", "need")}
+        wide = max(map(len, lists["wid"]))
+        fill = {"wid": 0, "low": cover_tree.HIGHEST, "high": cover_tree.LOWEST, "need": 0}
+        grid = {c: np.array([x + [fill[c]] * (wide - len(x)) for x in lists[c]], np.int64) for c in lists}
+        own = queries.column("id").to_numpy()
+        asked = queries.column("label").to_numpy()
+        allowed = (asked[:, None] == labels) == same_label
+        windows = cover_tree.Windows(grid["low"], grid["high"], grid["need"], k)
         vectors = cover_tree.matrix(queries.column("vec"), t.dim)
-        asked = zip(vectors, *[queries.column(c).to_pylist() for c in ("id", "label", "wid", "low", "high", "need")])
-        for q, own, label, wid, low, high, need in asked:
-            allowed = (labels == label) == same_label
-            for w, hits in zip(wid, cover_tree.search(tree, q, allowed, ids, own, low, high, need, k)):
-                for score, found in hits:
-                    for column, value in zip(out, (own, w, found, score)):
-                        column.append(value)
+        q, w, score, found = cover_tree.search(tree, vectors, own, allowed, ids, windows)
+        out = (own[q], grid["wid"][q, w], found, score)
         return pa.table([pa.array(c, pa.int64()) for c in out], schema=_FOUND_ARROW)
 
     return dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, _FOUND)

@@ -70,15 +70,23 @@ def test_tree_answers_windows(spread, factor):
     tree = cover_tree.CoverTree(rows, top)
     assert sorted(tree.order.tolist()) == list(range(len(rows)))
     labels = rng.integers(0, 3, len(rows))
-    ids = [[int(i)] for i in tree.order]
-    for q in rows[::90]:
-        scores = [sum(int(a) * int(b) for a, b in zip(q, r)) for r in rows]
-        best = max(scores)
-        low, high = [cover_tree.LOWEST, best // 3, -best], [cover_tree.HIGHEST, best // 2, best // 9]
-        got = cover_tree.search(tree, q, labels[tree.order] == 1, ids, 5, low, high, list(low), 7)
-        for found, lo, hi in zip(got, low, high):
-            fits = [(-s, i) for i, s in enumerate(scores) if lo <= s <= hi and labels[i] == 1 and i != 5]
-            assert found == [(-s, i) for s, i in sorted(fits)[:7]]
+    ids = cover_tree.Ids([[int(i)] for i in tree.order])
+    queries = rows[::90]
+    scores = [[sum(int(a) * int(b) for a, b in zip(q, r)) for r in rows] for q in queries]
+    best = np.array([max(s) for s in scores])
+    none = np.full(len(queries), cover_tree.LOWEST)
+    low = np.stack([none, best // 3, -best, best], axis=1)
+    high = np.stack([np.full(len(queries), cover_tree.HIGHEST), best // 2, best // 9, best - 1], axis=1)
+    allowed = np.tile(labels[tree.order] == 1, (len(queries), 1))
+    windows = cover_tree.Windows(low, high, low, 7)
+    got = cover_tree.search(tree, queries, np.full(len(queries), 5), allowed, ids, windows)
+    found = {}
+    for q, w, s, i in zip(*map(np.ndarray.tolist, got)):
+        found.setdefault((q, w), []).append((-s, i))
+    for n, line in enumerate(scores):
+        for w in range(4):
+            fits = [(-s, i) for i, s in enumerate(line) if low[n, w] <= s <= high[n, w] and labels[i] == 1 and i != 5]
+            assert found.get((n, w), []) == sorted(fits)[:7]
 
 
 def test_every_node_covers_its_rows():
