@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourloom.functions import labels
 from hourloom.operators import (
     audit,
     calendar,
@@ -411,6 +412,21 @@ def _m06_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _cells(df: DataFrame) -> DataFrame:
+    """A map of hours as text, `name=hours` joined by semicolons."""
+    pairs = F.transform(F.map_entries("hours"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return df.withColumn("cells", F.array_join(pairs, ";")).drop("hours")
+
+
+def _cards_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of two years from the stored summary of the log."""
+    t = views.long_log(spark, sf_dir)
+    path = fresh_dir(spark, "cards")
+    summary = cards.yearly_summary(t.fact)
+    summary.write.partitionBy("year").parquet(path)
+    return cards.cards_of_years(t, spark.read.schema(summary.schema).parquet(path), YEAR, YEAR + 1)
+
+
 # ---------------------------------------------------------------- ingest, cache
 
 
@@ -517,6 +533,7 @@ def queries() -> dict[str, Query]:
         "r01_cards_archived": _wl(lambda t: cards.project_cards(t, ARCHIVED)),
         "r01_cards_all": _wl(cards.project_cards),
         "r01_cards_scoped": _wl(lambda t: cards.project_cards(t, None, YEAR, scoped=True)),
+        "r01_cards_of_years": _cards_of_years,
         "r02_status_counts": _wl(cards.status_counts),
         "r02_current_count": _wl(cards.count_projects),
         "r03_user_status_counts": _wl(cards.user_status_counts),
@@ -526,6 +543,7 @@ def queries() -> dict[str, Query]:
         "r06_chart_facets": _wl(lambda t: w.chart_facets(t, TODAY)),
         "r07_page": _wl(lambda t: w.worklog_page(t, page=2)),
         "r07_page_done": _wl(lambda t: w.worklog_page(t, page=2, relevant=0)),
+        "r07_page_deep": _wl(lambda t: w.worklog_page(t, page=1000)),
         "r07_page_after": _wl(
             lambda t: w.worklog_after(
                 t,
@@ -570,6 +588,15 @@ def queries() -> dict[str, Query]:
         "r13_matrix_long": _wl(lambda t: matrix.stage_matrix(t, YEAR)),
         "r13_matrix_month": _wl(lambda t: matrix.stage_matrix(t, YEAR, MONTH)),
         "r13_matrix_wide": _wl(lambda t: matrix.stage_matrix_wide(t, 1, YEAR)),
+        "r13_matrix_maps": _wl(
+            lambda t: _cells(matrix.stage_matrix_maps(t, YEAR)).drop("stage_order")
+        ),
+        "r14_user_maps": _wl(lambda t: _cells(matrix.user_project_maps(t, YEAR))),
+        "p12_headers": _wl(lambda t: matrix.user_headers(t.user)),
+        "p24_log_headers": _wl(lambda t: labels.with_headers(w.worklog_page(t), labels.LOG_HEADERS)),
+        "p24_user_headers": _wl(
+            lambda t: labels.with_headers(directory.user_directory(t).drop("css"), labels.USER_HEADERS)
+        ),
         "r14_user_wide": _wl(lambda t: matrix.user_project_hours_wide(t, 1, YEAR)),
         "r14_user_projects": _wl(lambda t: matrix.user_project_hours(t, YEAR)),
         "r15_gantt": _wl(lambda t: gantt.gantt_spans(t, YEAR), dated=True),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from hourloom.plans.periods import in_period
 from hourloom.schema import ARCHIVED, CURRENT, Tables
 
+_CARD = ["id", "name", "square", "count_users", "sum_hours", "is_done", "level", "last_act"]
+
 
 def project_cards(
     t: Tables, relevant: str | None = None, year: int | None = None, scoped: bool = False
@@ -43,16 +45,46 @@ def project_cards(
     )
     if year is not None:
         cards = cards.filter(F.col("_in_year"))
-    return cards.select(
-        "id",
-        "name",
-        "square",
-        "count_users",
-        "sum_hours",
-        F.col("isDone").alias("is_done"),
-        "level",
-        "last_act",
-    ).orderBy("is_done", F.desc("level"), F.desc("last_act"), "id")
+    return cards.withColumn("is_done", F.col("isDone")).select(*_CARD).orderBy("is_done", F.desc("level"), F.desc("last_act"), "id")
+
+
+def yearly_summary(fact: DataFrame) -> DataFrame:
+    """(projectId, year, bucket, people, hours, last): per project and year the hours, the last
+    day, and the people as bitmaps that merge. To be stored; cards of any years come from it
+    without the log. A bitmap covers 32,768 neighbouring user ids."""
+    per_user = fact.groupBy("projectId", F.year("dateStamp").alias("year"), "userId").agg(
+        F.sum(F.col("hours").cast("int")).alias("hours"), F.max("dateStamp").alias("last")
+    )
+    return per_user.groupBy("projectId", "year", F.bitmap_bucket_number("userId").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("userId")).alias("people"),
+        F.sum("hours").alias("hours"),
+        F.max("last").alias("last"),
+    )
+
+
+def cards_of_years(
+    t: Tables, summary: DataFrame, first: int, last: int, relevant: str | None = None
+) -> DataFrame:
+    """The cards of the projects with entries in the years first..last, people, hours and last
+    day in these years only, from a stored `yearly_summary`. People who worked in several of
+    the years count once."""
+    merged = (
+        summary.filter(F.col("year").between(first, last))
+        .groupBy("projectId", "bucket")
+        .agg(
+            F.bitmap_or_agg("people").alias("people"),
+            F.sum("hours").alias("hours"),
+            F.max("last").alias("last"),
+        )
+        .groupBy("projectId")
+        .agg(
+            F.sum(F.bitmap_count("people")).alias("count_users"),
+            F.sum("hours").alias("sum_hours"),
+            F.max("last").alias("last_act"),
+        )
+    )
+    cards = t.project.filter(_relevance(relevant)).join(merged, F.col("id") == F.col("projectId"))
+    return cards.withColumn("is_done", F.col("isDone")).select(*_CARD).orderBy("is_done", F.desc("level"), F.desc("last_act"), "id")
 
 
 def _relevance(relevant: str | None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,14 +28,12 @@ def _positions(spans: DataFrame) -> DataFrame:
     ranged = ranged.withColumn("_range", F.spark_partition_id())
     ranged.write.parquet(path)
     stored = spark.read.schema(ranged.schema).parquet(path)
-    counts = stored.groupBy("_range").agg(F.count("*").alias("_rows"))
-    # One row per range here, put in order as one array.
-    every = counts.agg(F.array_sort(F.collect_list(F.struct("_range", "_rows"))).alias("_all"))
-    rows = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, c: n + c["_rows"])
-    each = every.select("_all", F.explode("_all").alias("_one")).select(
-        F.col("_one._range").alias("_range"),
-        rows(F.filter("_all", lambda c: c["_range"] < F.col("_one._range"))).alias("_before"),
-        rows(F.col("_all")).alias("_n"),
+    # One row per range comes to the driver.
+    counts = sorted(tuple(r) for r in stored.groupBy("_range").agg(F.count("*")).collect())
+    upto = list(accumulate((n for _, n in counts), initial=0))
+    each = spark.createDataFrame(
+        [(part, before, upto[-1]) for (part, _), before in zip(counts, upto)],
+        "_range int, _before long, _n long",
     )
     inside = W.partitionBy("_range").orderBy("name", "startdate")
     return (

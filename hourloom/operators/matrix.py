@@ -42,43 +42,37 @@ def stage_matrix(
 ) -> DataFrame:
     """Long form for all projects: (project_id, stage, user_id, user, hours, is_total).
 
-    Totals carry the label TOTAL as stage, as user, or as both.
+    Totals carry the label TOTAL as stage, as user, or as both; cells and all totals come
+    from one aggregate over grouping sets, of rows that are summed per person before.
     """
-    columns = _stage_columns()
     per_user = _per_user(t, year, month, project_id).join(
-        t.user.select(F.col("id").alias("_id"), F.col("name").alias("user")),
-        F.col("userId") == F.col("_id"),
+        t.user.select(F.col("id").alias("user_id"), F.col("name").alias("user")),
+        F.col("userId") == F.col("user_id"),
     )
-    people = per_user.select("projectId", F.col("userId").alias("user_id"), "user", *columns)
-    everyone = (
-        per_user.groupBy("projectId")
-        .agg(*[F.sum(c).alias(c) for c in columns])
-        .select(
-            "projectId",
-            F.lit(None).cast("long").alias("user_id"),
-            F.lit(TOTAL).alias("user"),
-            *columns,
-        )
-    )
-    rows = people.unionByName(everyone)
     cells = [
-        F.struct(F.lit(i).alias("order"), F.lit(name).alias("stage"), F.col(c).alias("hours"))
-        for i, (c, name) in enumerate(zip(columns, STAGE_NAMES), start=1)
+        F.struct(F.lit(i).alias("stage_order"), F.lit(name).alias("stage"), F.col(c).alias("hours"))
+        for i, (c, name) in enumerate(zip(_stage_columns(), STAGE_NAMES), start=1)
     ]
-    whole = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    cells.append(
-        F.struct(
-            F.lit(len(columns) + 1).alias("order"), F.lit(TOTAL).alias("stage"), whole.alias("hours")
-        )
+    cells = per_user.select(
+        F.col("projectId").alias("project_id"), "user_id", "user", F.inline(F.array(*cells))
     )
-    return rows.withColumn("_cell", F.explode(F.array(*cells))).select(
-        F.col("projectId").alias("project_id"),
-        F.col("_cell.order").alias("stage_order"),
-        F.col("_cell.stage").alias("stage"),
+    project, stage, person = ["project_id"], ["stage_order", "stage"], ["user_id", "user"]
+    every = [[*project, *stage, *person], [*project, *stage], [*project, *person], project]
+    sets = [[F.col(c) for c in s] for s in every]
+    summed = cells.groupingSets(sets, *sets[0]).agg(
+        F.sum("hours").alias("hours"),
+        F.grouping("stage_order").alias("_all_stages"),
+        F.grouping("user_id").alias("_all_people"),
+    )
+    of_all = lambda flag, label, value: F.when(F.col(flag) == 1, F.lit(label)).otherwise(F.col(value))
+    return summed.select(
+        "project_id",
+        of_all("_all_stages", len(STAGE_NAMES) + 1, "stage_order").alias("stage_order"),
+        of_all("_all_stages", TOTAL, "stage").alias("stage"),
         "user_id",
-        "user",
-        F.col("_cell.hours").alias("hours"),
-        ((F.col("_cell.stage") == TOTAL) | (F.col("user") == TOTAL)).cast("int").alias("is_total"),
+        of_all("_all_people", TOTAL, "user").alias("user"),
+        "hours",
+        F.greatest("_all_stages", "_all_people").cast("int").alias("is_total"),
     )
 
 
@@ -95,6 +89,25 @@ def stage_matrix_wide(
     return wide.orderBy("project_id", "stage_order").drop("stage_order")
 
 
+def _map_of(rows: DataFrame, index: list[str], key: str) -> DataFrame:
+    """One row per index with a map from `key` to hours, keys in order; equal keys add up."""
+    summed = rows.groupBy(*index, key).agg(F.sum("hours").alias("hours"))
+    entries = F.sort_array(F.collect_list(F.struct(key, "hours")))
+    return summed.groupBy(*index).agg(F.map_from_entries(entries).alias("hours"))
+
+
+def stage_matrix_maps(t: Tables, year: int, month: int | None = None) -> DataFrame:
+    """The matrices of all projects: per project and stage, totals included, one map from the
+    people on the project (TOTAL for all of them) to hours. A row is as wide as its project
+    has people, so no set of columns has to be known or bounded."""
+    return _map_of(stage_matrix(t, year, month), ["project_id", "stage_order", "stage"], "user")
+
+
+def user_project_maps(t: Tables, year: int, month: int | None = None) -> DataFrame:
+    """All people's hours: per person one map from project to hours."""
+    return _map_of(user_project_hours(t, year, month), ["user_id"], "project")
+
+
 def matrix_headers(wide: DataFrame, index: tuple[str, ...] = ("project_id", "stage")) -> dict[str, str]:
     """Shown header of each column: the text before the first space."""
     return {c: c.partition(" ")[0] for c in wide.columns if c not in index}

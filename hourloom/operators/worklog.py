@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hourloom.functions.dates import month_name, two_digits
 from hourloom.functions.text import NAME_COLLATION
-from hourloom.plans.paging import after_key, newest_first, slice_rows
+from hourloom.plans.paging import after_key, first_rows, newest_first, page_days, placed
 from hourloom.plans.periods import check_period, in_period
 from hourloom.plans.predicates import all_of, relevance
 from hourloom.schema import ALL, PAGE_SIZE, Tables
@@ -161,9 +161,14 @@ def worklog_page(
     """One page of the work log, newest day first, ties in `t.tie_keys` order.
 
     Entries of unknown users, projects or stages are left out before the page is cut, so a
-    page is full as long as there are entries; names are joined to the page alone.
+    page is full as long as there are entries; names are joined to the page alone. Counts
+    per day tell which days a page lies in, and only their entries are ranked, each day on
+    its own; pages of all depths go the same way.
     """
-    cut = slice_rows(_known(t, relevant), "dateStamp", t.tie_keys, page * size, size)
+    offset = page * size
+    days = page_days(_known(t, relevant), "dateStamp", offset, size)
+    fact = t.fact.join(F.broadcast(days), "dateStamp")
+    cut = placed(_known(replace(t, fact=fact), relevant), "dateStamp", t.tie_keys, offset, size)
     return _described(t, cut, t.tie_keys)
 
 
@@ -172,7 +177,7 @@ def worklog_after(
 ) -> DataFrame:
     """The page that follows the row with the key values `last` (dateStamp and tie keys)."""
     older = _known(t, relevant).filter(after_key("dateStamp", t.tie_keys, last))
-    return _described(t, slice_rows(older, "dateStamp", t.tie_keys, 0, size), t.tie_keys)
+    return _described(t, first_rows(older, "dateStamp", t.tie_keys, size), t.tie_keys)
 
 
 def worklog_count(t: Tables, relevant: bool | int | None = None) -> DataFrame:

@@ -453,6 +453,7 @@ def oracle_sql() -> dict[str, str]:
         "r01_cards_archived": _cards("isDone <> 0"),
         "r01_cards_all": _cards("TRUE"),
         "r01_cards_scoped": _cards("TRUE", _IN_YEAR, "JOIN"),
+        "r01_cards_of_years": _cards("TRUE", "year(dateStamp) BETWEEN 1997 AND 1998", "JOIN"),
         "r02_status_counts": f"{_WL} SELECT isDone AS is_done, count(*) AS n FROM project GROUP BY 1",
         "r02_current_count": f"{_WL} SELECT count(*) AS n FROM project WHERE isDone <> 1",
         "r03_user_status_counts": f"""{_WL}
@@ -463,6 +464,7 @@ SELECT userId AS user_id, isDone AS is_done, count(DISTINCT projectId) AS n FROM
         "r06_chart_facets": _CHART_FACETS,
         "r07_page": _page("TRUE", "LIMIT 40 OFFSET 80"),
         "r07_page_done": _page("isDone = 1", "LIMIT 40 OFFSET 80"),
+        "r07_page_deep": _page("TRUE", "LIMIT 40 OFFSET 40000"),
         "r07_page_after": _page(
             "dateStamp < DATE '1999-06-15' OR (dateStamp = DATE '1999-06-15' AND orderKey >= 100)", "LIMIT 40"
         ),
@@ -496,6 +498,16 @@ FROM fact JOIN project p ON p.id = projectId WHERE {_IN_YEAR} GROUP BY 1, 2, 3,
         "r12_user_gaps": _gaps(_D, _IN_MONTH),
         "r13_matrix_long": _matrix(_IN_YEAR),
         "r13_matrix_month": _matrix(_IN_MONTH),
+        "r13_matrix_maps": f"""SELECT project_id, stage, string_agg("user" || '=' || hours, ';' ORDER BY "user") AS cells
+FROM (SELECT project_id, stage, "user", sum(hours) AS hours FROM ({_matrix(_IN_YEAR)}) GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+        "r14_user_maps": f"""SELECT user_id, string_agg(project || '=' || hours, ';' ORDER BY project) AS cells
+FROM (SELECT user_id, project, sum(hours) AS hours FROM ({_USER_PROJECTS}) GROUP BY 1, 2) GROUP BY 1""",
+        "p12_headers": f"{_WL} SELECT id, name, split_part(name, ' ', 1) AS header FROM usr",
+        "p24_log_headers": f"""SELECT year AS "ГОД", month AS "ММ", day AS "ДД", "user" AS "СОТРУДНИК", project AS "ПРОЕКТ",
+  stage AS "ЭТАП", square AS "м²", hours AS "ЧАСЫ", "orderKey", "stageId", "projectId", "userId"
+FROM ({_page("TRUE", "LIMIT 40")})""",
+        "p24_user_headers": f"""SELECT id, name AS "ИМЯ", login AS "ЛОГИН", color AS "ЦВЕТ", admin AS "АДМИН", status AS "СТАТУС"
+FROM ({_USERS})""",
         "r14_user_projects": _USER_PROJECTS,
         "r15_gantt": _gantt("TRUE"),
         "r15_gantt_current": _gantt("isDone = 0"),

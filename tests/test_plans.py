@@ -62,7 +62,7 @@ NO_WINDOW_KEYS = re.compile(r"Window \[.*\], \[\](,|$)|Window \[[^\]]*\](\)|, \[
     [
         "r01_cards_current_year", "r09_by_all_fields", "r12_gaps", "r13_matrix_long", "r16_detail",
         "r18_contiguity", "r19_grid", "r20_days", "r21_deadlines", "r25_lookup", "r26_first_names",
-        "r07_page", "r07_page_done", "r15_gantt", "r27_project_colours", "m01_upsert", "m01_over_snapshot", "m03_insert", "m04_insert", "m06_rejects",
+        "r07_page", "r07_page_done", "r07_page_deep", "r01_cards_of_years", "r13_matrix_maps", "r15_gantt", "r27_project_colours", "m01_upsert", "m01_over_snapshot", "m03_insert", "m04_insert", "m06_rejects",
     ],
 )
 def test_no_cross_joins_and_no_window_over_everything(spark, name):
@@ -93,3 +93,15 @@ def test_gantt_positions_are_counted_by_range(spark, log):
     names = [r.name for r in rows]
     assert names == sorted(names)
     assert [r.pos for r in rows] == [i / max(1, len(rows) - 1) for i in range(len(rows))]
+
+
+def test_a_deep_page_sorts_its_days_only(spark, log):
+    """No task keeps the rows before the page, and the day counts read one column."""
+    text = plan(worklog.worklog_page(log, page=20_000), "simple")
+    assert not re.search(r"TakeOrderedAndProject\(limit=8", text)
+    assert re.search(r"Window \[row_number\(\) windowspecdefinition\(dateStamp#", text)
+
+
+def test_matrix_totals_come_from_one_aggregate(spark, log):
+    text = plan(matrix.stage_matrix(log, 1997), "simple")
+    assert text.count("Expand [") == 1 and "Union" not in text
