@@ -26,12 +26,18 @@ def block_size(total: int) -> int:
     return max(LEAST_BLOCK, min(MOST_BLOCK, total // BLOCKS))
 
 
+def _row_columns(df: DataFrame) -> list[Column]:
+    """All columns, in a form that can be hashed: rows with equal keys are the same row."""
+    maps = {f.name for f in df.schema if f.dataType.typeName() == "map"}
+    return [F.map_entries(f"`{c}`") if c in maps else F.col(f"`{c}`") for c in df.columns]
+
+
 def measured(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
     """Narrow rows, one per document: keys, size in words and place in the shuffle. A null
     source is a source of its own, after all others."""
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    k1, k2 = keys128(F.col(f"`{id_col}`"), source, whole(text))
+    k1, k2 = keys128(*_row_columns(df))
     rows = df.select(
         F.col(f"`{id_col}`").alias("id"),
         source.isNull().alias("no_source"),
@@ -168,6 +174,7 @@ def block_pieces(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     taken = (F.col("size") > 0) & (F.col("start") < F.col("wanted"))
     turns = F.when(taken, F.sequence(F.lit(0), rounds - 1))
     each = docs.withColumn("turn", F.explode_outer(turns))
+    # A row that is not taken has null here, and in all that follows from it.
     begin = F.col("start") + F.col("turn") * F.col("source_size")
     each = each.withColumn("begin", begin).withColumn(
         "end", F.least(F.col("begin") + F.col("size"), "wanted")
@@ -178,7 +185,7 @@ def block_pieces(rows: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     return each.withColumn("words", words)
 
 
-def mixing_plan(
+def occurrences(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -188,7 +195,32 @@ def mixing_plan(
     seed: int = 1,
     block_words: int | None = None,
 ) -> DataFrame:
-    """One row per row of `df`: `id`, `size`, `source_size`, `target`, `taken` and the keys.
+    """One row per time the mix takes a row of `df`, and one with nulls for a row it does not
+    take: keys and figures of the row, `turn`, `words` taken, and its place in the mix: the
+    slot that carries the block with its first word, and the word's `offset` in the block."""
+    rows = measured(df, id_col, text_col, source_col, seed)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    block = block_words or block_size(total)
+    sources = source_targets(rows, weights, repeats)
+    slots = schedule(df.sparkSession, sources, total, block)
+    pieces = block_pieces(rows, sources, block)
+    doc = ["place", "nth", "id", "size", "source_size", "target", "k1", "k2"]
+    offset = F.greatest("begin", F.col("block") * block) - F.col("block") * block
+    carried = pieces.select(*doc, "turn", "block", "words", offset.alias("offset")).join(
+        slots, ["place", "block"], "left"
+    )
+    taken = F.when(F.col("slot").isNotNull(), F.col("words"))
+    return carried.groupBy(*doc, "turn").agg(
+        F.sum(taken).alias("words"),
+        F.min_by("slot", "block").alias("slot"),
+        F.min_by("offset", "block").alias("offset"),
+    )
+
+
+def mixing_plan(df: DataFrame, **options) -> DataFrame:
+    """One row per row of `df`: `id`, `size`, `source_size`, `target`, `taken`, and where the
+    mix takes it first, `first_slot` and `slot_offset` (null: nowhere). Options as
+    `occurrences`.
 
     Size is the number of words; a null text has none. A null id shuffles as an empty one and
     a null source is the last source. Each source's documents are shuffled by a hash of seed
@@ -198,18 +230,11 @@ def mixing_plan(
     no words at all every target is 0. Repeated rows count each by itself. The same rows and
     seed give the same result however they are partitioned. An empty table gives no rows.
     """
-    rows = measured(df, id_col, text_col, source_col, seed)
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    block = block_words or block_size(total)
-    sources = source_targets(rows, weights, repeats)
-    slots = schedule(df.sparkSession, sources, total, block)
-    pieces = block_pieces(rows, sources, block)
     doc = ["place", "nth", "id", "size", "source_size", "target", "k1", "k2"]
-    return (
-        pieces.select(*doc, "block", "words")
-        .join(slots, ["place", "block"], "left")
-        .groupBy(*doc)
-        .agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"))
+    return occurrences(df, **options).groupBy(*doc).agg(
+        F.coalesce(F.sum("words"), F.lit(0)).alias("taken"),
+        F.min_by("slot", "turn").alias("first_slot"),
+        F.min_by("offset", "turn").alias("slot_offset"),
     )
 
 
@@ -218,47 +243,38 @@ def _first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, 1, n), " ")
 
 
-def mix(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    **options,
-) -> DataFrame:
-    """The mixed table: each row of `df` as often as the plan takes it, all columns kept.
+def mix(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The mixed table in the order of the schedule: (slot, offset, row), `row` a row of `df`
+    with all its columns, as often as the plan takes it. A document stands where its first
+    word stands, in the block that its source's turn in the schedule carries.
 
     A document taken whole k times occurs k times; the one document of a source where the
     target ends also occurs cut to its first words, joined by single spaces. Documents not
-    taken are left out. Edge cases as `mixing_plan`; rows that repeat id, source and text
-    are told apart by number. Other columns pass unchanged, whatever their names.
+    taken are left out. Edge cases as `mixing_plan`; rows alike in every column are worked
+    on together and occur as often as all of them are taken. Other columns pass unchanged,
+    whatever their names.
     """
-    plan = mixing_plan(df, id_col, text_col, source_col, **options)
-    twin = W.partitionBy("k1", "k2").orderBy("nth")
-    plan = plan.withColumn("twin", F.row_number().over(twin)).filter("taken > 0")
-    plan = plan.select("k1", "k2", "twin", F.col("size").cast("int"), F.col("taken").cast("int"))
-    text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string")
-    k1, k2 = keys128(F.col(f"`{id_col}`"), source, whole(text))
+    taken = occurrences(df, text_col=text_col, **options).filter("words > 0")
+    taken = taken.select("k1", "k2", F.col("size").cast("int"), F.col("words").cast("int"), "slot", "offset")
+    k1, k2 = keys128(*_row_columns(df))
     packed = df.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
-    packed = packed.withColumn(
-        "twin", F.row_number().over(W.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    )
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    rows = packed.join(plan, ["k1", "k2", "twin"]).withColumn(
-        "turn", F.explode(F.sequence(F.lit(1), times))
-    )
-    rest = F.col("taken") - (F.col("turn") - 1) * F.col("size")
+    rows = packed.groupBy("k1", "k2").agg(F.first("row").alias("row")).join(taken, ["k1", "k2"])
     now = F.col("row")[text_col]
-    cut = F.when(rest >= F.col("size"), now).otherwise(_first_words(now, rest))
-    return rows.select(F.col("row").withField(f"`{text_col}`", cut).alias("row")).select("row.*")
+    cut = F.when(F.col("words") >= F.col("size"), now).otherwise(_first_words(now, F.col("words")))
+    return rows.select(
+        "slot", "offset", F.col("row").withField(f"`{text_col}`", cut).alias("row")
+    ).orderBy("slot", "offset")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(table(spark, sf_dir, "documents"))
     return plan.select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long")
-    )
+        F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long"),
+        "first_slot", "slot_offset",
+    )
 
 
+# Contains the schedule: blocks as golden-ratio points deal them out, missing ones at the end.
 OP10_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, source IS NULL AS no_source, coalesce(source, '') AS source_key,
@@ -282,14 +298,42 @@ t AS (
   SELECT *, CASE WHEN cap <= rate * weight THEN CAST(cap AS DOUBLE)
     ELSE (SELECT arg_min(rate, o) FROM r WHERE cap > rate * weight) * weight END AS target
   FROM r),
+v AS (
+  SELECT *, CAST(floor(target) AS BIGINT) AS wanted,
+    CAST(sum(floor(target)) OVER (ORDER BY place) AS HUGEINT) AS upto,
+    CAST(sum(floor(target)) OVER () AS HUGEINT) AS every
+  FROM t),
+b AS (
+  SELECT greatest({LEAST_BLOCK}, least({MOST_BLOCK}, CAST(sum(size) AS BIGINT) // {BLOCKS})) AS block,
+    CAST(sum(size) AS BIGINT) AS total
+  FROM d),
+share AS (
+  SELECT place, CAST(ceil(wanted / block) AS BIGINT) AS need,
+    CAST((upto - wanted) * {POINTS} // every AS BIGINT) AS lo, CAST(upto * {POINTS} // every AS BIGINT) AS hi
+  FROM v, b WHERE wanted > 0),
+point AS (
+  SELECT slot, CAST(((CAST(slot AS HUGEINT) * {GOLDEN}) % {UNIT}) // 1000000000 AS BIGINT) AS point
+  FROM b, range(CAST(ceil(total / block) AS BIGINT)) AS g(slot)),
+hit AS (
+  SELECT place, need, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS block
+  FROM point JOIN share ON point >= lo AND point < hi),
+have AS (SELECT place, count(*) AS n FROM hit GROUP BY place),
+slots AS (
+  SELECT place, block, slot FROM hit WHERE block < need
+  UNION ALL
+  SELECT place, g.x, (SELECT CAST(ceil(total / block) AS BIGINT) FROM b) + (g.x - coalesce(n, 0)) * {POINTS} + place
+  FROM share LEFT JOIN have USING (place), LATERAL (SELECT unnest(range(coalesce(n, 0), need)) AS x) AS g
+  WHERE coalesce(n, 0) < need),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS wanted,
+  SELECT d.doc_id, d.size, v.source_size, v.target, v.wanted, v.place,
     CAST(sum(d.size) OVER (PARTITION BY d.no_source, d.source_key ORDER BY d.shuffle, d.doc_id
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS a
-  FROM d JOIN t USING (no_source, source_key))
+  FROM d JOIN v USING (no_source, source_key)),
+f AS (SELECT p.*, a // b.block AS first_block, a % b.block AS inside, size > 0 AND a < wanted AS used FROM p, b)
 SELECT doc_id, size, source_size, target, CAST(
   greatest(0, least(a + size, wanted) - a)
   + greatest(0, least(a + source_size + size, wanted) - a - source_size)
-  + greatest(0, least(a + 2 * source_size + size, wanted) - a - 2 * source_size) AS BIGINT) AS taken
-FROM p
+  + greatest(0, least(a + 2 * source_size + size, wanted) - a - 2 * source_size) AS BIGINT) AS taken,
+  CASE WHEN used THEN slots.slot END AS first_slot, CASE WHEN used THEN inside END AS slot_offset
+FROM f LEFT JOIN slots ON slots.place = f.place AND slots.block = f.first_block
 """

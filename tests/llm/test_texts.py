@@ -451,17 +451,61 @@ def test_schedule_is_even(spark):
 
 def test_mix(spark):
     rows = mixed_rows()
-    df = sized(spark, rows)
+    df = sized(spark, rows + [rows[9], rows[9]])  # rows alike in every column
     out = mixing.mix(df)
-    assert out.columns == df.columns
+    assert out.columns == ["slot", "offset", "row"] and out.select("row.*").columns == df.columns
     plan = Counter()
     for r in mixing.mixing_plan(df).collect():
         plan[r.id] += r.taken
     words = Counter()
-    for r in out.collect():
+    for r in out.select("row.*").collect():
         words[r.doc_id] += len(r.text.split())
         assert (r.size, r.k1, r.block) == ("s", -2, -3)
     assert words == Counter({k: v for k, v in plan.items() if v})
+    again = mixing.mix(df.repartition(7)).collect()
+    assert again == out.collect()
+
+
+def many_rows():
+    rng = random.Random(13)
+    sizes = {"a": 900, "b": 500, "c": 400}
+    return [(n, "w " * rng.randint(1, 30), s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))]
+
+
+def test_mix_comes_in_an_even_order(spark):
+    """What mix() returns is in schedule order: any stretch has about each source's share."""
+    df = sized(spark, many_rows())
+    out = [(r.slot, r.offset, r.row.source, len(r.row.text.split())) for r in mixing.mix(df).collect()]
+    assert [o[:2] for o in out] == sorted(o[:2] for o in out) and len({o[:2] for o in out}) == len(out)
+    total = sum(o[3] for o in out)
+    share = Counter()
+    for _, _, source, n in out:
+        share[source] += n / total
+    seen, sofar = Counter(), 0
+    for _, _, source, n in out:
+        seen[source] += n
+        sofar += n
+        if sofar < 0.9 * total:
+            assert all(abs(seen[s] - sofar * share[s]) < 200 for s in share)
+
+
+def test_the_schedule_decides_places(spark, monkeypatch):
+    df = sized(spark, many_rows()[::9])
+    keys = ["id", "taken", "first_slot", "slot_offset"]
+    before = sorted(map(str, mixing.mixing_plan(df).select(*keys).collect()))
+    real = mixing.schedule
+    monkeypatch.setattr(mixing, "schedule", lambda *a: real(*a).withColumn("slot", F.lit(0).cast("long")))
+    assert sorted(map(str, mixing.mixing_plan(df).select(*keys).collect())) != before
+    monkeypatch.setattr(mixing, "schedule", lambda *a: real(*a).filter("block > 0"))
+    assert sorted(map(str, mixing.mixing_plan(df).select("taken").collect())) != before
+
+
+def test_a_row_is_told_from_its_twin_by_all_columns(spark):
+    df = spark.createDataFrame(
+        [(1, "a b c", "s", {"x": i}) for i in range(4)], "doc_id long, text string, source string, extra map<string,int>"
+    )
+    out = mixing.mix(df).select("row.*").collect()
+    assert sorted(r.extra["x"] for r in out) == [0, 1, 2, 3]
 
 
 def test_mixing_nothing(spark):
