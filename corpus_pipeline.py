@@ -40,8 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to target weights takes them."""
-    return _documents(mixing.mix(docs))
+    """Documents as often as the mix to target weights takes them, in the order of its schedule."""
+    return _documents(mixing.mix(docs).select("row.*"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
