@@ -16,7 +16,9 @@ from hourloom.llm.texts import CODE_POINTS, blocks
 
 SAMPLE_DOCS = 256  # labelled documents looked at per language, at most
 SAMPLE_CHARS = 24_000  # characters of an automaton, at most
-SYMBOLS = 62  # letters told apart, over all languages
+STRETCH = 3_000  # characters that one document gives to a sample, at most
+SYMBOLS = 62  # letters of a language with a symbol of their own, the most frequent ones
+SHARED = 16  # symbols that its other letters share
 CHUNK = 256  # a text is parsed in pieces of this many symbols, all of them
 LANES = 16_384  # pieces parsed side by side
 SHARPNESS = 12.0
@@ -25,23 +27,28 @@ SHARPNESS = 12.0
 def labelled_sample(
     df: DataFrame, text_col: str, lang_col: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS
 ) -> dict[str, str]:
-    """Training text per language: whole documents of a bounded sample, up to `chars`
-    characters. Of each language's rows one is taken per hash bucket, `docs` buckets; only
-    hashes are looked at for that, and only the sampled rows come to the driver."""
+    """Training text per language: stretches of the documents of a bounded sample, `chars`
+    characters in all. Of each language's rows with a letter one is taken per hash bucket,
+    `docs` buckets, whatever its length, so every language gets a sample; a document longer
+    than `STRETCH` gives a stretch that begins at a place drawn by its hash. Only hashes are
+    looked at for that, and only the stretches come to the driver."""
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
-    rows = df.filter(lang.isNotNull() & text.isNotNull()).select(
+    lettered = text.rlike(r"\p{L}")
+    rows = df.filter(lang.isNotNull() & lettered).select(
         lang.cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")
     )
-    picked = rows.filter(F.length("text") <= chars).groupBy(
-        "lang", F.pmod(F.col("h"), F.lit(docs)).alias("bucket")
-    )
+    picked = rows.groupBy("lang", F.pmod(F.col("h"), F.lit(docs)).alias("bucket"))
     chosen = [(r.lang, r.h) for r in picked.agg(F.min("h").alias("h")).collect()]
-    wanted = rows.filter(F.col("h").isin([h for _, h in chosen])).dropDuplicates(["lang", "h"])
-    found = wanted.filter(F.length("text") <= chars).orderBy("lang", "h").collect()
+    # No further than a stretch before the end.
+    room = F.greatest(F.length("text") - STRETCH + 1, F.lit(1))
+    begin = F.pmod(F.xxhash64(F.lit(3), "h"), room.cast("long")).cast("int") + 1
+    stretch = F.substring("text", begin, F.lit(STRETCH)).alias("text")
+    wanted = rows.filter(F.col("h").isin([h for _, h in chosen])).select("lang", "h", stretch)
+    found = wanted.dropDuplicates(["lang", "h"]).orderBy("lang", "h").collect()
     keys, out = set(chosen), {}
     for r in found:
-        if (r.lang, r.h) in keys and len(out.get(r.lang, "")) + len(r.text) < chars:
-            out[r.lang] = out.get(r.lang, "") + "\n" + r.text
+        if (r.lang, r.h) in keys:
+            out[r.lang] = (out.get(r.lang, "") + "\n" + r.text)[:chars]
     return {k: v for k, v in out.items() if any(map(str.isalpha, v))}
 
 
@@ -83,25 +90,34 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
 class Parser:
     """Cross-parses texts with the automata of all languages at once.
 
-    Symbols: 0 is anything but a letter (runs are one symbol), 1 a letter not told apart, then
-    the samples' most frequent letters, lower-cased; the last pads. A table entry is twice
-    the next state's offset, plus 1 where the longest match ended and a new phrase begins.
+    Letters are numbered over all samples, lower-cased: 0 is anything but a letter (runs are
+    one), 1 a letter that no sample has; the last number pads. Each language has symbols of
+    its own for them: 0 and the padding as above, 1 for letters its sample lacks, which no
+    phrase contains, then its most frequent letters one by one, then the others, several to
+    a symbol. A table entry is twice the next state's offset, plus 1 where the longest match
+    ended and a new phrase begins.
     """
 
-    def __init__(self, samples: dict[str, str], symbols: int = SYMBOLS):
+    def __init__(self, samples: dict[str, str], symbols: int = SYMBOLS, shared: int = SHARED):
         self.langs = sorted(samples)
-        letters = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        known = {c: i + 2 for i, (c, _) in enumerate(letters.most_common(symbols))}
-        width = len(known) + 3
-        self.pad = width - 1
-        self.symbol = np.zeros(CODE_POINTS, np.uint8)
+        letters = {x: Counter(c for c in samples[x].lower() if c.isalpha()) for x in self.langs}
+        number = {c: i + 2 for i, c in enumerate(sorted(set().union(*letters.values())))}
+        self.pad = len(number) + 2
+        self.symbol = np.zeros(CODE_POINTS, np.uint32)
         for cp in range(CODE_POINTS):
             c = chr(cp)
             if c.isalpha():
-                self.symbol[cp] = known.get(c) or known.get(c.lower(), 1)
+                self.symbol[cp] = number.get(c) or number.get(c.lower(), 1)
+        width = symbols + shared + 3
+        self.of = np.ones((len(self.langs), len(number) + 3), np.int32)
+        self.of[:, 0], self.of[:, -1] = 0, width - 1
+        for i, lang in enumerate(self.langs):
+            for place, (c, _) in enumerate(letters[lang].most_common()):
+                own = place if place < symbols else symbols + ord(c) % shared
+                self.of[i, number[c]] = own + 2
         tables, self.starts, self.bits, base = [], [], [], 0
-        for lang in self.langs:
-            moves = suffix_automaton(self.fold(samples[lang]).tolist(), width)
+        for i, lang in enumerate(self.langs):
+            moves = suffix_automaton(self.of[i, self.fold(samples[lang])].tolist(), width)
             # One more state follows a symbol the sample does not have: a phrase by itself.
             alone = len(moves)
             states = alone + 1
@@ -112,7 +128,7 @@ class Parser:
             fresh = moves < 0
             fresh[0] = False  # the first phrase has begun
             entry = target * 2 + fresh
-            entry[:, self.pad] = offset * 2
+            entry[:, width - 1] = offset * 2
             tables.append(entry.astype(np.int32).reshape(-1))
             self.starts.append(base)
             self.bits.append(np.log2(max(2, len(samples[lang]))))
@@ -137,7 +153,7 @@ class Parser:
         state = np.repeat(np.array(self.starts, np.int32), n)
         count = np.ones(n * k, np.int32)
         for row in lanes:
-            entry = self.table.take(state + np.tile(row, k), mode="clip")
+            entry = self.table.take(state + self.of[:, row].reshape(-1), mode="clip")
             count += entry & 1
             state = entry >> 1
         return count.reshape(k, n)
@@ -153,7 +169,7 @@ class Parser:
             np.arange(pieces.sum()) - np.repeat(first, pieces)
         )
         size = np.minimum(CHUNK, np.repeat(ends, pieces) - start)
-        padded = np.append(symbols, np.zeros(CHUNK, np.uint8))
+        padded = np.append(symbols, np.zeros(CHUNK, np.uint32))
         steps = np.arange(CHUNK)
         found = []
         for i in range(0, len(start), LANES):

@@ -136,6 +136,43 @@ def test_identify(spark):
     assert language_id.identify(df.limit(0), samples).count() == 0
 
 
+#: Letters of a script, and how many of them a made-up language uses.
+SCRIPTS = {
+    "ar": (0x627, 28), "el": (0x3B1, 24), "hy": (0x561, 36), "ka": (0x10D0, 33), "ko": (0xAC00, 900),
+    "ru": (0x430, 32), "zh": (0x4E00, 2000), "en": (0x61, 26), "th": (0xE01, 40),
+}
+
+
+def script_text(rng, lang, words=60):
+    first, many = SCRIPTS[lang]
+    word = lambda: "".join(chr(first + min(many - 1, int(rng.expovariate(6 / many)))) for _ in range(rng.randint(2, 7)))
+    return " ".join(word() for _ in range(words))
+
+
+def test_scripts_are_told_apart(spark):
+    rng = random.Random(21)
+    rows = [(n, script_text(rng, lang), lang) for n, lang in enumerate([*SCRIPTS] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.labelled_sample(df.filter("doc_id < 180"), "text", "lang")
+    assert sorted(samples) == sorted(SCRIPTS)
+    for r in language_id.identify(df.filter("doc_id >= 180"), samples).collect():
+        assert r.lang_pred == r.row.lang
+
+
+def test_languages_of_long_documents_are_learned(spark):
+    """Documents longer than a sample count as others do."""
+    rng = random.Random(22)
+    words = {"en": "the house and garden of old man with".split(), "de": "das haus und der garten alten mannes mit".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(n, text("en", 40), "en") for n in range(30)] + [(100 + n, text("de", 12_000), "de") for n in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.labelled_sample(df, "text", "lang")
+    assert all(0 < len(t) <= language_id.SAMPLE_CHARS for t in samples.values())
+    again = language_id.labelled_sample(df.repartition(7), "text", "lang")
+    assert sorted(samples) == ["de", "en"] and samples == again
+    assert all(r.lang_pred == r.row.lang for r in language_id.identify(df, samples).collect())
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
     got = queries.QUERIES["op5_language_id"](spark, SF.replace("0.001", "0.01"))
