@@ -349,19 +349,45 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_pass_count_grows_with_rows():
+def test_pass_count_grows_with_the_crowd():
     """Enough passes that a pair at the threshold is missed with chance 1 - recall at most."""
     before = 0
-    for rows in (10**3, 10**5, 10**7, 10**9):
-        passes = embedding_dedup.pass_count(rows, 0.95, 64, 0.99)
-        meet = (1 - math.acos(0.95) / math.pi) ** math.log2(rows / 64)
-        assert passes > before and (1 - meet) ** passes <= 0.01
+    for bits in (0, 3, 10, 20, 40):
+        passes = embedding_dedup.pass_count(bits, 0.95, 0.99)
+        meet = (1 - math.acos(0.95) / math.pi) ** bits
+        assert passes > before and (1 - meet) ** passes <= 0.01 + 1e-12
         before = passes
+    assert embedding_dedup.bits_needed({2: 500, 9: 499, 30: 1}) == 9
+    assert embedding_dedup.bits_needed({2: 500, 9: 490, 30: 10}) == 30
+    assert embedding_dedup.bits_needed({}) == 0
+
+
+def test_one_pass_compares_windows_in_hash_order(spark):
+    """The links of one pass are those of the pairs at most a window apart in the order of the
+    hashes, over the ends of stretches and ranges too."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 6, v.tolist()) for i, v in enumerate(x)], "node long, dim int, vec array<double>")
+    window = 9
+    seen = embedding_dedup._passes(df, 2, 3, 0.5, window, 7).collect()
+    planes = np.random.default_rng([7, 6, 2]).standard_normal((6, embedding_dedup.BITS))
+    keys = [(bytes(k), i) for i, k in enumerate(np.packbits(x @ planes > 0, axis=1))]
+    order = [i for _, i in sorted(keys)]
+    near = [
+        (order[a], order[b]) for a in range(700) for b in range(a + 1, min(a + window + 1, 700))
+        if x[order[a]] @ x[order[b]] >= 0.5
+    ]
+    links = [(r.u, r.v) for r in seen if r.kind == 0]
+    assert {tuple(sorted(p)) for p in links} <= {tuple(sorted(p)) for p in near}
+    ours, theirs = grouped(links), grouped(near)
+    assert len({(ours(i), theirs(i)) for i in range(700)}) == len({theirs(i) for i in range(700)})
+    assert sum(r.v for r in seen if r.kind == 1) <= 700
 
 
 def test_vectors_in_one_cone(spark):
     """Pairs at the threshold meet though all vectors share a direction, a third a second one:
-    64-row windows after log2(n / 64) bits lose many of them."""
+    as many passes as even directions need would lose many of them."""
     rng = np.random.default_rng(8)
     n, dim = 6000, 32
 
@@ -378,22 +404,9 @@ def test_vectors_in_one_cone(spark):
     near = vectors @ vectors.T >= 0.95
     want = [(i, j) for i, j in np.argwhere(near).tolist() if i < j]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(df).collect()}
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(df, window=64).collect()}
     assert len(want) >= 600
-    assert sum(got[i] != got[j] for i, j in want) <= 0.02 * len(want)
-
-
-def test_bits_follow_the_crowd():
-    """Crowded hashes take more comparisons into account than even ones, recall stays."""
-    rng = np.random.default_rng(2)
-    even = rng.integers(0, 1 << 60, (20_000, 3))
-    bits, passes = embedding_dedup.choose_bits([even], 3_000_000, 0.95, 64, 0.99)
-    agree = 1 - math.acos(0.95) / math.pi
-    assert 10 <= bits <= 20 and (1 - agree**bits) ** passes <= 0.01
-    crowded = (rng.random((20_000, 3, 60)) < 0.87) @ (1 << np.arange(60))
-    more, passes = embedding_dedup.choose_bits([crowded], 3_000_000, 0.95, 64, 0.99)
-    assert more > bits and (1 - agree**more) ** passes <= 0.01
-    assert embedding_dedup.choose_bits([np.zeros((100, 3), np.int64)], 100, 0.95, 64, 0.99) == (0, 1)
+    assert sum(got[i] != got[j] for i, j in want) <= 0.01 * len(want)
 
 
 def test_row_names_clash(spark):
