@@ -19,6 +19,7 @@ BANDS, ROWS = 24, 5  # a pair at 0.8 shares no band with chance (1 - 0.8 ** 5) *
 SLOTS = BANDS * ROWS
 BLOCK_BYTES = 2_000_000  # text of a block of compared documents, about
 BLOCK_ROWS = 1024  # documents of a block, about
+BUCKET_ROWS = 16_384  # sketches of a band compared in one task, about half of them
 MARGIN = 0.16  # below the threshold by so much, an estimate rules a pair out (over 4 sigma)
 BATCH_BYTES = 1_000_000
 MAX_TEXTS = 4096  # of a block; with HASH_BITS they share 64 bits
@@ -174,20 +175,87 @@ def _text_blocks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, bands); a text without words has no bands."""
+    """(node, text) to (node, bands, sketch); a text without words has no bands. The sketch
+    has one byte of each signature value."""
     for batch in batches:
         for begin, end, texts in _text_blocks(batch.column("text")):
             data, ends = _joined(texts)
             text, shingle, count = bags(data, ends)
-            h = band_hashes(signatures(text, shingle, count, len(texts)))
+            sig = signatures(text, shingle, count, len(texts))
+            h = band_hashes(sig)
+            raw = (sig & np.uint64(255)).astype(np.uint8).tobytes()
+            sketch = pa.Array.from_buffers(pa.binary(SLOTS), len(texts), [None, pa.py_buffer(raw)])
             has = np.bincount(text, minlength=len(texts)) > 0
             sizes = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
             bands = pa.ListArray.from_arrays(sizes, pa.array(h[has].view(np.int64).reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node").slice(begin, end - begin), bands], names=["node", "bands"]
+                [batch.column("node").slice(begin, end - begin), bands, sketch.cast(pa.binary())],
+                names=["node", "bands", "sketch"],
             )
 
 
+# ------------------------------------------------------------- candidates
+
+
+def _alike(similarity: float):
+    """Links that connect what is similar by estimate in a band's bucket, or between two
+    blocks of a large one. A byte agrees where the value does, so no pair that the whole
+    signatures would let through is left out."""
+
+    def links(sketch: np.ndarray, side: np.ndarray, cross: bool) -> list[tuple[int, int]]:
+        label = np.arange(len(sketch))  # equal where connected
+        out = []
+        for i in range(len(sketch) - 1):
+            apart = label[i + 1 :] != label[i]
+            if cross:
+                apart &= side[i + 1 :] != side[i]
+            j = np.flatnonzero(apart) + i + 1
+            hit = j[(sketch[j] == sketch[i]).mean(axis=1) >= similarity - MARGIN] if len(j) else j
+            if len(hit):
+                joined, at = np.unique(label[hit], return_index=True)
+                out += [(i, k) for k in hit[at].tolist()]
+                label[np.isin(label, joined)] = label[i]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in sorted_groups(batches, ["band", "a", "b"]):
+            nodes = group.column("node").to_numpy()
+            cross = group.column("a")[0].as_py() != group.column("b")[0].as_py()
+            flat = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8)
+            found = links(flat.reshape(len(nodes), -1), group.column("side").to_numpy(), cross)
+            if found:
+                u, v = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
+
+    return run
+
+
+def _candidates(signed: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): groups of documents that links by estimate connect, where only documents
+    that share a band are compared. A text that many share only in part (a licence header)
+    brings documents into one bucket, not into one group."""
+    bands = signed.select("node", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = buckets.filter("least <> most").select("band")
+    members = stored(spread_join(bands, shared, ["band"]).distinct(), "near-buckets")
+    blocks = F.ceil(F.count("*") / (BUCKET_ROWS / 2)).cast("int")
+    large = members.groupBy("band").agg(blocks.alias("blocks")).filter("blocks > 2")
+    wanted = members.select("node").distinct()
+    sketches = signed.select("node", "sketch").join(wanted, "node", "left_semi").groupBy("node")
+    sketches = sketches.agg(F.first("sketch").alias("sketch"))
+    dealt = spread_join(members, large, ["band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    side = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("side", side).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    placed = dealt.select(
+        "band", "node", "side", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b")
+    ).join(sketches, "node")
+    order = ["band", "a", "b"]
+    links = placed.repartition(*order).sortWithinPartitions(*order).mapInArrow(_alike(similarity), "u long, v long")
+    return stored(connected(links, "near-groups"), "near-candidates")
+
+
 # ------------------------------------------------------------- verification
 
 
@@ -262,8 +330,8 @@ def near_duplicates(
 
     Equal texts (null counts as empty) are one node from the start, so copies cost nothing
     later; documents without words are near to nothing but their equals. Nodes that share a
-    band of their BagMinHash signatures are candidates. Candidate groups are compared block
-    by block: a group of any size spreads over tasks, each with two blocks of about
+    band of their BagMinHash signatures are compared by signature, in the band's bucket; what
+    is similar by estimate forms candidate groups. These are compared block by block: a group of any size spreads over tasks, each with two blocks of about
     `BLOCK_BYTES` of text or `BLOCK_ROWS` documents, whichever is less, and links are verified on whole multisets.
 
     Null ids take part but never name a class that has another id; a class of null ids only
@@ -275,15 +343,9 @@ def near_duplicates(
         F.col(f"`{id_col}`").alias("id"), whole(F.col(f"`{text_col}`")).alias("text")
     ).withColumn("node", k1)
     rows = stored(docs.select("id", "node", F.octet_length("text").alias("bytes")), "near-rows")
-    signed = stored(docs.select("node", "text").mapInArrow(_sign, "node long, bands array<long>"), "near-bands")
-    bands = signed.select("node", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = buckets.filter("least <> most").select("band", "least")
-    pairs = spread_join(bands, shared, ["band"]).filter("node <> least")
-    groups = stored(
-        connected(pairs.select(F.col("node").alias("u"), F.col("least").alias("v")), "near-groups"),
-        "near-candidates",
-    )
+    schema = "node long, bands array<long>, sketch binary"
+    signed = stored(docs.select("node", "text").mapInArrow(_sign, schema), "near-bands")
+    groups = _candidates(signed, similarity)
     # One row of each node carries its text: the first in the order of ids, then any.
     first = rows.groupBy("node").agg(F.min("id").alias("id"), F.max("bytes").alias("bytes"))
     members = spread_join(groups, first, ["node"])

@@ -8,6 +8,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 
 from hourloom.llm import embedding_dedup, exact_dedup, line_dedup, near_dedup
@@ -237,6 +238,36 @@ def test_group_of_copies_over_blocks(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == near_by_hand(rows)
 
 
+@pytest.mark.parametrize("header, words", [(50, 42), (66, 42)])
+def test_a_shared_header_makes_no_group(spark, header, words):
+    """Texts that overlap by 0.3 to 0.45 share bands with many others, but nothing is compared
+    beyond signatures: no candidate group is larger than the classes."""
+    rng = random.Random(7)
+    common = [f"h{i}" for i in range(header)]
+    texts = [" ".join(common + [f"x{rng.randrange(10**6)}" for _ in range(words)]) for _ in range(300)]
+    texts += [texts[0] + " y", texts[5] + " z"]
+    df = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    nodes = df.selectExpr("xxhash64(text) AS node", "text")
+    signed = nodes.mapInArrow(near_dedup._sign, "node long, bands array<long>, sketch binary")
+    shared = signed.selectExpr("explode(bands) AS b").groupBy("b").count()
+    assert shared.agg({"count": "max"}).first()[0] > 20
+    groups = Counter(r.root for r in near_dedup._candidates(signed, 0.8).collect())
+    assert sorted(groups.values()) == [2, 2]
+    got = near_dedup.near_duplicates(df)
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == near_by_hand(rows)
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_ROWS", 16)
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i % 3], f"x{rng.randrange(10**9)}"]), "s") for i in range(90)]
+    rows += [(100 + i, " ".join([*base[:38], *[f"z{i}-{k}" for k in range(22)]]), "s") for i in range(40)]
+    got = near_dedup.near_duplicates(docs(spark, rows))
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got.collect()) == near_by_hand(rows)
+
+
 def test_many_short_copies_stay_small():
     """A hot group of short near copies: memory grows with the rows of a block, not with its
     pairs, and all become one."""
