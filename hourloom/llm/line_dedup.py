@@ -11,13 +11,16 @@ from hourloom.llm.common import LOWER, UPPER, keys128, spread_join, stored, tabl
 
 MIN_SITES = 3
 MIN_WORDS = 5
+MIN_CHARS = 20  # of a line without blanks, which counts as `MIN_WORDS` words then
+SHORT_CHARS = 12  # of a line of fewer words; below it a line never counts
+SHORT_FACTOR = 4  # a short line must be on so many times as many sites
 SKETCH_K = 8  # HyperLogLog registers: 2 ** SKETCH_K
 
 
-def near_band(min_sites: int, sketch_k: int = SKETCH_K) -> float:
+def near_band(min_sites: int, sketch_k: int = SKETCH_K, least: float = 1.0) -> float:
     """Distance from the threshold within which an estimate is not trusted: four standard
     errors, at least one site."""
-    return max(1.0, 4 * 1.04 / math.sqrt(2**sketch_k) * min_sites)
+    return max(least, 4 * 1.04 / math.sqrt(2**sketch_k) * min_sites)
 
 
 def normalised(df: DataFrame, column: str) -> DataFrame:
@@ -33,9 +36,11 @@ def normalised(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn(column, F.when(odd, tidy).otherwise(text))
 
 
-def line_occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int):
+def line_occurrences(
+    df: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int, min_sites: int
+) -> DataFrame:
     """One narrow row per line that may count: document key (d1, d2), id, site, position in
-    the document and the line's key (h1, h2)."""
+    the document, the line's key (h1, h2) and how many sites make it boilerplate (`least`)."""
     text = whole(F.col(f"`{text_col}`"))
     docs = df.select(
         F.col(f"`{id_col}`").alias("id"),
@@ -45,38 +50,42 @@ def line_occurrences(df: DataFrame, id_col: str, text_col: str, site_col: str, m
     )
     lines = F.posexplode(F.split("norm", "\n")).alias("pos", "line")
     each = normalised(docs, "norm").select("id", "site", "d1", "d2", lines)
-    blanks = F.length("line") - F.length(F.replace("line", F.lit(" ")))
-    each = each.filter(blanks >= min_words - 1)
+    chars = F.length("line")
+    blanks = chars - F.length(F.replace("line", F.lit(" ")))
+    whole_line = (blanks >= min_words - 1) | ((blanks == 0) & (chars >= MIN_CHARS))
+    least = F.when(whole_line, min_sites).when(chars >= SHORT_CHARS, min_sites * SHORT_FACTOR)
+    each = each.withColumn("least", least).filter("least IS NOT NULL")
     h1, h2 = keys128(F.col("line"))
-    return each.select("id", "site", "d1", "d2", "pos", h1.alias("h1"), h2.alias("h2"))
+    return each.select("id", "site", "d1", "d2", "pos", h1.alias("h1"), h2.alias("h2"), "least")
 
 
-def boilerplate_lines(
-    lines: DataFrame, min_sites: int = MIN_SITES, sketch_k: int = SKETCH_K
-) -> DataFrame:
-    """Keys of the lines seen on `min_sites` sites or more, with their first occurrence.
+def boilerplate_lines(lines: DataFrame, sketch_k: int = SKETCH_K) -> DataFrame:
+    """Keys of the lines seen on `least` sites or more, with their first occurrence.
 
     A HyperLogLog sketch per line merges over partitions. Clear estimates decide; lines near
     the threshold get an exact distinct count over their own occurrences.
     """
     first = F.min(F.struct("id", "d1", "d2", "pos")).alias("first")
     sketched = lines.groupBy("h1", "h2").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(sketch_k))).alias("sites"), first
+        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(sketch_k))).alias("sites"),
+        first,
+        F.max("least").alias("least"),
     )
-    band = near_band(min_sites, sketch_k)
-    spread = stored(sketched.filter(F.col("sites") >= min_sites - band), "line-spread")
-    clear = spread.filter(F.col("sites") > min_sites + band)
-    near = spread.filter(F.col("sites") <= min_sites + band)
+    # Four standard errors, at least one site.
+    band = F.greatest(F.col("least") * near_band(1, sketch_k, 0.0), F.lit(1.0))
+    sketched = sketched.withColumn("band", band)
+    spread = stored(sketched.filter(F.col("sites") >= F.col("least") - F.col("band")), "line-spread")
+    clear = spread.filter(F.col("sites") > F.col("least") + F.col("band"))
+    near = spread.filter(F.col("sites") <= F.col("least") + F.col("band"))
     pairs = spread_join(lines, near.select("h1", "h2"), ["h1", "h2"], "left_semi")
     exact = (
         pairs.groupBy("h1", "h2", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2")
         .agg(F.sum("one").alias("n"))
-        .filter(F.col("n") >= min_sites)
     )
-    sure = near.join(exact.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    return clear.unionByName(sure).select("h1", "h2", "first")
+    sure = near.join(exact, ["h1", "h2"]).filter("n >= least")
+    return clear.select("h1", "h2", "first").unionByName(sure.select("h1", "h2", "first"))
 
 
 def line_dedup(
@@ -91,8 +100,10 @@ def line_dedup(
     `row`, with `n_lines` and `n_removed` beside it.
 
     Lines are what `\\n` separates. They are compared after lower-casing A-Z, trimming and
-    joining runs of white space; shorter lines than `min_words` words never count. A line on
-    `min_sites` distinct sites or more is boilerplate: its first occurrence (smallest id, then
+    joining runs of white space. A line of `min_words` words or more, or of `MIN_CHARS`
+    characters without a blank (scripts that write none), is boilerplate on `min_sites`
+    distinct sites; a shorter one of at least `SHORT_CHARS` characters on `SHORT_FACTOR` times
+    as many; what is shorter still, as brackets and blank lines, never is. Its first occurrence (smallest id, then
     position) stays, all others go. So what many documents share stays once, and of a group
     of copies the first keeps its text. The other lines keep their bytes.
 
@@ -101,8 +112,9 @@ def line_dedup(
     document. Other columns, whatever their names, pass unchanged; an empty table stays
     empty. Text is scanned twice and shuffles once, to meet the positions that go.
     """
-    lines = stored(line_occurrences(df, id_col, text_col, site_col, min_words), "lines")
-    bad = boilerplate_lines(lines, min_sites)
+    found = line_occurrences(df, id_col, text_col, site_col, min_words, min_sites)
+    lines = stored(found, "lines")
+    bad = boilerplate_lines(lines)
     here = F.struct("id", "d1", "d2", "pos")
     gone = (
         lines.join(bad, ["h1", "h2"])
@@ -149,13 +161,16 @@ WITH l AS (
 n AS (
   SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm FROM l),
-c AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) >= {MIN_WORDS - 1} AS counts FROM n),
+b AS (SELECT *, length(norm) - length(replace(norm, ' ', '')) AS blanks FROM n),
+c AS (
+  SELECT *, CASE WHEN blanks >= {MIN_WORDS - 1} OR (blanks = 0 AND length(norm) >= {MIN_CHARS}) THEN {MIN_SITES}
+    WHEN length(norm) >= {SHORT_CHARS} THEN {MIN_SITES * SHORT_FACTOR} END AS least FROM b),
 s AS (
   SELECT norm, count(DISTINCT coalesce(source, '')) AS sites,
     min((doc_id, pos)) AS first
-  FROM c WHERE counts GROUP BY norm),
+  FROM c WHERE least IS NOT NULL GROUP BY norm),
 g AS (
-  SELECT c.*, counts AND coalesce(sites >= {MIN_SITES} AND (doc_id, pos) <> first, false) AS gone
+  SELECT c.*, coalesce(sites >= least AND (doc_id, pos) <> first, false) AS gone
   FROM c LEFT JOIN s USING (norm))
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL
     ELSE coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') END AS text,

@@ -90,10 +90,17 @@ def test_exact_empty(spark):
 def lines_by_hand(rows, min_sites=3, min_words=5):
     sites, first = defaultdict(set), {}
     norm = lambda line: " ".join(lower(line).split())
+
+    def least(key):
+        words = len(key.split())
+        if words >= min_words or (words == 1 and len(key) >= 20):
+            return min_sites
+        return 4 * min_sites if len(key) >= 12 else None
+
     for i, text, site in rows:
         for p, line in enumerate((text or "").split("\n")):
             key = norm(line)
-            if len(key.split()) >= min_words:
+            if least(key):
                 sites[key].add(site or "")
                 first[key] = min(first.get(key, (i, p)), (i, p))
     out = {}
@@ -104,7 +111,7 @@ def lines_by_hand(rows, min_sites=3, min_words=5):
         kept = [
             line
             for p, line in enumerate(text.split("\n"))
-            if len(sites.get(norm(line), ())) < min_sites or first[norm(line)] == (i, p)
+            if len(sites.get(norm(line), ())) < (least(norm(line)) or 0) or first.get(norm(line), (i, p)) == (i, p)
         ]
         out[i] = "\n".join(kept)
     return out
@@ -128,6 +135,17 @@ def test_lines(spark):
     assert {r.row.h for r in got.collect()} == {2}
 
 
+def test_short_lines_and_lines_without_blanks(spark):
+    """Short lines must spread further; blank-free scripts are measured in characters; blank
+    lines and brackets never count."""
+    chinese = "版权所有未经许可不得转载本网站内容如需转载请注明出处"
+    rows = [(i, f"All rights reserved.\n{chinese}\n}}\n\nRead this!\nown line {i} of this text", f"s{i}") for i in range(14)]
+    rows += [(20 + i, "Sold by others\n短句在此", f"s{i}") for i in range(11)]
+    got = {r.row.doc_id: r.row.text for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == lines_by_hand(rows)
+    assert got[5] == "}\n\nRead this!\nown line 5 of this text" and got[25] == "Sold by others\n短句在此"
+
+
 def test_many_random_lines(spark):
     rng = random.Random(5)
     pool = [f"shared line with number {i} inside" for i in range(40)]
