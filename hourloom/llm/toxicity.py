@@ -15,17 +15,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm.common import kept_by_worker, table
+from hourloom.llm.common import kept_by_worker, stored, table
 from hourloom.llm.texts import CODE_POINTS, blocks
 
 SAMPLE_ROWS = 20_000  # labelled rows the classifier is fitted on, about, at most
 LEXICON = 4_000  # features of the lexicon, at most
 EVIDENCE = 28.0  # least G-test statistic of a feature
 LIFT = 4.0  # a feature is at least so many times likelier in toxic text
+FOLDS = 4  # parts of the sample for the calibration
 PREFIXES = (4, 5, 6, 7)
 CAP = 6.0  # most log-odds of one word
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+FULL_WIDTH = [*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)]  # wide forms of A-Z and a-z
 SPACE = 26  # symbol of anything but a letter in the character model
 SYMBOLS = 27
 #: What a disguising character may stand for; fixed values.
@@ -34,7 +36,17 @@ LOOKS_LIKE = {
     "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou", "€": "e",
     "£": "l", "¡": "i", "(": "c",
 }
-DROPPED = ".-_*~'`^"  # characters that may stand for nothing between letters
+#: Letters of other scripts that are drawn like a Latin one; fixed values.
+SAME_SHAPE = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i",
+    "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y",
+    "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p",
+    "τ": "t", "υ": "u", "χ": "x", "ı": "i",
+}
+SIGNS = LOOKS_LIKE | SAME_SHAPE
+#: Characters that are not drawn at all: soft hyphen, zero-width space and joiners, marks.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+DROPPED = ".-_*~'`^" + UNSEEN  # characters that may stand for nothing between letters
 COST_LOOK, COST_DROP, COST_RUN = 1.0, 0.3, 0.3  # of the channel, in nats
 LONGEST = 48  # characters of a spot whose readings are remembered
 
@@ -42,7 +54,7 @@ LONGEST = 48  # characters of a spot whose readings are remembered
 def letter_symbols() -> np.ndarray:
     """Symbol of each code point: letters fold to a-z by their base letter."""
     out = np.full(CODE_POINTS, SPACE, np.uint8)
-    for cp in range(0x250):
+    for cp in [*range(0x250), *FULL_WIDTH]:
         base = unicodedata.normalize("NFKD", chr(cp)).lower()[:1]
         if base in LETTERS and base:
             out[cp] = LETTERS.index(base)
@@ -58,6 +70,8 @@ def lower_letters() -> np.ndarray:
         if c.isalpha():
             low = c.lower()
             out[cp] = ord(low) if len(low) == 1 else cp
+    for cp in FULL_WIDTH:
+        out[cp] = ord(unicodedata.normalize("NFKC", chr(cp)).lower())
     return out
 
 
@@ -200,8 +214,11 @@ class Scorer:
         self.symbol = letter_symbols()
         self.kind = np.zeros(CODE_POINTS, np.uint8)  # 0 other, 1 letter, 2 may disguise, 3 drops
         self.kind[self.symbol < SPACE] = 1
-        for c in LOOKS_LIKE:
-            self.kind[ord(c)] = 2
+        for c in SIGNS:
+            if self.kind[ord(c)] == 0:
+                self.kind[ord(c)] = 2
+            if c.upper() != c and self.kind[ord(c.upper())] == 0:
+                self.kind[ord(c.upper())] = 2
         for c in DROPPED:
             self.kind[ord(c)] |= 0 if self.kind[ord(c)] else 3
         self.plain = lower_letters()
@@ -278,10 +295,12 @@ class Scorer:
             if c in LETTERS:
                 if run > 2:
                     lattice.append(((c, COST_RUN), (c + c, COST_RUN)))
+                elif run == 2:
+                    lattice.append(((c + c, 0.0), (c, COST_RUN)))
                 else:
                     lattice.append(((c * run, 0.0),))
-            elif c in LOOKS_LIKE:
-                arcs = [(x * min(run, 2), COST_LOOK) for x in LOOKS_LIKE[c]]
+            elif c in SIGNS:
+                arcs = [(x * min(run, 2), COST_LOOK) for x in SIGNS[c]]
                 if c in DROPPED:
                     arcs.append(("", COST_DROP))
                 lattice.append(tuple(arcs))
@@ -411,7 +430,10 @@ def fit(
 ) -> ToxicModel:
     """Learns from `labelled` (text, label 0/1) and from the characters of all of `corpus`.
 
-    The character model counts every text of the corpus. Lexicon and calibration are fitted on a sample of about `sample_rows` labelled rows, drawn by a hash of the text.
+    The character model counts every text of the corpus. Lexicon and calibration are fitted on
+    a sample of about `sample_rows` labelled rows, drawn by a hash of the text. The curve from
+    evidence to score comes from rows that the lexicon weighing them has not seen: the sample
+    is dealt into `FOLDS` parts, and each is weighed with what the others teach.
     Rows without a label are left out, null texts are empty. With labels of one kind only,
     the lexicon is empty and every score is the same, 0.1.
     """
@@ -422,15 +444,16 @@ def fit(
     keep = min(1.0, sample_rows / max(1, rows.count()))
     scale = 1 << 20
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(keep * scale))
+    sample = stored(sample, "toxicity-sample")
     model = ToxicModel(trigram_counts(corpus, text_col), lexicon(context_counts(sample)))
-    weigh = evidence_column(corpus.sparkSession, model)
-    bins = (
-        sample.select("label", F.least(F.round(weigh("text") * 4) / 4, F.lit(200.0)).alias("x"))
-        .groupBy("x", "label")
-        .count()
-        .collect()
-    )
-    if {r.label for r in bins} == {0, 1} and model.features:
+    part = F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(FOLDS))
+    bins = []
+    for k in range(FOLDS if model.features else 0):
+        others = lexicon(context_counts(sample.filter(part != k)))
+        weigh = evidence_column(corpus.sparkSession, ToxicModel(model.trigrams, others))
+        x = F.least(F.round(weigh("text") * 4) / 4, F.lit(200.0)).alias("x")
+        bins += sample.filter(part == k).select("label", x).groupBy("x", "label").count().collect()
+    if {r.label for r in bins} == {0, 1}:
         model.knots = calibration([(r.x, r.label, r["count"]) for r in bins])
     return model
 

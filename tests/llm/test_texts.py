@@ -230,6 +230,54 @@ def test_letter_spaced_phrases():
     assert evidence(" ".join("youare")) == 0
 
 
+def test_letters_of_other_scripts_and_unseen_characters():
+    """Look-alike letters, wide forms and characters that are not drawn hide no word, and
+    texts in other scripts stay as they are."""
+    words = "idiot scum moron trash clown loser worthless disgusting pathetic stupid".split()
+    counts = [0] * 27**3
+    text = " you are an idiot and a moron i see what a loser you are "
+    sym = [toxicity.LETTERS.find(c) if c != " " else 26 for c in text * 50]
+    for a, b, c in zip(sym, sym[1:], sym[2:]):
+        counts[(a * 27 + b) * 27 + c] += 1
+    scorer = toxicity.Scorer(toxicity.ToxicModel(counts, {w + " ": 5.0 for w in words}))
+
+    def evidence(text):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return scorer.evidence(codes, np.array([len(codes)]))[0]
+
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in "idiot")
+    hidden = ["idi\u200bot", "id\u00adiot", "st\u2060upid", "mor\u043en", "l\u043eser", "IDI\u041eT", "m\u03bfron", wide, wide.upper(), "1d\u200biot", "st\u200buppid"]
+    for spot in hidden:
+        assert evidence(f"so {spot} there") == 5.0, ascii(spot)
+    for clean in ("это просто текст о том о сем", "και το κείμενο", "co\u00adoperate with them", "Хороший день for all"):
+        assert evidence(clean) == 0, clean
+
+
+def test_score_is_the_curve_over_the_evidence(spark):
+    """Brute force: each word's strongest feature, summed, read off the calibration curve."""
+    features = {"moron ": 4.0, "stupid": 3.0, "stupidly ": 5.0, "trash ": 2.0}
+    model = toxicity.ToxicModel([0] * 27**3, features, ([0.0, 4.0, 9.0], [0.1, 0.5, 0.9]))
+    texts = ["a moron", "Stupidly said, moron!", "stupidity and trash", "trashy morons", "", None, "TRASH trash"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+    def by_hand(text):
+        total = 0.0
+        for word in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+            total += max([w for f, w in features.items() if (word + " ").startswith(f)], default=0.0)
+        return float(np.interp(total, *model.knots))
+
+    for r in toxicity.toxicity(df, model).collect():
+        assert r.score == pytest.approx(by_hand(texts[r.row.doc_id])) and r.predicted == (r.score >= 0.5)
+
+
+def test_evidence_of_a_small_sample(spark):
+    """Brute force of context counts: distinct words before a word, by label."""
+    rows = [("you moron you moron", 1), ("you moron", 1), ("a moron and a day", 0), ("day", 1), ("", 0)]
+    got = {r.word: (r.n1, r.n0) for r in toxicity.context_counts(spark.createDataFrame(rows, "text string, label int")).collect()}
+    # you: first and after moron; moron: after you, after a; and: after moron; day: first, after a.
+    assert got == {"you": (2, 0), "moron": (1, 1), "and": (0, 1), "day": (1, 1)}
+
+
 def test_viterbi_is_the_best_path():
     """Against all paths of small lattices."""
     from itertools import product
