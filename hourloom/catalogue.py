@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hourloom.functions import labels
 from hourloom.operators import (
     audit,
+    audit_state,
     calendar,
     cards,
     directory,
@@ -184,13 +185,31 @@ def _published_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry of one month deleted from the long log: one year is written anew."""
     base = fresh_dir(spark, "published")
     years = _long_log_saved(spark, sf_dir, f"{base}/before")
-    month = years.entries(spark).filter(in_period(F.col("dateStamp"), YEAR, MONTH))
-    deletes = month.select(
+    done = snapshots.publish_edits(spark, years, f"{base}/after", _month_deletes(years, spark))
+    return _per_year(done.years, done.years.entries(spark), f"{base}/after")
+
+
+def _month_deletes(years: snapshots.YearFolders, spark: SparkSession) -> DataFrame:
+    """A delete by its own person for every entry of one month."""
+    month = years.entries(spark, [YEAR]).filter(in_period(F.col("dateStamp"), YEAR, MONTH))
+    return month.select(
         F.to_timestamp("dateStamp").alias("ts"), F.col("id").alias("seq"), F.lit("delete").alias("op"),
         "userId", *SLOT, F.lit(1).alias("hour"),
     )
+
+
+def _audit_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long log audited, every entry of one month deleted, and the audit brought up to
+    date from the entries of the touched slots."""
+    base = fresh_dir(spark, "audited")
+    years = _long_log_saved(spark, sf_dir, f"{base}/before")
+    t = views.long_log(spark, sf_dir)
+    state = audit_state.start_audit(t.with_(fact=years.entries(spark)), f"{base}/first")
+    deletes = _month_deletes(years, spark)
     done = snapshots.publish_edits(spark, years, f"{base}/after", deletes)
-    return _per_year(done.years, done.years.entries(spark), f"{base}/after")
+    touched = lambda log: log.entries(spark, [YEAR]).join(deletes.select(*SLOT).distinct(), SLOT, "left_semi")
+    after = audit_state.audit_after(state, t, touched(years), touched(done.years), f"{base}/second")
+    return after.result(spark)
 
 
 def _published_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -644,6 +663,7 @@ def queries() -> dict[str, Query]:
         "m06_rejects": _m06_rejects,
         "d01_audit": _wl(audit.integrity_audit),
         "d01_audit_calendar": _cal(audit.integrity_audit),
+        "d01_after_edits": _audit_after,
         "i01_ingest": _ingested,
         "i01_ingest_all": _ingested_all,
         "c01_cached": _cached,

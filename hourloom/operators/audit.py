@@ -35,7 +35,7 @@ def _groups_where(table: DataFrame, finding: str, keys: list, bad: Column, *aggs
     )
 
 
-def _orphans(
+def orphans(
     table: DataFrame, finding: str, key: str, parent: DataFrame, rows: str | None = None
 ) -> DataFrame:
     """Rows whose key has no parent; column `rows` says how many a row stands for. Counted
@@ -49,21 +49,31 @@ def _orphans(
     )
 
 
-def _summary(fact: DataFrame, checks: dict[str, Column]) -> DataFrame:
+def entry_checks(fact: DataFrame) -> dict[str, Column]:
+    """What each entry of the log must hold."""
+    return {**_nulls("main", fact), "main: hours out of range": ~F.col("hours").between(1, GRID_HOURS)}
+
+
+def summed_entries(fact: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """One row per slot and person: entries (`_rows`), hours (`_hours`) and how many entries
-    fail each check (`_c0`, ...). All but one of the fact's findings roll this up, so it is
-    written once and the fact is scanned once for it."""
-    path = fresh_dir(fact.sparkSession, "audit")
-    summary = fact.groupBy(*SLOT, "userId").agg(
+    fail each check (`_c0`, ...)."""
+    return fact.groupBy(*SLOT, "userId").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.sum(F.col("hours").cast("int")).alias("_hours"),
         *[F.count_if(bad).alias(f"_c{i}") for i, bad in enumerate(checks.values())],
     )
+
+
+def _summary(fact: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """The summed entries, written once: all but one of the fact's findings roll them up, so
+    the fact is scanned once for them."""
+    path = fresh_dir(fact.sparkSession, "audit")
+    summary = summed_entries(fact, checks)
     summary.write.parquet(path)
     return fact.sparkSession.read.schema(summary.schema).parquet(path)
 
 
-def _summed(summary: DataFrame, checks: dict[str, Column]) -> DataFrame:
+def summed(summary: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Entries that fail each check, from the summary."""
     counts = summary.agg(
         *[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).alias(f"c{i}") for i in range(len(checks))]
@@ -72,7 +82,7 @@ def _summed(summary: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs)))
 
 
-def _slot_findings(per_person: DataFrame) -> DataFrame:
+def slot_findings(per_person: DataFrame) -> DataFrame:
     """Doubled entries and over-full slots."""
     per_slot = per_person.groupBy(*SLOT).agg(
         F.count_if(F.col("_rows") > 1).alias("_doubled"), F.count(F.lit(1)).alias("_people")
@@ -109,11 +119,8 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
     entry_key = list(key or t.tie_keys)
     if key is None and entry_key != ["id"]:
         entry_key = ["dateStamp", *entry_key]
-    entry_checks = {
-        **_nulls("main", t.fact),
-        "main: hours out of range": ~F.col("hours").between(1, GRID_HOURS),
-    }
-    summary = _summary(t.fact, entry_checks)
+    checks = entry_checks(t.fact)
+    summary = _summary(t.fact, checks)
     findings = [
         _groups_where(t.fact, "main: key repeated", entry_key, more, count),
         _groups_where(t.project, "project: id repeated", ["id"], more, count),
@@ -121,7 +128,7 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
         _groups_where(t.deadline, "projectstage: key repeated", ["projectId", "stageId"], more, count),
         _groups_where(t.stage, "stage: id repeated", ["id"], more, count),
         _groups_where(t.user, "user: id repeated", ["id"], more, count),
-        _summed(summary, entry_checks),
+        summed(summary, checks),
         _rows_where(
             t.project,
             {
@@ -147,12 +154,12 @@ def integrity_audit(t: Tables, key: tuple[str, ...] | None = None) -> DataFrame:
                 "user: color unreadable": F.col("color").isNotNull() & ~is_colour(F.col("color")),
             },
         ),
-        _orphans(summary, "main: user unknown", "userId", t.user, "_rows"),
-        _orphans(summary, "main: project unknown", "projectId", t.project, "_rows"),
-        _orphans(summary, "main: stage unknown", "stageId", t.stage, "_rows"),
-        _orphans(t.deadline, "projectstage: project unknown", "projectId", t.project),
-        _orphans(t.deadline, "projectstage: stage unknown", "stageId", t.stage),
-        _slot_findings(summary),
+        orphans(summary, "main: user unknown", "userId", t.user, "_rows"),
+        orphans(summary, "main: project unknown", "projectId", t.project, "_rows"),
+        orphans(summary, "main: stage unknown", "stageId", t.stage, "_rows"),
+        orphans(t.deadline, "projectstage: project unknown", "projectId", t.project),
+        orphans(t.deadline, "projectstage: stage unknown", "stageId", t.stage),
+        slot_findings(summary),
         _groups_where(
             summary, "main: day too long", ["userId", "dateStamp"], F.col("_n") > GRID_HOURS, hours
         ),

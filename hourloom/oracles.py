@@ -58,6 +58,10 @@ def _edits(folded: bool = False, deletes: bool = True, next_user: bool = False)
 
 
 _WL = f"WITH {_WL_FACT}, {_DIMS}, {_STAGES}, {_WL_USER}"
+_WL_LESS_A_MONTH = f"""WITH every AS (
+  SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS userId, l_partkey AS projectId, l_linenumber AS stageId,
+    CAST(l_shipdate AS DATE) AS dateStamp, CAST(l_quantity AS INTEGER) AS hours FROM lineitem),
+fact AS (SELECT * FROM every WHERE NOT (year(dateStamp) = 1997 AND month(dateStamp) = 3)), {_DIMS}, {_STAGES}, {_WL_USER}"""
 _CAL = f"WITH {_cal_fact()}, {_DIMS}, {_STAGES}, {_CAL_USER}"
 _FOLDED = f"WITH {_cal_fact(folded=True)}, {_STAGES}"
 
@@ -587,6 +591,7 @@ FROM deadline JOIN project p ON p.id = projectId""",
         "m06_rejects": _REJECTS,
         "d01_audit": _audit(_WL, "dateStamp, orderKey, stageId, projectId, userId, hours"),
         "d01_audit_calendar": _audit(_CAL, "id"),
+        "d01_after_edits": _audit(_WL_LESS_A_MONTH, "id"),
         "i01_ingest_all": f"""{_WL}
 SELECT 'main' AS "table", count(*) AS n, {_SUM} AS total FROM fact
 UNION ALL SELECT 'project', count(*), CAST(sum(square) AS BIGINT) FROM project

@@ -149,6 +149,38 @@ def test_deletes_leave_no_orphans(spark):
     assert not [f for f in findings(after) if "unknown" in f]
 
 
+def test_audit_follows_edits(spark, tmp_path):
+    """After each of some batches the kept audit equals a full one."""
+    import random
+
+    from hourloom.operators import audit_state
+    from hourloom.operators.edits import apply_edits
+    from hourloom.schema import SLOT
+    from small import edits, facts
+
+    rng = random.Random(31)
+    days = [f"202{y}-01-0{d}" for y in (3, 4) for d in (1, 2, 3)]
+    slot = lambda: (rng.randint(1, 4), rng.choice([1, 2, 9]), rng.choice(days))
+    log = [(i, rng.choice([1, 2, 3, 8]), *slot(), rng.randint(1, 14)) for i in range(1, 60)]
+    log += [(5, 1, *slot(), 3), (6, 2, *slot(), 3), (6, 2, *slot(), 3)]  # repeated ids
+    t = tables(spark, log)
+    state = audit_state.start_audit(t, str(tmp_path / "start"))
+    entries = t.fact
+    for n in range(2):
+        batch = [
+            (1000 * n + k, rng.choice(["set", "delete", "delete"]), rng.choice([1, 2, 3, 8]), *slot(), rng.randint(1, 12))
+            for k in range(1, 25)
+        ]
+        commands = edits(spark, batch)
+        after = facts(spark, [(r.id, r.userId, r.projectId, r.stageId, str(r.dateStamp), r.hours) for r in apply_edits(entries, commands).entries.collect()])
+        slots = commands.select(*SLOT).distinct()
+        touched = lambda e: e.join(slots, SLOT, "left_semi")
+        state = audit_state.audit_after(state, t, touched(entries), touched(after), str(tmp_path / f"b{n}"))
+        want = audit.integrity_audit(t.with_(fact=after), ("id",))
+        assert sorted(rows(state.result(spark))) == sorted(rows(want, "finding", "n"))
+        entries = after
+
+
 def test_audit_finds_each_fault(spark):
     log = LOG + [
         (3, 1, 1, 1, "2024-01-10", 13),  # id repeated, entry doubled, hours, long day
