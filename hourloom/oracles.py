@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-_STAGES = """stage AS (
-  SELECT * FROM (VALUES (1, 'ПОДГОТОВКА'), (2, '3D ГРАФИКА'), (3, 'ЗАКАЗНЫЕ ПОЗИЦИИ'),
-    (4, 'СМР'), (5, 'КОМПЛЕКТАЦИЯ'), (6, 'РЕАЛИЗАЦИЯ')) AS v(id, name))"""
+from hourloom.schema import STAGE_NAMES
+
+_STAGE_ROWS = ", ".join(f"({i}, '{name}')" for i, name in enumerate(STAGE_NAMES, start=1))
+_STAGES = f"stage AS (SELECT * FROM (VALUES {_STAGE_ROWS}) AS v(id, name))"
 
 _WL_FACT = """fact AS (
   SELECT l_suppkey AS userId, l_partkey AS projectId, l_linenumber AS stageId,

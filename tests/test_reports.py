@@ -239,16 +239,3 @@ def test_shown_headers(spark):
     shown = with_headers(worklog.grouped_hours(t, year=ALL, square=ALL), LOG_HEADERS)
     assert shown.columns == ["ГОД", "м²", "ЧАСЫ"]
     assert with_headers(directory.user_directory(t), USER_HEADERS).columns[:3] == ["id", "ИМЯ", "ЛОГИН"]
-
-
-def test_positions_are_exact_however_rows_are_spread(spark):
-    from pyspark.sql import functions as F
-
-    from hourloom.plans.ranking import running_sum
-
-    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.concat(F.lit("n"), F.lpad("id", 5, "0")).alias("name"))
-    placed = running_sum(df, F.lit(1), [F.col("name")], ["g"], "position", "group_size").collect()
-    for g in range(3):
-        mine = sorted((r.name, r.position, r.group_size) for r in placed if r.g == g)
-        assert [p for _, p, _ in mine] == list(range(1, len(mine) + 1))
-        assert {n for _, _, n in mine} == {len(mine)}
