@@ -78,7 +78,7 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, **columns: str)
     rows = shard_rows(df, shards, **columns)
     rows = rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

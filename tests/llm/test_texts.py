@@ -469,6 +469,24 @@ def test_write_shards(spark, tmp_path):
     assert out.count() == 50 and {r.shard for r in out.select("shard").collect()} == {0, 1, 2, 3}
 
 
+def test_write_shards_keeps_null_empty_and_hot_texts(spark, tmp_path):
+    """Every row once, in its shard, in the order of its slot; columns may clash."""
+    rows = [(None, None, "a"), (1, "", None), (2, None, "b"), (3, "x" * 9000, "b")]
+    rows += [(10 + i, "the same text " * 5, "hot") for i in range(120)] + [(10, "the same text " * 5, "hot")]
+    df = sized(spark, rows).withColumn("shard", F.lit(7)).withColumn("slot", F.lit("s"))
+    out = sharding.write_shards(df, f"file://{tmp_path}/out", 5).collect()
+    key = lambda r: (str(r.doc_id), r.text or "", r.source or "", r.shard, r.slot)
+    assert sorted(map(key, (r.row for r in out))) == sorted(map(key, df.collect()))
+    for shard in range(5):
+        mine = [r.slot for r in out if r.shard == shard]
+        assert sorted(mine) == list(range(len(mine)))
+    sizes = Counter()
+    for r in out:
+        sizes[r.shard] += r.size
+    assert sum(sizes.values()) == sum(len((t or "").encode()) + 16 for _, t, _ in rows)
+    assert sharding.write_shards(df.limit(0), f"file://{tmp_path}/none", 5).count() == 0
+
+
 # ------------------------------------------------------------- mixing
 
 
