@@ -122,9 +122,15 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------- lexicon
 
 
-def context_counts(sample: DataFrame) -> DataFrame:
+def part_of(folds: int) -> Column:
+    """The part of the sample a text is dealt to."""
+    return F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(folds)).cast("int")
+
+
+def context_counts(sample: DataFrame, folds: int = 1) -> DataFrame:
     """(word, n1, n0) from (text, label): in how many distinct contexts, the word before it, a
-    word stands in toxic and in other text. Copies of a text add nothing."""
+    word stands in toxic and in other text. Copies of a text add nothing. For each part k
+    also `n1_k`, `n0_k`: the contexts that other parts have, too."""
     words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "), " "), lambda w: w != "")
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("words")),
@@ -133,22 +139,21 @@ def context_counts(sample: DataFrame) -> DataFrame:
             F.when(i > 1, F.element_at("words", F.greatest(i - 1, F.lit(1)))).alias("before"),
         ),
     )
+    # One bit per part, so that a context's parts add up.
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(folds)]), part_of(folds) + 1)
     each = (
-        sample.select(words.alias("words"), "label")
+        sample.select(words.alias("words"), "label", mask.alias("mask"))
         .filter(F.size("words") > 0)
-        .select("label", F.explode(pairs).alias("p"))
-        .select("label", "p.word", F.xxhash64("p.before").alias("before"))
+        .select("label", "mask", F.explode(pairs).alias("p"))
+        .select("label", "mask", "p.word", F.xxhash64("p.before").alias("before"))
         .filter(F.length("word").between(3, 40))
     )
-    return (
-        each.groupBy("word", "label", "before")
-        .agg(F.lit(1).alias("one"))
-        .groupBy("word")
-        .agg(
-            F.count(F.when(F.col("label") == 1, 1)).alias("n1"),
-            F.count(F.when(F.col("label") == 0, 1)).alias("n0"),
-        )
-    )
+    contexts = each.groupBy("word", "label", "before").agg(F.bit_or("mask").alias("mask"))
+    counted = {f"n{y}": F.col("label") == y for y in (1, 0)}
+    for k in range(folds if folds > 1 else 0):
+        elsewhere = F.col("mask").bitwiseAND(F.lit(~(1 << k))) != 0
+        counted |= {f"n{y}_{k}": (F.col("label") == y) & elsewhere for y in (1, 0)}
+    return contexts.groupBy("word").agg(*[F.count_if(c).alias(n) for n, c in counted.items()])
 
 
 def lexicon(words: DataFrame) -> dict[str, float]:
@@ -445,11 +450,13 @@ def fit(
     scale = 1 << 20
     sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(scale)) < int(keep * scale))
     sample = stored(sample, "toxicity-sample")
-    model = ToxicModel(trigram_counts(corpus, text_col), lexicon(context_counts(sample)))
-    part = F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(FOLDS))
+    words = stored(context_counts(sample, FOLDS), "toxicity-words")
+    model = ToxicModel(trigram_counts(corpus, text_col), lexicon(words.select("word", "n1", "n0")))
+    part = part_of(FOLDS)
     bins = []
     for k in range(FOLDS if model.features else 0):
-        others = lexicon(context_counts(sample.filter(part != k)))
+        seen = words.select("word", F.col(f"n1_{k}").alias("n1"), F.col(f"n0_{k}").alias("n0"))
+        others = lexicon(seen)
         weigh = evidence_column(corpus.sparkSession, ToxicModel(model.trigrams, others))
         x = F.least(F.round(weigh("text") * 4) / 4, F.lit(200.0)).alias("x")
         bins += sample.filter(part == k).select("label", x).groupBy("x", "label").count().collect()

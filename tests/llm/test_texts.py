@@ -276,6 +276,14 @@ def test_evidence_of_a_small_sample(spark):
     got = {r.word: (r.n1, r.n0) for r in toxicity.context_counts(spark.createDataFrame(rows, "text string, label int")).collect()}
     # you: first and after moron; moron: after you, after a; and: after moron; day: first, after a.
     assert got == {"you": (2, 0), "moron": (1, 1), "and": (0, 1), "day": (1, 1)}
+    # What the other parts teach equals what is counted without a part.
+    rng = random.Random(3)
+    many = [(" ".join(rng.choices("you moron and day the a".split(), k=6)), rng.randint(0, 1)) for _ in range(60)]
+    df = spark.createDataFrame(many, "text string, label int")
+    every = {r.word: r for r in toxicity.context_counts(df, 3).collect()}
+    for k in range(3):
+        rest = toxicity.context_counts(df.filter(toxicity.part_of(3) != k)).collect()
+        assert {r.word: (r.n1, r.n0) for r in rest} == {w: (r[f"n1_{k}"], r[f"n0_{k}"]) for w, r in every.items()}
 
 
 def test_viterbi_is_the_best_path():
