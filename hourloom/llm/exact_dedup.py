@@ -8,33 +8,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.llm.common import ascii_lower, spread_join, stored, table, whole
+from hourloom.session import fresh_dir
 
 BITMAP_BITS = 32_768  # of one bitmap of bitmap_construct_agg
-MAX_FILTER_BITS = 1 << 30  # 128 MB, the bound of what is broadcast
+MAX_FILTER_BITS = 1 << 30  # 128 MB, the bound of a filter that is broadcast
 CELLS_PER_ROW = 16
 
 
-def filter_cells(rows: int, max_bits: int = MAX_FILTER_BITS) -> int:
-    """Cells of a filter for so many rows: a power of two, at most `max_bits`. With more
-    rows than the bound fits, the filter lets more rows through to the exact step; the
-    result does not change."""
-    wanted = 1 << math.ceil(math.log2(max(rows, 1) * CELLS_PER_ROW))
-    return max(BITMAP_BITS, min(max_bits, wanted))
+def filter_shape(rows: int, max_bits: int = MAX_FILTER_BITS) -> tuple[int, int]:
+    """Cells of a filter and number of filters for so many rows, both powers of two. A filter
+    has at most `max_bits` cells; more rows are split by a hash into as many slices as give
+    each its own filter of `CELLS_PER_ROW` cells a row."""
+    wanted = max(BITMAP_BITS, 1 << math.ceil(math.log2(max(rows, 1) * CELLS_PER_ROW)))
+    cells = min(wanted, max(BITMAP_BITS, 1 << int(math.log2(max_bits))))
+    return cells, wanted // cells
 
 
-def _cells(h: Column, cells: int) -> list[Column]:
-    """The two filter cells of a hash."""
-    return [h.bitwiseAND(cells - 1), F.shiftrightunsigned(h, 32).bitwiseAND(cells - 1)]
+def _cell(h: Column, which: int, cells: int) -> Column:
+    """One of the two filter cells of a hash."""
+    return (F.shiftrightunsigned(h, 32) if which else h).bitwiseAND(cells - 1)
 
 
-def repeated_cells(hashes: DataFrame, cells: int) -> DataFrame:
-    """First pass: the Bloom filter of what occurs more than once, (bucket, bits). A cell is
-    set if two rows or more fall into it; counts combine on the map side."""
-    each = hashes.select(F.explode(F.array(*_cells(F.col("h"), cells))).alias("cell"))
-    twice = each.groupBy("cell").agg(F.count("*").alias("n")).filter("n >= 2")
+def _bitmaps(cell_rows: DataFrame) -> DataFrame:
+    """The set cells (`cell`) as (bucket, bits), written: a filter is read more than once."""
     position = (F.col("cell") % BITMAP_BITS).cast("long")
     bucket = F.floor(F.col("cell") / BITMAP_BITS).cast("long").alias("bucket")
-    return twice.groupBy(bucket).agg(F.bitmap_construct_agg(position).alias("bits"))
+    return stored(
+        cell_rows.groupBy(bucket).agg(F.bitmap_construct_agg(position).alias("bits")), "exact-filter"
+    )
+
+
+def repeated_cells(hashes: DataFrame, which: int, cells: int) -> DataFrame:
+    """The Bloom filter of what occurs more than once: a cell is set if two rows or more fall
+    into it. One cell a row is counted, first on the map side."""
+    each = hashes.select(_cell(F.col("h"), which, cells).alias("cell"))
+    return _bitmaps(each.groupBy("cell").agg(F.count("*").alias("n")).filter("n >= 2"))
 
 
 def _is_set(bits: Column, cell: Column) -> Column:
@@ -44,17 +52,54 @@ def _is_set(bits: Column, cell: Column) -> Column:
     return F.coalesce(bit == 1, F.lit(False))
 
 
-def maybe_repeated(rows: DataFrame, filtered: DataFrame, cells: int) -> DataFrame:
-    """Second pass: adds `maybe`, true where both cells of `h` are set. The filter has at most
-    `MAX_FILTER_BITS` bits, so it is broadcast; the rows stay where they are."""
-    out = rows
-    for i, cell in enumerate(_cells(F.col("h"), cells)):
-        side = filtered.select(F.col("bucket").alias(f"_b{i}"), F.col("bits").alias(f"_m{i}"))
-        out = out.withColumn(f"_c{i}", cell).join(
-            F.broadcast(side), F.floor(F.col(f"_c{i}") / BITMAP_BITS) == F.col(f"_b{i}"), "left"
-        )
-    both = _is_set(F.col("_m0"), F.col("_c0")) & _is_set(F.col("_m1"), F.col("_c1"))
-    return out.withColumn("maybe", both).drop("_b0", "_b1", "_m0", "_m1", "_c0", "_c1")
+def in_filter(rows: DataFrame, bitmaps: DataFrame, which: int, cells: int, name: str) -> DataFrame:
+    """Adds `name`, true where the cell of `h` is set. A filter has at most `MAX_FILTER_BITS`
+    bits, so it is broadcast; the rows stay where they are."""
+    side = bitmaps.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    rows = rows.withColumn("_cell", _cell(F.col("h"), which, cells))
+    joined = rows.join(
+        F.broadcast(side), F.floor(F.col("_cell") / BITMAP_BITS) == F.col("_bucket"), "left"
+    )
+    found = _is_set(F.col("_bits"), F.col("_cell"))
+    return joined.withColumn(name, found).drop("_bucket", "_bits", "_cell")
+
+
+def _maybe_repeated(rows: DataFrame, cells: int) -> DataFrame:
+    """Adds `maybe` by two passes: the first filter holds one cell of every row, the second
+    the other cell of the rows that the first lets through. Rows of one hash share both."""
+    once = in_filter(rows, repeated_cells(rows, 0, cells), 0, cells, "_first")
+    second = repeated_cells(once.filter("_first"), 1, cells)
+    twice = in_filter(once, second, 1, cells, "_second")
+    return twice.withColumn("maybe", F.col("_first") & F.col("_second")).drop("_first", "_second")
+
+
+def maybe_repeated(rows: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """`rows` (written, with a hash `h`) and `maybe`: false only where no other row has the same
+    hash. Where one filter would be too large, the rows are first written in a folder per
+    slice of the hashes, which moves none of them, and the slices take their turns."""
+    cells, slices = filter_shape(rows.count(), max_filter_bits)
+    if slices == 1:
+        return _maybe_repeated(rows, cells)
+    spark, bits = rows.sparkSession, slices.bit_length() - 1
+    path, out = fresh_dir(spark, "exact-slices"), fresh_dir(spark, "exact-marked")
+    slice_ = F.shiftrightunsigned(F.xxhash64("h"), 64 - bits)
+    rows.withColumn("slice", slice_).write.partitionBy("slice").parquet(path)
+    every = spark.read.schema(f"{_ddl(rows)}, slice long").parquet(path)
+    for i in range(slices):
+        marked = _maybe_repeated(every.filter(F.col("slice") == i).drop("slice"), cells)
+        marked.write.parquet(f"{out}/slice={i}")
+    return spark.read.schema(f"{_ddl(rows)}, maybe boolean").parquet(out)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _groups(maybe: DataFrame) -> DataFrame:
+    """(sha, h, keep_id, group_size) of the possible repeats; partial counts come first."""
+    return maybe.groupBy("sha").agg(
+        F.first("h").alias("h"), F.max("id").alias("keep_id"), F.count("*").alias("group_size")
+    )
 
 
 def exact_groups(
@@ -81,15 +126,12 @@ def exact_groups(
         scan.select("id", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha")),
         "exact-dedup",
     )
-    cells = filter_cells(rows.count(), max_filter_bits)
-    marked = maybe_repeated(rows, repeated_cells(rows, cells), cells)
+    marked = maybe_repeated(rows, max_filter_bits)
     single = marked.filter(~F.col("maybe")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha"
     )
     maybe = marked.filter("maybe").select("id", "sha")
-    groups = maybe.groupBy("sha").agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("group_size")
-    )
+    groups = _groups(marked.filter("maybe")).drop("h")
     grouped = spread_join(maybe, groups, ["sha"]).select("id", "keep_id", "group_size", "sha")
     return single.unionByName(grouped).select(
         F.col("id").alias(id_col),
@@ -108,20 +150,27 @@ def exact_dedup(
 ) -> DataFrame:
     """The rows of `df` that stay, all columns as they were. Edge cases as `exact_groups`.
 
-    Whole rows that the filter clears pass straight through; only possible repeats shuffle,
-    for a semi join with the ids that stay.
+    The repeats are found on narrow rows as in `exact_groups`. A filter of their hashes, one
+    for all slices, then lets all other whole rows pass straight through; rows in it shuffle,
+    and a row goes if its text's group keeps another id. With more repeated texts than
+    `max_filter_bits` has room for, more rows shuffle; the result does not change.
     """
     norm = ascii_lower(whole(F.col(f"`{text_col}`")))
-    packed = df.select(F.struct("*").alias("row"), F.xxhash64(norm).alias("h"), norm.alias("norm"))
-    packed = packed.select("row", "h", F.sha2("norm", 256).alias("sha"))
-    hashes = stored(packed.select("h"), "exact-dedup-hashes")
-    cells = filter_cells(hashes.count(), max_filter_bits)
-    marked = maybe_repeated(packed, repeated_cells(hashes, cells), cells)
-    maybe = marked.filter("maybe").select("row", "sha", F.col("row")[id_col].alias("id"))
-    keep = maybe.groupBy("sha").agg(F.max("id").alias("keep_id"))
-    keep = keep.select(F.col("sha").alias("keep_sha"), "keep_id")
-    match = (F.col("sha") == F.col("keep_sha")) & F.col("id").eqNullSafe(F.col("keep_id"))
-    stay = maybe.join(keep, match, "left_semi")
+    packed = df.select(
+        F.struct("*").alias("row"),
+        F.col(f"`{id_col}`").alias("id"),
+        F.xxhash64(norm).alias("h"),
+        norm.alias("norm"),
+    ).select("row", "id", "h", F.sha2("norm", 256).alias("sha"))
+    narrow = stored(packed.drop("row"), "exact-dedup-hashes")
+    groups = _groups(maybe_repeated(narrow, max_filter_bits).filter("maybe"))
+    groups = stored(groups.filter("group_size >= 2"), "exact-dedup-groups")
+    cells, _ = filter_shape(groups.count(), max_filter_bits)
+    repeats = _bitmaps(groups.select(_cell(F.col("h"), 0, cells).alias("cell")))
+    marked = in_filter(packed, repeats, 0, cells, "maybe")
+    keep = groups.select("sha", "keep_id", F.lit(True).alias("grouped"))
+    seen = spread_join(marked.filter("maybe"), keep, ["sha"], "left")
+    stay = seen.filter(F.col("grouped").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
     return marked.filter(~F.col("maybe")).select("row").unionByName(stay.select("row")).select("row.*")
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from hourloom.llm import embedding_dedup, exact_dedup, line_dedup, near_dedup
 from hourloom.llm.components import connected
@@ -79,6 +80,22 @@ def test_full_filter_changes_nothing(spark):
     assert sorted(small.collect()) == sorted(exact_dedup.exact_groups(df).collect())
 
 
+def test_filter_in_slices(spark):
+    """Rows beyond one filter are split by hash: the same groups, unique rows still cleared."""
+    assert exact_dedup.filter_shape(5000, 1 << 15) == (1 << 15, 4)
+    rows = [(i, f"text {i % 4500}", "a") for i in range(5000)] + [(None, "text 7", "a")]
+    df = docs(spark, rows)
+    whole, sliced = exact_dedup.exact_groups(df), exact_dedup.exact_groups(df, max_filter_bits=1 << 15)
+    assert sorted(map(str, sliced.collect())) == sorted(map(str, whole.collect()))
+    hashes = df.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    marked = exact_dedup.maybe_repeated(hashes, 1 << 15).collect()
+    assert len(marked) == 5001
+    assert all(r.maybe for r in marked if int(r.text.split()[1]) < 500)
+    assert sum(r.maybe for r in marked) < 1001 + 100
+    kept = exact_dedup.exact_dedup(df, max_filter_bits=1 << 15).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in whole.collect() if r.kept)
+
+
 def test_exact_empty(spark):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
