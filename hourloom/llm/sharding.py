@@ -10,6 +10,7 @@ from hourloom.llm.common import stored, table, whole
 
 SHARDS = 40
 ROW_BYTES = 16
+WHOLE_GROUP = 50  # copies that take at most this fraction of a shard are not cut apart
 
 
 def shard_rows(
@@ -25,8 +26,9 @@ def shard_rows(
     Law `bytes`: a row's size is the UTF-8 bytes of its text (null: none) plus 16. Rows stand
     in one global order, by a hash of the text, then id, so copies of a text are neighbours
     and shards are mixed. A row goes to the shard its middle byte falls into when the bytes
-    of all rows are cut at equal targets, so a shard's size differs from the mean by less
-    than one row at each end. Copies leave each other only where a cut falls between them.
+    of all rows are cut at equal targets. Where a cut falls into copies of a text that take
+    at most 1/50 of a shard, it moves to their nearer end. So a shard's end is off by less
+    than one row or 1/100 of a shard, and only larger groups of copies are cut apart.
     `slot` is the row's position in its shard, from 0.
 
     Null ids come first among copies; rows equal in id and text are interchangeable. With
@@ -66,12 +68,33 @@ def shard_rows(
     shard = F.expr(f"int((({middle}) * {int(shards)}) div (2 * total))")
     cut = placed.withColumn("shard", shard)
     cut = cut.withColumn("position", F.col("rows_before") + F.col("nth"))
+    cut = _uncut_groups(cut, int(shards))
     # One row per shard: `shards` bounds what is broadcast.
     first = cut.groupBy("shard").agg(F.min("position").alias("first"))
     out = cut.join(F.broadcast(first), "shard").withColumn("slot", F.col("position") - F.col("first"))
     return out.select("id", "size", "text_crc32", "shard", "slot", *(["row"] if keep else []))
 
 
+def _uncut_groups(cut: DataFrame, shards: int) -> DataFrame:
+    """`cut` with each small group of copies (equal `h`) in the shard of its middle byte. At
+    most one group lies across each cut, so `shards` bounds the groups that are looked at."""
+    ends = cut.groupBy("shard").agg(
+        F.min_by("h", "position").alias("first_h"), F.max_by("h", "position").alias("last_h")
+    )
+    before = ends.select(F.col("shard").alias("earlier"), F.col("last_h").alias("h"))
+    after = ends.select(F.col("shard").alias("later"), F.col("first_h").alias("h"))
+    across = before.join(after, "h").filter("earlier < later").select("h").distinct()
+    groups = cut.join(F.broadcast(across), "h").groupBy("h").agg(
+        F.min(F.col("bytes_before") + F.col("upto") - F.col("size")).alias("start"),
+        F.sum("size").alias("bytes"),
+        F.first("total").alias("total"),
+    )
+    small = groups.filter(F.col("bytes") * shards * WHOLE_GROUP <= F.col("total"))
+    home = small.select("h", F.expr(f"int(((2 * start + bytes) * {shards}) div (2 * total))").alias("home"))
+    moved = cut.join(F.broadcast(home), "h", "left")
+    return moved.withColumn("shard", F.coalesce("home", "shard")).drop("home")
+
+
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, **columns: str) -> DataFrame:
     """Writes the rows of `df`, all columns kept in a struct `row`, to `path` in one folder
     per shard, each file sorted by slot (range partitions: files follow each other by slot), and returns what was written."""

@@ -465,6 +465,29 @@ def test_shards(spark):
     assert len(seen) == len(set(seen))  # copies of a text are neighbours
 
 
+def test_small_groups_of_copies_are_not_cut_apart(spark):
+    """Triples of equal texts: each cut moves to the nearer end of the group it falls into."""
+    rows = [(i, f"{i % 900:04d}" * 5, "a") for i in range(2700)]
+    got = sharding.shard_rows(sized(spark, rows), 7).collect()
+    homes, size = defaultdict(set), Counter()
+    for r in got:
+        homes[r.row.text].add(r.shard)
+        size[r.shard] += r.size
+    assert all(len(h) == 1 for h in homes.values())
+    assert max(size.values()) - min(size.values()) <= 2 * 3 * 36
+    for s in range(7):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+
+
+def test_a_hot_text_is_cut(spark):
+    rows = [(i, "the same text", "a") for i in range(300)] + [(300 + i, f"other {i}", "a") for i in range(300)]
+    size = Counter()
+    for r in sharding.shard_rows(sized(spark, rows), 6).collect():
+        size[r.shard] += r.size
+    assert len(size) == 6 and max(size.values()) - min(size.values()) <= 2 * 29
+
+
 def test_shards_of_little(spark):
     assert sharding.shard_rows(sized(spark, [])).count() == 0
     (row,) = sharding.shard_rows(sized(spark, [(1, "x", "a")])).collect()
