@@ -239,3 +239,19 @@ def test_shown_headers(spark):
     shown = with_headers(worklog.grouped_hours(t, year=ALL, square=ALL), LOG_HEADERS)
     assert shown.columns == ["ГОД", "м²", "ЧАСЫ"]
     assert with_headers(directory.user_directory(t), USER_HEADERS).columns[:3] == ["id", "ИМЯ", "ЛОГИН"]
+
+
+def test_yearly_summary_is_small_and_merges(spark):
+    """Rows of a summary have a fixed width: sums need no sort of wide bitmaps."""
+    people = [0, 1, 63, 64, 127, 128, 40_000, -1, -64, 1]
+    fact = [(i, u, 1, 1, f"{1996 + i % 3}-05-05", 2) for i, u in enumerate(people)]
+    fact += [(100 + i, u, 2, 1, "1997-02-02", 1) for i, u in enumerate([5, 5, 70])]
+    t = tables(spark, fact)
+    summary = cards.yearly_summary(t.fact)
+    assert dict(summary.dtypes)["people"] == "bigint"
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    found = {r.id: (r.count_users, r.sum_hours) for r in cards.cards_of_years(t, summary, 1996, 1998).collect()}
+    assert found == {1: (9, 20), 2: (2, 3)}
+    one = {r.id: r.count_users for r in cards.cards_of_years(t, summary, 1997, 1997).collect()}
+    assert one == {1: 3, 2: 2}
