@@ -2,8 +2,9 @@ import random
 
 import pytest
 
+from hourloom import catalogue
 from hourloom.operators.edits import apply_edits
-from hourloom.sources import snapshots
+from hourloom.sources import snapshots, views
 from hourloom.streaming import edit_stream
 from small import bag, edits, facts, rows
 from test_edits import as_text, brute, scenario
@@ -84,3 +85,31 @@ def test_a_slot_with_a_third_of_all_edits(spark, tmp_path):
     found, statuses = run(spark, tmp_path, [edits(spark, commands)])
     expected, told = brute([], commands)
     assert (as_text(found), statuses) == (expected, told)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_seeded_stream_writes_its_edits_in_many_tasks(spark, tmp_path, monkeypatch, batches):
+    """The edits that wait for the stream are not brought into one task; parts arrive in turn."""
+    n = 4000
+    spark.range(0, n, numPartitions=4).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2024-01-03 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts",
+        "id % 7 AS user_id", "'view' AS event_type", "CAST(id % 200 AS DOUBLE) AS value",
+        "concat('{\"k\": ', id % 11, '}') AS props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    waits = []
+    run_available = edit_stream.run_available
+
+    def seen(source, root, checkpoint, start):
+        files = spark.read.schema(edit_stream.EDIT).parquet(f"{root.removesuffix('/log')}/in")
+        waits.append((files.rdd.getNumPartitions() > 1, len(set(files.inputFiles())), files.count()))
+        run_available(source, root, checkpoint, start)
+
+    monkeypatch.setattr(edit_stream, "run_available", seen)
+    root = catalogue._seeded_stream(spark, str(tmp_path), batches)
+    assert len(waits) == batches and waits[-1][2] == n
+    assert waits[0][1] > 1
+    statuses = rows(edit_stream.edit_statuses(spark, root), "seq")
+    assert len(statuses) == len(set(statuses)) == n
+    events = spark.read.parquet(str(tmp_path / "events.parquet"))
+    fold = apply_edits(views.calendar_facts(events), views.calendar_edits(events, next_user=True))
+    assert bag(edit_stream.current_entries(spark, root), *ENTRY) == bag(fold.entries, *ENTRY)
