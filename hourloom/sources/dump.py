@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,37 +19,70 @@ _TUPLE = rf"(\((?:[^'()]++|{_QUOTED})*+\))"
 _VALUE = rf"({_QUOTED}|[^\s,()']+)"
 
 
+def _carried_down(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """From (split, event) of the lines of a scan task, in order: the last event before each
+    line in its split. Only the state of one line lasts from batch to batch."""
+    split, last = None, None
+    for splits, events in batches:
+        out = []
+        for at, event in zip(splits.to_pylist(), events.to_pylist()):
+            if at != split:
+                split, last = at, None
+            out.append(last)
+            if event is not None:
+                last = event
+        yield pa.array(out, pa.string())
+
+
+def _left_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (file, block, event) of the lines of a scan task, in order: one row per split with
+    its last event."""
+    split, last, rows = None, None, []
+    for batch in batches:
+        for file, block, event in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, block) != split:
+                if split is not None:
+                    rows.append((*split, last))
+                split, last = (file, block), None
+            if event is not None:
+                last = event
+    if split is not None:
+        rows.append((*split, last))
+    columns = list(zip(*rows)) or [(), (), ()]
+    arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.string()))]
+    yield pa.RecordBatch.from_arrays(arrays, names=["file", "block", "_left_open"])
+
+
 def statement_lines(spark: SparkSession, path: str) -> DataFrame:
     """(table, columns, line) for each line that carries row tuples.
 
     Tuples may follow their INSERT header many lines later, in another input split. The
     header in force at the start of each split is worked out from one row per split; inside
-    a split it is carried down. No task sees more than one split.
+    a split it is carried down as the lines are read. Lines are neither moved nor sorted, and
+    no task holds a split.
     """
     lines = spark.read.text(path).select(
         F.col("value"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("n"),
     )
     header = F.when(F.col("value").rlike(_HEADER), F.regexp_extract("value", _HEADER, 0))
     # An empty text marks that no statement is open.
     ends = F.col("value").rlike(r";\s*$")
-    opened = F.when(header.isNotNull(), header)
-    marked = lines.withColumn("_open", opened).withColumn("_ends", ends)
-    event = F.when(F.col("_ends"), F.lit("")).otherwise(F.col("_open"))
-    inside = W.partitionBy("file", "block").orderBy("n")
-    marked = marked.withColumn("_event", event)
-    per_block = marked.filter(F.col("_event").isNotNull()).groupBy("file", "block").agg(
-        F.max_by("_event", "n").alias("_left_open")
-    )
-    blocks = marked.select("file", "block").distinct().join(per_block, ["file", "block"], "left")
+    event = F.when(ends, F.lit("")).otherwise(header)
+    marked = lines.withColumn("_open", header).withColumn("_event", event)
+    events = marked.select("file", "block", "_event")
+    per_block = events.mapInArrow(_left_open, "file string, block long, _left_open string")
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carried = blocks.select(
+    carried = per_block.select(
         "file", "block", F.last("_left_open", ignorenulls=True).over(earlier).alias("_carried")
     )
-    before = F.last("_event", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1))
-    placed = marked.withColumn("_before", before).join(carried, ["file", "block"])
+    # Not deterministic, so that no filter comes between the scan and it.
+    carry = F.arrow_udf(_carried_down, "string").asNondeterministic()
+    split = F.xxhash64("file", "block")
+    before = marked.withColumn("_before", carry(split, "_event"))
+    # One row per split.
+    placed = before.join(F.broadcast(carried), ["file", "block"])
     statement = F.coalesce("_open", "_before", "_carried")
     rows = placed.withColumn("_statement", statement).filter(
         F.col("_statement").isNotNull() & (F.col("_statement") != "")
@@ -101,10 +137,11 @@ def load_dump(spark: SparkSession, path: str) -> Tables:
 
 def ingest_dump(spark: SparkSession, path: str, root: str) -> None:
     """Write the dump's tables as `<root>/<table>` parquet. The text is taken apart once, into
-    lines split by table in the shared folder, from which each table is read."""
+    lines in the shared folder, in the order of the dump, from which each table is read: the
+    row groups of other tables are passed over by their statistics."""
     split = fresh_dir(spark, "dump-lines")
     lines = statement_lines(spark, path).filter(F.col("table").isin(*SCHEMAS))
-    lines.write.partitionBy("table").parquet(split)
+    lines.write.parquet(split)
     stored = spark.read.schema(lines.schema).parquet(split)
     for name in SCHEMAS:
         dump_table(spark, path, name, stored).write.mode("errorifexists").parquet(f"{root}/{name}")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from hourloom import catalogue
 from hourloom.operators import worklog
 from hourloom.schema import ALL, SCHEMAS
 from hourloom.sources import cache, dump, snapshots
@@ -144,3 +145,41 @@ def test_fingerprint_knows_the_columns(spark):
     assert cache.fingerprint(one) != cache.fingerprint(other)
     assert cache.fingerprint(one) == cache.fingerprint(one.repartition(5))
     assert cache.fingerprint(one.limit(0)) != cache.fingerprint(one)
+
+
+def test_dump_lines_are_neither_moved_nor_sorted(spark, tmp_path):
+    """Memory of a task must not follow the length of the text in its split."""
+    path = tmp_path / "dump.sql"
+    path.write_text(DUMP)
+    plan = dump.statement_lines(spark, str(path))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+    # The one window is over one row per split.
+    assert plan.count("Window ") == 1 and "_left_open" in plan.split("Window ")[1].split("\n")[0]
+
+
+def test_dump_split_with_several_statements_and_text_between(spark, tmp_path):
+    """Lines after an ended statement belong to none, in this split and in the next one."""
+    path = tmp_path / "mixed.sql"
+    lines = []
+    for n in range(300):
+        lines += ["INSERT INTO `stage` (`id`, `name`) VALUES", f"\t({n}, 'a'),", f"\t({n + 1000}, 'b');"]
+        lines += [f"\t({n + 5000}, 'no statement')", f"INSERT INTO `stage` (`id`, `name`) VALUES ({n + 9000}, 'c');"]
+    path.write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = bag(dump.dump_table(spark, str(path), "stage"), "id")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == sorted([(n + k,) for n in range(300) for k in (0, 1000, 9000)], key=lambda r: str(r))
+
+
+def test_dump_text_is_built_without_collecting_groups(spark):
+    users = tables(spark).user
+    text = catalogue._statements("user", users)
+    plan = text._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange" not in plan and "Sort" not in plan
+    many = spark.range(1, 1201, numPartitions=1).selectExpr("CAST(id AS INT) AS id", "concat('it''s ', id) AS name")
+    texts = [r.value for r in catalogue._statements("stage", many).collect()]
+    assert [t.count("\n\t(") for t in texts] == [500, 500, 200]
+    assert all(t.startswith("INSERT INTO `stage` (`id`, `name`) VALUES\n\t(") and t.endswith(");\n") for t in texts)
