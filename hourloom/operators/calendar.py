@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from hourloom.functions.colours import to_hex
 from hourloom.functions.dates import days_in_month, is_weekend, month_name, month_start
+from hourloom.plans.joins import listed
 from hourloom.plans.periods import bounds, in_period
 from hourloom.plans.predicates import all_of
 from hourloom.schema import GRID_HOURS, STAGE_NAMES, Tables
@@ -41,7 +42,7 @@ def calendar_detail(
         stages = stages.filter(F.col("stage") == stage)
     rows = (
         _entries(t, year, month, project_id)
-        .join(stages, F.col("stageId") == F.col("_stage"))
+        .join(listed(stages), F.col("stageId") == F.col("_stage"))
         .join(people, F.col("userId") == F.col("_user"))
     )
     if project_id is not None and year is not None and month is not None:

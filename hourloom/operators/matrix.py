@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.functions.text import header, short_header
+from hourloom.plans.joins import listed
 from hourloom.plans.periods import in_period
 from hourloom.plans.predicates import all_of
 from hourloom.plans.wide import pivot_sum, pivot_values
@@ -31,7 +32,7 @@ def _per_user(t: Tables, year: int, month: int | None, project_id: int | None) -
     ]
     return (
         t.fact.filter(all_of([in_period(F.col("dateStamp"), year, month), only]))
-        .join(stage, F.col("stageId") == F.col("_stage"))
+        .join(listed(stage), F.col("stageId") == F.col("_stage"))
         .groupBy("projectId", "userId")
         .agg(*sums)
     )

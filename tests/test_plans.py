@@ -5,8 +5,8 @@ import re
 import pytest
 
 from hourloom.catalogue import queries
-from hourloom.operators import cards, gantt, lines, matrix, worklog
-from hourloom.schema import ALL
+from hourloom.operators import calendar, cards, gantt, lines, matrix, worklog
+from hourloom.schema import ALL, STAGE_NAMES
 from hourloom.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -54,6 +54,33 @@ def test_groups_are_combined_before_joins(log):
     assert above.rindex("partial_sum") > above.rindex("Join")
 
 
+ALL_FIELDS = dict.fromkeys(("year", "month", "day", "user", "project", "square", "stage"), ALL)
+
+
+def test_entries_are_not_dealt_out_by_stage(spark, log):
+    """A shuffle by stage alone leaves all entries in as many tasks as there are stages."""
+    month = views.month_log(spark, SF)
+    for df in (
+        worklog.grouped_hours(log, **ALL_FIELDS),
+        worklog.grouped_hours(log, stage=STAGE_NAMES[1], user=ALL),
+        worklog.worklog_page(log),
+        worklog.worklog_count(log),
+        matrix.stage_matrix(log, 1997),
+        calendar.calendar_detail(month),
+        calendar.calendar_detail(month, stage=STAGE_NAMES[2]),
+    ):
+        text = plan(df, "simple")
+        assert re.search(r"BroadcastHashJoin \[(stageId|l_linenumber)#", text)
+        assert not re.search(r"hashpartitioning\((stageId|l_linenumber)#\d+, \d+\)", text)
+
+
+def test_whole_days_are_summed_by_one_key(log):
+    for chosen, keys in ((ALL_FIELDS, 4), ({"year": ALL, "month": ALL, "day": ALL}, 1), ({"year": ALL, "day": ALL}, 2)):
+        text = plan(worklog.grouped_hours(log, **chosen), "simple")
+        partial = re.search(r"keys=\[([^\]]*)\], functions=\[partial_sum", text)[1]
+        assert len(partial.split(", ")) == keys
+
+
 NO_WINDOW_KEYS = re.compile(r"Window \[.*\], \[\](,|$)|Window \[[^\]]*\](\)|, \[[a-z_]*#\d+ (ASC|DESC))", re.M)
 
 

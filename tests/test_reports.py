@@ -113,6 +113,32 @@ def test_grouping_columns_order_and_filters(spark):
         worklog.grouped_hours(t, floor=1)
 
 
+def test_all_fields_are_grouped_by_whole_days(spark):
+    log = [
+        *LOG,
+        (6, 1, 1, 1, "2024-01-10", 6),
+        (7, 1, 1, 7, "2024-01-10", 1),
+        (8, 9, 1, 1, "2024-01-10", 1),
+        (9, 1, 1, 1, "2024-02-29", 7),
+        (10, 1, 1, 1, "2023-02-01", 7),
+    ]
+    every = dict.fromkeys(("year", "month", "day", "user", "project", "square", "stage"), ALL)
+    first, second = STAGE_NAMES[:2]
+    found = worklog.grouped_hours(tables(spark, log), **every)
+    assert found.columns == [*every, "hours"]
+    assert rows(found) == [
+        (2024, 3, 10, "Ann Lee", "Дом", 50, first, 2),
+        (2024, 2, 29, "Ann Lee", "Дом", 50, first, 7),
+        (2024, 1, 11, "Bob", "Дом", 50, second, 5),
+        (2024, 1, 10, "Ann Lee", "Дом", 50, first, 9),
+        (2023, 5, 1, "Ann Lee", "Дом", 50, first, 4),
+        (2023, 2, 1, "Bob", "Офис", 80, second, 8),
+        (2023, 2, 1, "Ann Lee", "Дом", 50, first, 7),
+    ]
+    fixed = worklog.grouped_hours(tables(spark, log), year=2024, month=1, day=10, stage=first)
+    assert rows(fixed) == [(2024, 1, 10, first, 10)]
+
+
 def test_same_names_stay_apart_unless_merged(spark):
     t = tables(
         spark,
